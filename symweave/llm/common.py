@@ -115,3 +115,10 @@ def _arrow_type(kind: str) -> pa.DataType:
 
 def _arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(n, _arrow_type(k.strip())) for n, k in (f.split(None, 1) for f in _top_level(schema))])
+
+
+def words_of(col: Column) -> Column:
+    """Words: maximal runs of letters a-z, digits and characters beyond ASCII, after lower-casing A-Z."""
+    # lower() also changes letters beyond ASCII, which is harmless but for the two that become ASCII letters
+    plain = F.lower(F.replace(F.replace(col, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı")))
+    return F.filter(F.split(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, secrets, simhash, toxicity
+from . import decontaminate, exact_dedup, licenses, pii, secrets, simhash, spm, token_index, toxicity, urlfilter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,26 @@ def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_read(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode_documents(_read(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op5_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index.round_trip(_read(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_read(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
@@ -37,11 +57,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pii_crf": op2_pii_crf,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_license_scan": op4_license_scan,
+    "op5_token_index": op5_token_index,
+    "op6_url_filter": op6_url_filter,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_url_filter": urlfilter.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
