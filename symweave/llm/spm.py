@@ -9,6 +9,7 @@ and it is what the merges give. Texts whose characters the model lacks use its b
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -54,7 +55,9 @@ class Lexicon:
             elif not sp.is_control(i):
                 self.ids[piece] = i
                 self.raw[i] = piece.encode()
-        self.longest = max(map(len, self.ids))
+        self.bytewise = all(b >= 0 for b in self.byte)
+        #: Every ending of a piece: where a stretch of text is none, no longer one that ends there is a piece.
+        self.tails = {piece[i:] for piece in self.ids for i in range(len(piece))}
         self.lowest = min(self.score[i] for i in self.ids.values())
         self.pairs: dict[tuple[str, str], bool] = {}
         # within a marked word no piece may hold a mark after another character, else words are not independent
@@ -87,7 +90,7 @@ class Lexicon:
         got = self.ids.get(piece)
         if got is not None:
             return [got]
-        if all(b >= 0 for b in self.byte):
+        if self.bytewise:
             return [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return [self.unk]
 
@@ -95,7 +98,7 @@ class Lexicon:
 def encode_words(lex: Lexicon, words: Iterable[str]) -> dict[str, list[int]]:
     """Token ids of each distinct word, by a depth-first walk over the trie of the sorted words."""
     out: dict[str, list[int]] = {}
-    ids, longest, bpe, stable, score = lex.ids, lex.longest, lex.kind == "bpe", lex.stable, lex.score
+    ids, tails, bpe, stable, pairs, score = lex.ids, lex.tails, lex.kind == "bpe", lex.stable, lex.pairs, lex.score
     unknown = lex.lowest - 10.0
     last: list[str] = [""]  # forward table: the piece that ends at each prefix of the word ...
     best: list[float] = [0.0]  # ... and its score
@@ -106,27 +109,46 @@ def encode_words(lex: Lexicon, words: Iterable[str]) -> dict[str, list[int]]:
             keep += 1
         del last[keep + 1 :], best[keep + 1 :]
         for end in range(keep + 1, len(word) + 1):
-            piece, top = word[end - 1 : end], -float("inf")
+            piece, top, start = word[end - 1 : end], -float("inf"), end - 1
+            found = [start]  # starts of the pieces that end here, and of the single character
+            while start > 0:
+                start -= 1
+                p = word[start:end]
+                if p not in tails:
+                    break
+                if p in ids:
+                    found.append(start)
             if bpe:
-                for start in range(max(0, end - longest), end):
-                    p = word[start:end]
-                    if (p in ids or end - start == 1) and stable(last[start], p):
-                        piece, top = p, 0.0
+                for start in reversed(found):
+                    key = (last[start], word[start:end])
+                    ok = pairs.get(key)
+                    if ok is None:
+                        ok = stable(*key)
+                    if ok:
+                        piece, top = key[1], 0.0
                         break
             else:
-                for start in range(max(0, end - longest), end):
+                for start in found:
                     p = word[start:end]
                     k = ids.get(p)
                     s = best[start] + (score[k] if k is not None else unknown)
-                    if (k is not None or end - start == 1) and s > top:
+                    if s > top:
                         piece, top = p, s
             last.append(piece)
             best.append(top)
         old, at, pieces = word, len(word), []
         while at:
-            pieces.append(last[at])
-            at -= len(last[at])
-        out[word] = [k for p in reversed(pieces) for k in lex.spell(p)]
+            piece = last[at]
+            pieces.append(piece)
+            at -= len(piece)
+        row: list[int] = []
+        for p in reversed(pieces):
+            k = ids.get(p)
+            if k is None:
+                row += lex.spell(p)
+            else:
+                row.append(k)
+        out[word] = row
     return out
 
 
@@ -149,20 +171,19 @@ def marked_words(text: str) -> list[str]:
 class Codec:
     def __init__(self, model_file: str, kind: str = "bpe") -> None:
         self.lex = Lexicon(model_file, kind)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         cut = marked_words if self.lex.wordwise else lambda t: [MARK + t.replace(" ", MARK)] if t else []
         split = [cut(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        table = {w: np.array(k, np.int32) for w, k in encode_words(self.lex, new).items()}
-        if len(self.known) + len(table) <= MEMO_WORDS:
-            self.known |= table
-            table = {}
-        known = self.known
-        empty = np.zeros(0, np.int32)
-        out = [np.concatenate([known[w] if w in known else table[w] for w in ws]) if ws else empty for ws in split]
-        return out
+        used = {w for ws in split for w in ws}
+        if len(self.known) > MEMO_WORDS:  # what this batch uses stays, so frequent words are never lost
+            self.known = {w: self.known[w] for w in used if w in self.known}
+        new = used.difference(self.known)
+        for w, ids in encode_words(self.lex, new).items():
+            self.known[w] = array("i", ids).tobytes()
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.lex.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")

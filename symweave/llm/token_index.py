@@ -76,16 +76,33 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # the end marker's name in a text is ordinary text
         self.kind = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.tool.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has one character for each byte
+        for token, k in vocab.items():
+            self.bytes[k] = len(token)
         self.known: dict[str, bytes] = {}
 
+    def _encode(self, pieces: list[str]) -> None:
+        """Pieces that begin with a space are encoded side by side in one text and told apart by their bytes."""
+        alone = [p for p in pieces if p[:1] != " "]
+        for p, e in zip(alone, self.tool.encode_batch_fast(alone, add_special_tokens=False)):
+            self.known[p] = np.array(e.ids, self.kind).tobytes()
+        spaced = [p for p in pieces if p[:1] == " "]
+        for i in range(0, len(spaced), 4096):
+            part = spaced[i : i + 4096]
+            ids = np.array(self.tool.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            flat, size, at = ids.tobytes(), self.kind.itemsize, 0
+            for p, end in zip(part, (ends * size).tolist()):
+                self.known[p] = flat[at:end]
+                at = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [cut(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in self.known})
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-            new = list({p for ps in pieces for p in ps})
-        for p, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
+        used = {p for ps in pieces for p in ps}
+        if len(self.known) > MEMO:  # what this batch uses stays, so frequent pieces are never lost
+            self.known = {p: self.known[p] for p in used if p in self.known}
+        self._encode([p for p in used if p not in self.known])
         get = self.known.__getitem__
         return [b"".join(map(get, ps)) for ps in pieces]
 

@@ -1,0 +1,61 @@
+import hashlib
+import random
+import re
+
+from symweave.llm import secrets
+
+from .helpers import AWKWARD, docs, empty
+
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def check(spark, rows):
+    got = secrets.scan_secrets(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        spans = base(text[r.doc_id] or "")
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        assert ",".join(s for s in r.spans.split(",") if s and not s.startswith("random")) == want
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+    return got
+
+
+def test_base_spans_match_brute_force(spark):
+    r = random.Random(3)
+    bits = ["token", "secret", "password", "API_KEY", "apikey", " ", "=", ":", '"', "'", "abcdef0123", "AKIA", "ABCDEF012345678Z", ".", "é", "😀", "\n", "deadbeefdeadbeef", "ſ", "-"]
+    rows = list(enumerate("".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(500)))
+    rows += [(1001, None), (1002, "deadbeefdeadbeef " * 700), (1003, "AKIA" + "A" * 500), (1004, "ſecret=abcdefghijklmnop")]
+    check(spark, rows)
+
+
+def test_awkward_rows(spark):
+    got = secrets.scan_secrets(docs(spark, AWKWARD)).collect()
+    assert len(got) == len(AWKWARD) and all(r.spans == "" for r in got)
+    assert secrets.scan_secrets(empty(spark)).count() == 0
+
+
+def test_battery_tells_random_tokens_from_text(spark):
+    r = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(i, "some words " + "".join(r.choice(b64) for _ in range(40)) + " and more") for i in range(100)]
+    plain = ["annualreportforthefinancialyear2023andthenext1", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", "0101010101010101010101x", "path/to/some/file/that/exists/in/the/folder2/readme"]
+    rows += [(200 + i, f"see {p} here") for i, p in enumerate(plain)]
+    got = {g.doc_id: g for g in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert sum(got[i].n_random for i in range(100)) >= 90
+    assert all(got[200 + i].n_random == 0 for i in range(len(plain)))
+    a, b = map(int, got[next(i for i in range(100) if got[i].n_random)].spans.split(":")[1:])
+    assert (a, b) == (11, 51)
+
+
+def test_only_dataframe_functions(spark):
+    plan = secrets.scan_secrets(docs(spark, AWKWARD))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
