@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ MAGIC = b"SYMTIX01"
 #: Ids after which a task begins its next shard.
 SHARD_IDS = 1 << 26
 #: Pieces of text whose ids a worker remembers.
-MEMO = 300_000
+MEMO = 800_000
 END_ID = 2
 
 
@@ -55,15 +56,12 @@ _ODD = re.compile(r"\s | \s")
 
 
 def cut(text: str) -> list[str]:
-    """Pieces that the tokenizer treats alike alone and in the text: cut before each single space between
-    two characters that are not white space. Byte-level pre-tokenisation always begins a token there."""
-    if not text:
-        return []
-    if text[0] == " " or text[-1] == " " or _ODD.search(text):
-        first, *rest = _SAFE.split(text)
-    else:
-        first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
+    """Pieces that the tokenizer treats alike alone and in the text, each but the first to be read with a space
+    before it: cut at each single space between two characters that are not white space. Byte-level
+    pre-tokenisation always begins a token there."""
+    if text[:1] == " " or text[-1:] == " " or _ODD.search(text):
+        return _SAFE.split(text)
+    return text.split(" ")
 
 
 class Encoder:
@@ -80,31 +78,38 @@ class Encoder:
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has one character for each byte
         for token, k in vocab.items():
             self.bytes[k] = len(token)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> None:
-        """Pieces that begin with a space are encoded side by side in one text and told apart by their bytes."""
-        alone = [p for p in pieces if p[:1] != " "]
-        for p, e in zip(alone, self.tool.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
-        spaced = [p for p in pieces if p[:1] == " "]
-        for i in range(0, len(spaced), 4096):
-            part = spaced[i : i + 4096]
-            ids = np.array(self.tool.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
-            flat, size, at = ids.tobytes(), self.kind.itemsize, 0
+        self.known: dict[str, bytes] = {}  # pieces after a space
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tool.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces after a space are encoded side by side in one text and told apart by their bytes."""
+        size = self.kind.itemsize
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            ids = np.array(self.tool.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) + 1 for p in part])) + 1
+            flat, at = ids.tobytes(), 0
             for p, end in zip(part, (ends * size).tolist()):
                 self.known[p] = flat[at:end]
                 at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [cut(t) for t in texts]
-        used = {p for ps in pieces for p in ps}
+        cuts = [cut(t) for t in texts]
+        firsts = [self._alone(c.pop(0)) for c in cuts]
+        used = set().union(*cuts)
         if len(self.known) > MEMO:  # what this batch uses stays, so frequent pieces are never lost
             self.known = {p: self.known[p] for p in used if p in self.known}
-        self._encode([p for p in used if p not in self.known])
+        self._learn(list(used.difference(self.known)))
         get = self.known.__getitem__
-        return [b"".join(map(get, ps)) for ps in pieces]
+        return [f + b"".join(map(get, c)) for f, c in zip(firsts, cuts)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, which Spark uses again."""
+    return Encoder(path)
 
 
 # ---- minimal perfect hash -------------------------------------------------------------------------------
@@ -264,8 +269,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         part = TaskContext.get().partitionId()
         fs, base = filesystem(folder)
-        encoder = Encoder(path)
-        end = b"" if end_id is None else np.array([end_id], encoder.kind).tobytes()
+        tool = encoder(path)
+        end = b"" if end_id is None else np.array([end_id], tool.kind).tobytes()
         writer, rows = None, []
 
         def close() -> None:
@@ -276,12 +281,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
         for batch in sliced(batches, "text"):
             keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, encoder.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for key, ids in zip(keys, tool.encode([t or "" for t in batch.column(1).to_pylist()])):
                 if writer is not None and writer.starts[-1] >= shard_ids:
                     close()
                     writer = None
                 if writer is None:
-                    writer = ShardWriter(fs, f"{base}/shard-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex[:12]}", encoder.kind)
+                    writer = ShardWriter(fs, f"{base}/shard-{part:06d}-{len(rows):04d}-{uuid.uuid4().hex[:12]}", tool.kind)
                 writer.add(key, ids + end)
         if writer is not None:
             close()
