@@ -1,13 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds find candidate places, Smith-Waterman alignment scores them.
 
 Seeds are word n-grams of the test items, joined to all n-grams of all documents. An item's seeds are its
-n-grams that few documents hold, and in any case the rarer half of them, so that an item whose passage stands
-in very many documents keeps its seeds. Around each seed's diagonal the document's words are aligned with the
+n-grams that few documents hold, and those that are no more frequent than its other ones: an item whose passage
+stands in very many documents keeps its seeds, and only phrases that are common beyond it are left out. Around each seed's diagonal the document's words are aligned with the
 item's; single words may be changed, dropped or added.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,10 @@ from pyspark.sql.window import Window
 from .common import guarded, stored, text_or_empty, words_of
 
 GRAM = 4
-#: Share of documents up to which an n-gram counts as rare.
+#: Share of documents up to which an n-gram counts as rare; beyond it one must be so many times as frequent as
+#: the item's n-grams usually are to count as common.
 RARE_SHARE = 1e-3
+COMMON = 4
 #: Alignment score over the best possible one (2 a word that agrees, -1 a changed, dropped or added one):
 #: 0.7 is reached with four words in five kept.
 LEAST_SCORE = 0.7
@@ -27,9 +31,10 @@ MATCH, MISS, GAP = 2, -1, -1
 CELLS = 1 << 22
 
 
-def _grams(words: str, sizes: list[int]) -> Column:
-    parts = [f"transform({words}, (w, i) -> if(i + {k} <= size({words}), named_struct('at', i, 'gram', concat_ws(' ', {', '.join(f'get({words}, i + {j})' for j in range(k))})), null))" for k in sizes]
-    return F.expr(f"filter({'concat(' + ', '.join(parts) + ')' if len(parts) > 1 else parts[0]}, g -> g is not null)")
+def _grams(words: str, k: int) -> Column:
+    """Hash of each word k-gram, by place. Two n-grams of one hash only cost an alignment, which settles it."""
+    every = f"transform({words}, (w, i) -> xxhash64({k}, w{''.join(f', get({words}, i + {j})' for j in range(1, k))}))"
+    return F.expr(f"slice({every}, 1, greatest(0, size({words}) - {k - 1}))")
 
 
 def align(docs: np.ndarray, items: np.ndarray) -> np.ndarray:
@@ -87,16 +92,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text_or_empty("text")).alias("item_words")).where("item_id is not null and size(item_words) > 0").dropDuplicates(["item_id"])
     items = stored(items, "items")
     sizes = sorted({GRAM} | {r["k"] for r in items.select(F.least(F.size("item_words"), F.lit(GRAM)).alias("k")).distinct().collect()})
-    own = items.select("item_id", F.size("item_words").alias("item_size"), F.explode(_grams("item_words", sizes)).alias("g")).select("item_id", "item_size", F.col("g.at").alias("t_at"), F.col("g.gram").alias("gram"))
-    own = stored(own.where(F.size(F.split("gram", " ")) == F.least("item_size", F.lit(GRAM))), "item-grams")
-    keys = own.select(F.col("gram").alias("key")).distinct().withColumn("h", F.xxhash64("key"))
+    parts = [
+        items.where(F.least(F.size("item_words"), F.lit(GRAM)) == k).select("item_id", F.size("item_words").alias("item_size"), F.posexplode(_grams("item_words", k)).alias("t_at", "gram")) for k in sizes
+    ]
+    own = stored(reduce(DataFrame.unionByName, parts), "item-grams")
+    keys = own.select("gram").distinct()
     worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_or_empty("text")).alias("words")).where("doc_id is not null")
-    grams = worded.select("doc_id", F.explode(_grams("words", sizes)).alias("g")).select("doc_id", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"), F.xxhash64("g.gram").alias("h"))
-    hits = stored(grams.join(guarded(keys, keys.count()), "h").where(F.col("gram") == F.col("key")).select("doc_id", "at", "gram"), "seed-hits")
+    sought = guarded(keys, keys.count())
+    hits = stored(reduce(DataFrame.unionByName, [worded.select("doc_id", F.posexplode(_grams("words", k)).alias("at", "gram")).join(sought, "gram").select("doc_id", "at", "gram") for k in sizes]), "seed-hits")
     n = docs.count()
     known = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    rank = F.percent_rank().over(Window.partitionBy("item_id").orderBy("held", "gram"))
-    seeds = own.join(known, "gram").withColumn("rank", rank).where((F.col("held") <= F.lit(rare_share * n)) | (F.col("rank") <= 0.5)).select("gram", "item_id", "item_size", "t_at")
+    usual = F.median("held").over(Window.partitionBy("item_id"))
+    seeds = own.join(known, "gram").withColumn("usual", usual).where((F.col("held") <= F.lit(rare_share * n)) | (F.col("held") <= COMMON * F.col("usual"))).select("gram", "item_id", "item_size", "t_at")
     seeds = stored(seeds, "seeds")
     slack = F.greatest(F.lit(2), (F.col("item_size") * (1 - least)).cast("int") + 1)
     places = (
