@@ -205,3 +205,29 @@ CTES["first_hits"] = """SELECT receiver, method, target FROM (SELECT r.child AS
 CTES["gives"] = "SELECT m.fqn AS target, min(t.fqn) AS fqn FROM members m JOIN types t ON t.short_name = m.return_type GROUP BY m.fqn"
 
 ORACLES: dict[str, str] = {name: with_ctes(body) for name, body in BODIES.items()}
+
+ORACLES |= {
+    name: with_ctes(body)
+    for name, body in {
+        "parse_corpus_symbols": """SELECT fqn AS fully_qualified_name, kind AS symbol_type, package_name AS parent_name, file_path,
+            array_to_string(list_filter([nullif(mods, ''), CASE WHEN language = 'kotlin' AND kind = 'Enum' THEN 'enum' WHEN language = 'kotlin' AND kind = 'Annotation' THEN 'annotation' END], lambda x: x IS NOT NULL), ',') AS mods, CAST(NULL AS VARCHAR) AS params, CAST(NULL AS VARCHAR) AS return_type FROM types
+          UNION ALL SELECT DISTINCT fqn, kind, parent_name, file_path, CASE WHEN language <> 'kotlin' THEN mods WHEN kind = 'Field' THEN CASE mods WHEN 'private' THEN 'private,val' ELSE 'val' END ELSE replace(mods, 'static', '') END, params, return_type
+            FROM (SELECT * FROM members WHERE parent_name NOT IN (SELECT fqn FROM types WHERE kind = 'Annotation')) UNION ALL
+          SELECT DISTINCT parent_name || '.' || short_name, kind, parent_name, file_path, CASE WHEN language <> 'kotlin' THEN mods WHEN kind = 'Field' THEN CASE mods WHEN 'private' THEN 'private,val' ELSE 'val' END ELSE replace(mods, 'static', '') END, params, return_type
+            FROM (SELECT * FROM members WHERE parent_name IN (SELECT fqn FROM types WHERE kind = 'Annotation'))""",
+        "parse_corpus_supers": "SELECT symbol_fqn, super_short_name, super_fqn FROM supers WHERE super_fqn IS NOT NULL",
+        "dia_parser_rules": """SELECT '/ws/faults/F' || k || CASE WHEN k % 10 = 9 THEN '.kt' ELSE '.java' END AS path,
+            ['duplicate_import', 'unused_import', 'missing_return_statement', 'type_mismatch_assignment', 'unchecked_cast', 'incompatible_return_type', 'variable_used_before_assignment', 'syntax_error', 'duplicate_method_signature', 'null_safety_violation'][CAST(k % 10 + 1 AS INT)] AS code,
+            CASE WHEN k % 10 IN (0, 1, 4) THEN 'warning' ELSE 'error' END AS severity FROM types""",
+        "jar_pairing": """SELECT b.p AS byte_jar, s.p AS src_jar FROM (SELECT s_suppkey AS k, '/repo/lib-' || s_suppkey || '.jar' AS p FROM supplier WHERE s_suppkey % 2 = 0) b
+          FULL JOIN (SELECT s_suppkey AS k, '/repo/lib-' || s_suppkey || '-sources.jar' AS p FROM supplier WHERE s_suppkey % 3 = 0) s ON b.k = s.k""",
+        "jar_name_filter": """SELECT CASE WHEN s_suppkey % 7 <> 6 THEN '/repo/lib-' || s_suppkey || CASE s_suppkey % 5 WHEN 0 THEN '.jar' ELSE '-sources.jar' END END AS path, s_suppkey AS s FROM supplier WHERE s_suppkey % 7 = 6 OR s_suppkey % 5 IN (0, 4)""",
+        "line_entry_guard": "SELECT doc_id FROM documents WHERE length(text) - length(replace(text, chr(10), '')) <= 5",
+        "type_ref_parse": "SELECT fqn, CASE k % 3 WHEN 0 THEN short_name WHEN 1 THEN 'Map' ELSE 'Set' END AS base, CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN short_name || '|List<T' || (k % 4) || '>' ELSE short_name END AS args FROM types",
+        "type_substitution": "SELECT fqn, CASE WHEN k % 2 = 0 THEN 'Map<' || short_name || ', List<int>>' ELSE 'int' END AS resolved FROM types",
+        "param_type_normalise": "SELECT fqn, CASE k % 5 WHEN 0 THEN 'List' WHEN 1 THEN short_name || '[]' WHEN 3 THEN short_name || '[][]' ELSE 'int' END AS name FROM types",
+        "descriptor_parse": "SELECT fqn, ['', 'int', 'byte[],int,int', 'java.lang.String,long[][]'][CAST(k % 4 + 1 AS INT)] AS params, ['void', 'boolean', 'java.util.List[]'][CAST(k % 3 + 1 AS INT)] AS result FROM types",
+        "signature_parse": "SELECT fqn, ['', 'T', 'K,V'][CAST(k % 3 + 1 AS INT)] AS formals, ['T', 'Map<K, List<?>>'][CAST(k % 2 + 1 AS INT)] AS params, 'Entry<K, V>' AS result FROM types",
+        "stream_debounce_upsert": "SELECT uri, max(version) AS version, arg_max(kind, version) AS kind FROM changes WHERE kind IN ('open', 'change') GROUP BY uri",
+    }.items()
+}

@@ -44,3 +44,36 @@ EXTERNAL_SYMBOLS = T.StructType(
     [*_SYMBOL_HEAD, T.StructField("jar_path", T.StringType()), T.StructField("source_file_path", T.StringType()), T.StructField("alt_jar_path", T.StringType()), T.StructField("needs_decompilation", T.BooleanType()), *_SYMBOL_TAIL]
 )
 SUPERS = T.StructType([T.StructField(n, T.StringType()) for n in ("symbol_fqn", "super_short_name", "super_fqn")])
+
+
+def _records(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+
+
+_S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
+_AT = {"line": _I, "col": _I}
+_SPAN = {"line_start": _I, "char_start": _I, "line_end": _I, "char_end": _I}
+
+#: One row per source file, facts nested; explode what a query needs.
+FACTS = T.StructType(
+    [
+        T.StructField("path", _S),
+        T.StructField("language", _S),
+        T.StructField("package", _S),
+        T.StructField("symbols", T.ArrayType(SYMBOLS)),
+        T.StructField("supers", T.ArrayType(SUPERS)),
+        T.StructField("imports", _records(ordinal=_I, import_text=_S, raw=_S, is_wildcard=_B, is_implicit=_B, is_static=_B, alias=_S, line=_I)),
+        T.StructField("type_refs", _records(name=_S, **_AT)),
+        T.StructField("declared_types", _records(name=_S)),
+        T.StructField("class_decls", _records(name=_S, **_AT, is_abstract=_B, parents=T.ArrayType(_S), methods=_records(name=_S, param_types=T.ArrayType(_S), has_body=_B))),
+        T.StructField("creations", _records(type_name=_S, **_AT)),
+        T.StructField("accesses", _records(receiver=_S, member=_S, **_AT)),
+        T.StructField("generic_usages", _records(type_name=_S, n_args=_I, **_AT)),
+        T.StructField("overrides", _records(containing=_S, method=_S, return_type=_S, **_AT)),
+        T.StructField("calls", _records(receiver=_S, method=_S, **_AT, args=_records(kind=_S, text=_S))),
+        T.StructField("scope_decls", _records(name=_S, type_name=_S, **_AT, scope_line_start=_I, scope_char_start=_I, scope_line_end=_I, scope_char_end=_I)),
+        T.StructField("diagnostics", _records(code=_S, severity=_S, message=_S, **_SPAN)),
+        T.StructField("spans", _records(kind=_S, **_SPAN)),
+        T.StructField("error", _S),
+    ]
+)
