@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import guarded, text_or_empty, words_of
+from .common import guarded, stored, text_or_empty, words_of
 
 GRAM = 3
 #: Diagonals at most this far apart belong to one span; share of a template's k-grams that a span must show.
@@ -57,6 +57,16 @@ def _grams(words: str, short: list[tuple[int, str]]) -> Column:
     return F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])
 
 
+def _hashes(words: str, short: list[tuple[int, str]]) -> Column:
+    """The hashes of what _grams gives, without its strings."""
+    gram = lambda k: f"xxhash64(concat_ws(' ', w{''.join(f', get({words}, i + {j})' for j in range(1, k))}))"
+    parts = [f"slice(transform({words}, (w, i) -> {gram(GRAM)}), 1, greatest(0, size({words}) - {GRAM - 1}))"]
+    for k in sorted({k for k, _ in short}):
+        first = ", ".join("'" + w.replace("'", "\\'") + "'" for n, w in short if n == k)
+        parts.append(f"filter(transform({words}, (w, i) -> if(w in ({first}), {gram(k)}, null)), h -> h is not null)")
+    return F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])
+
+
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -70,8 +80,14 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     places, n = template_grams(spark, templates)
     short = [(len(t.split()), t.split()[0]) for _, t in [*PHRASES, *templates] if len(t.split()) < GRAM]
     text = text_or_empty(text_col)
-    worded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
-    grams = worded.select("doc_id", "th", F.explode(_grams("words", short)).alias("g")).select("doc_id", "th", F.col("g.at").alias("at"), F.col("g.gram").alias("d_gram"), F.xxhash64("g.gram").alias("h"))
+    told = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    worded = told.select("doc_id", "th", words_of(F.col("text")).alias("words"))
+    # first all k-grams by their hashes alone, then, in the documents that any of them hit, word by word
+    keys = guarded(places.select(F.xxhash64("gram").alias("h")).distinct(), n)
+    touched = stored(worded.select("doc_id", "th", F.explode(_hashes("words", short)).alias("h")).join(keys, "h").select(F.col("doc_id").alias("c_id"), F.col("th").alias("c_th")).distinct(), "touched")
+    near = guarded(touched, touched.count())
+    close = told.join(near, (F.col("th") == F.col("c_th")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi").select("doc_id", "th", words_of(F.col("text")).alias("words"))
+    grams = close.select("doc_id", "th", F.explode(_grams("words", short)).alias("g")).select("doc_id", "th", F.col("g.at").alias("at"), F.col("g.gram").alias("d_gram"), F.xxhash64("g.gram").alias("h"))
     hits = (
         grams.join(guarded(places.withColumn("h", F.xxhash64("gram")), n), "h")
         .where(F.col("d_gram") == F.col("gram"))
