@@ -23,7 +23,7 @@ from .common import map_texts
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers between batches.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 MEMO_PAIRS = 400_000
 
 
