@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,36 +14,56 @@ from .rank import first_by
 OBJECT_METHODS = ("equals", "hashCode", "toString", "getClass", "notify", "notifyAll", "wait", "clone", "finalize")
 
 
-def closure(edges: DataFrame, most_levels: int = 1000) -> DataFrame:
+#: Edges up to which the closure is tried as one recursive query; its own limits (levels, rows) send it to the loop.
+RECURSIVE_EDGES = 100_000
+
+
+def closure(edges: DataFrame, recursive_edges: int = RECURSIVE_EDGES) -> DataFrame:
     """edges(child, parent, ordinal) -> child, ancestor, depth, path: the first way to each ancestor in depth-first order.
 
-    path is the list of edge ordinals; lists compare element by element, so their order is pre-order. Ways are
-    extended level by level from the last level's gains alone; a way that returns to a visited type ends, so
-    cycles do no harm. Each level is a stored table: the plan stays one join deep whatever the depth.
+    path is the list of edge ordinals; lists compare element by element, so their order is pre-order. A way that
+    returns to a visited type ends, so cycles do no harm. Small graphs go through one recursive query, others,
+    and those beyond its limits, level by level.
     """
     edges = stored(edges.where("parent is not null and child <> parent").groupBy("child", "parent").agg(F.min("ordinal").alias("ordinal")), "edges")
+    out = ["child", "ancestor", F.size("path").alias("depth"), "path"]
+    if edges.count() <= recursive_edges:
+        try:
+            return stored(_by_query(edges), "closure").select(*out)
+        except Exception as e:  # more levels or rows than the session lets a recursive query have
+            if "RECURSION" not in str(e):
+                raise
+    return _by_levels(edges).select(*out)
+
+
+def _by_query(edges: DataFrame) -> DataFrame:
+    return edges.sparkSession.sql(
+        """
+        WITH RECURSIVE edge AS (SELECT * FROM {edges}), way AS (
+          SELECT child, parent AS ancestor, array(ordinal) AS path, array(child, parent) AS visited FROM edge
+          UNION ALL
+          SELECT w.child, e.parent, concat(w.path, array(e.ordinal)), concat(w.visited, array(e.parent)) FROM way w JOIN edge e ON w.ancestor = e.child WHERE NOT array_contains(w.visited, e.parent))
+        SELECT child, ancestor, min(path) AS path FROM way GROUP BY child, ancestor
+        """,
+        edges=edges,
+    )
+
+
+def _by_levels(edges: DataFrame) -> DataFrame:
+    """Ways are extended from the last level's gains alone; each level is a stored table, so the plan stays one join deep."""
     way = ["child", "ancestor", "path", "visited"]
     best = stored(edges.select("child", F.col("parent").alias("ancestor"), F.array("ordinal").alias("path"), F.array("child", "parent").alias("visited")), "closure")
     gains, levels = best, [best]
     step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"), "ordinal")
-    for _ in range(most_levels):
+    while True:
         further = gains.join(step, "ancestor").where(~F.array_contains("visited", F.col("next")))
         further = further.select("child", F.col("next").alias("ancestor"), F.concat("path", F.array("ordinal")).alias("path"), F.concat("visited", F.array("next")).alias("visited"))
         further = further.groupBy("child", "ancestor").agg(F.min_by(F.struct("path", "visited"), "path").alias("w")).select("child", "ancestor", "w.path", "w.visited")
-        known = levels[0]
-        for x in levels[1:]:
-            known = known.unionByName(x)
-        known = known.groupBy("child", "ancestor").agg(F.min("path").alias("old"))
+        known = reduce(DataFrame.unionByName, levels).groupBy("child", "ancestor").agg(F.min("path").alias("old"))
         gains = stored(further.join(known, ["child", "ancestor"], "left").where("old is null or path < old").select(*way), "closure")
         if gains.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, levels).groupBy("child", "ancestor").agg(F.min("path").alias("path"))
         levels.append(gains)
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    if len(levels) > 1:
-        every = every.groupBy("child", "ancestor").agg(F.min("path").alias("path"))
-    return every.select("child", "ancestor", F.size("path").alias("depth"), "path")
 
 
 def with_self(closed: DataFrame, types: DataFrame) -> DataFrame:
@@ -77,10 +99,10 @@ def component(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         seen = both.join(labels, both["b"] == labels["node"]).select(both["a"].alias("node"), "root").unionByName(labels)
-        low = stored(seen.groupBy("node").agg(F.min("root").alias("root")), "labels")
+        low = seen.groupBy("node").agg(F.min("root").alias("root"))
         up = low.select(F.col("node").alias("via"), F.col("root").alias("top"))
-        new = stored(low.join(up, low["root"] == up["via"]).select("node", F.least("root", "top").alias("root")), "labels")
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = new
-        if not changed:
+        old = labels.select("node", F.col("root").alias("old"))
+        new = stored(low.join(up, low["root"] == up["via"]).select("node", F.least("root", "top").alias("root")).join(old, "node"), "labels")
+        labels = new.select("node", "root")
+        if new.where("root <> old").isEmpty():
             return labels.select(F.col("node").alias("fqn"), F.col("root").alias("component"))

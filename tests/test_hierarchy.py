@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -19,22 +20,24 @@ def walk(edges, start):
     return out
 
 
-def closed(spark, edges):
-    rows = hierarchy.closure(spark.createDataFrame(edges, "child string, parent string, ordinal int")).collect()
+def closed(spark, edges, recursive_edges=100):
+    rows = hierarchy.closure(spark.createDataFrame(edges, "child string, parent string, ordinal int"), recursive_edges).collect()
     got = {}
     for r in sorted(rows, key=lambda r: list(r.path)):
         got.setdefault(r.child, []).append(r.ancestor)
     return got
 
 
-def test_grandparent_by_the_first_parent_comes_before_the_second_parent(spark):
+@pytest.mark.parametrize("recursive", [0, 100])
+def test_grandparent_by_the_first_parent_comes_before_the_second_parent(spark, recursive):
     edges = [("A", "B", 0), ("A", "C", 1), ("B", "D", 0), ("C", "D", 0), ("D", "E", 0)]
-    assert closed(spark, edges)["A"] == ["B", "D", "E", "C"]
+    assert closed(spark, edges, recursive)["A"] == ["B", "D", "E", "C"]
 
 
-def test_cycles_end(spark):
+@pytest.mark.parametrize("recursive", [0, 100])
+def test_cycles_end(spark, recursive):
     edges = [("A", "B", 0), ("B", "C", 0), ("C", "D", 0), ("D", "B", 0), ("A", "A", 1), ("X", None, 0)]
-    got = closed(spark, edges)
+    got = closed(spark, edges, recursive)
     assert got["A"] == ["B", "C", "D"] and got["B"] == ["C", "D"] and "X" not in got
 
 
@@ -43,10 +46,20 @@ def test_cycles_end(spark):
 def test_closure_is_depth_first_order_of_trees_and_reaches_all(spark, pairs):
     edges = [(f"n{a}", f"n{b}", i) for i, (a, b) in enumerate(dict.fromkeys(pairs)) if a != b] or [("n0", "n1", 0)]
     got = closed(spark, edges)
+    assert got == closed(spark, edges, 0)
     for c, _, _ in edges:
         assert set(got[c]) == set(walk(edges, c))
 
 
+def test_more_levels_than_a_recursive_query_has(spark):
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", "3")
+    try:
+        edges = [(f"n{i}", f"n{i + 1}", 0) for i in range(6)]
+        assert closed(spark, edges, 1000)["n0"] == ["n1", "n2", "n3", "n4", "n5", "n6"]
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionLevelLimit")
+
+
 def test_component(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("y", "x"), ("z", None)], "child string, parent string")
     assert {r.fqn: r.component for r in hierarchy.component(edges).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
