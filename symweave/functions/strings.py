@@ -90,3 +90,26 @@ def hover(language: Column, package: Column, name: Column, kind: Column, modifie
     signature = F.array_join(F.filter(F.concat(F.coalesce(modifiers, F.expr("cast(array() as array<string>)")), F.array(word, body)), lambda x: x != ""), " ")
     block = F.concat(F.lit("```"), language, F.lit("\npackage "), package, F.lit("\n\n"), signature, F.lit("\n```"))
     return block if documentation is None else F.concat(block, F.coalesce(F.concat(F.lit("\n\n---\n"), documentation), F.lit("")))
+
+
+# Reserved words that cannot be names.
+RESERVED = {
+    "java": tuple("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split()),
+    "groovy": tuple("abstract as assert boolean break byte case catch char class const continue def default do double else enum extends final finally float for goto if implements import in instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws trait transient try void volatile while true false null".split()),
+    "kotlin": tuple("as break class continue do else false for fun if in interface is null object package return super this throw true try typealias typeof val var when while".split()),
+}
+
+
+def is_valid_identifier(name: Column, language: Column) -> Column:
+    """An ASCII identifier that is no reserved word of its language."""
+    reserved = F.lit(False)
+    for g, words in RESERVED.items():
+        reserved = reserved | ((language == g) & name.isin(*words))
+    return F.coalesce(name.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*\z") & ~reserved, F.lit(False))
+
+
+def byte_offset(text: Column, line: Column, col: Column) -> Column:
+    """UTF-8 offset of a (line, character) position; a position beyond its line counts as the line's end."""
+    lines = F.split(text, "\n")
+    before = F.aggregate(F.slice(lines, F.lit(1), line), F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 1)
+    return before + F.octet_length(F.left(F.get(lines, line), col))

@@ -70,6 +70,8 @@ FACTS = T.StructType(
         T.StructField("accesses", _records(receiver=_S, member=_S, **_AT)),
         T.StructField("generic_usages", _records(type_name=_S, n_args=_I, **_AT)),
         T.StructField("overrides", _records(containing=_S, method=_S, return_type=_S, **_AT)),
+        T.StructField("narrowing", _records(declared_type=_S, rhs_name=_S, **_AT)),
+        T.StructField("idents", _records(name=_S, is_qualified=_B, **_AT)),
         T.StructField("calls", _records(receiver=_S, method=_S, **_AT, args=_records(kind=_S, text=_S))),
         T.StructField("scope_decls", _records(name=_S, type_name=_S, **_AT, scope_line_start=_I, scope_char_start=_I, scope_line_end=_I, scope_char_end=_I)),
         T.StructField("diagnostics", _records(code=_S, severity=_S, message=_S, **_SPAN)),

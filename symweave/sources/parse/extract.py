@@ -95,7 +95,7 @@ class Parser:
         self.index = {x.at: k for k, x in enumerate(self.t)}
         self.kotlin = language == "kotlin"
         self.package: str | None = None
-        self.out: dict[str, list[dict[str, Any]]] = {k: [] for k in ("symbols", "supers", "imports", "type_refs", "declared_types", "class_decls", "creations", "accesses", "generic_usages", "overrides", "calls", "scope_decls", "diagnostics")}
+        self.out: dict[str, list[dict[str, Any]]] = {k: [] for k in ("symbols", "supers", "imports", "type_refs", "declared_types", "class_decls", "creations", "accesses", "generic_usages", "overrides", "narrowing", "calls", "scope_decls", "diagnostics")}
 
     # -- small tools --
 
@@ -159,6 +159,9 @@ class Parser:
         for n, text in enumerate(IMPLICIT[self.language]):
             self.out["imports"].append({"ordinal": n - 1000, "import_text": text, "raw": text, "is_wildcard": text.endswith(".*"), "is_implicit": True, "is_static": False, "alias": None, "line": -1})
         self.find_type_refs()
+        self.out["idents"] = [
+            {"name": t.text, "is_qualified": bool(i) and self.t[i - 1].text in (".", "?.", "::"), "line": t.line, "col": t.col} for i, t in enumerate(self.t) if t.kind == "id" and t.text not in NOT_NAMES and t.text not in PRIMITIVES
+        ]
         return {"path": self.path, "language": self.language, "package": self.package, **self.out, "spans": spans}
 
     def header(self) -> int:
@@ -788,7 +791,10 @@ class Parser:
                 kind = None if untyped and t.text != "final" else written(self.t[i + (t.text == "final") : e], self.text)
                 if self.is_(e + 1, "="):
                     v = self.expression_end(e + 2, end)
-                    self.check_value("type_mismatch_assignment", kind, self.t[e + 2 : v])
+                    value = self.t[e + 2 : v]
+                    self.check_value("type_mismatch_assignment", kind, value)
+                    if kind in PRIMITIVES and len(value) == 1 and value[0].kind == "id" and literal_kind(value) is None:
+                        self.out["narrowing"].append({"declared_type": kind, "rhs_name": value[0].text, "line": self.t[e].line, "col": self.t[e].col})
                     if kind is None:
                         kind = self.value_type(self.t[e + 2 : v])
                 self.local(self.t[e], kind, scope_end)
