@@ -68,7 +68,10 @@ class Universe:
         name = F.when(function & (o % 20 == 19), text("getM", k % 5)).when(function & (o % 20 == 18), text("isM", k % 5)).otherwise(text("m", o % 20))
         arity = n % 4
         params = F.when(function, F.transform(F.expr("if(l_linenumber % 4 = 0, cast(array() as array<bigint>), sequence(0L, cast(l_linenumber % 4 as bigint) - 1))"), lambda i: pick(PARAM_TYPES, o + i)))
-        rows = self.lines.join(owner, k == F.col("o_k")).join(result, F.floor(k / 2) == F.col("r_k"))
+        # all that a member shows follows from the owner, the order key modulo 60 and the line number, so rows are made
+        # distinct on those small integers before any text is built
+        keys = self.lines.select("l_partkey", (F.col("l_orderkey") % 60).alias("l_orderkey"), "l_linenumber").distinct()
+        rows = keys.join(owner, k == F.col("o_k")).join(result, F.floor(k / 2) == F.col("r_k"))
         rows = rows.select(
             name.alias("short_name"),
             "parent_name",
@@ -81,7 +84,7 @@ class Universe:
             F.when(o % 3 == 0, F.col("r_short")).when(o % 3 == 1, "int").otherwise("void").alias("return_type"),
             (100 + (o % 20) * 10 + arity).cast("int").alias("line"),
         )
-        return rows.distinct().withColumn("fqn", text(F.col("parent_name"), "#", F.col("short_name")))
+        return rows.withColumn("fqn", text(F.col("parent_name"), "#", F.col("short_name")))
 
     @cached_property
     def symbols(self) -> DataFrame:
