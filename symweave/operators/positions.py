@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from ..sources.workspace import facts
 from .rank import first_by, prioritised
 from .requests import in_span
@@ -40,7 +41,8 @@ def symbols_at(cursors: DataFrame, parsed: DataFrame, imports: DataFrame, symbol
     """
     keys = ["file_path", "c_line", "c_col"]
     out = [*keys, "name", "origin", "target"]
-    hits = _hit(cursors, _names(parsed))
+    # what several branches read is stored, so that no branch plans or does the work of another again
+    hits = stored(_hit(cursors, _names(parsed)), "hits")
     types = facts(parsed, "type_refs").select(F.col("path").alias("t_path"), F.col("line").alias("t_line"), F.col("col").alias("t_col"))
     typed = hits.join(types, (F.col("file_path") == F.col("t_path")) & (F.col("n_line") == F.col("t_line")) & (F.col("n_col") == F.col("t_col")), "left_semi")
     calls = facts(parsed, "calls").select("path", "receiver", F.col("method").alias("member"), "line", "col").unionByName(facts(parsed, "accesses").select("path", "receiver", "member", "line", "col")).distinct()
@@ -48,13 +50,13 @@ def symbols_at(cursors: DataFrame, parsed: DataFrame, imports: DataFrame, symbol
     qualified = hits.join(calls, (F.col("file_path") == F.col("a_path")) & (F.col("n_line") == F.col("a_line")) & (F.col("n_col") == F.col("a_col"))).drop("a_path", "a_line", "a_col")
     owners = qualified.select("file_path", "package_name", F.col("receiver").alias("name"), F.lit(False).alias("is_qualified"), "n_line", "n_col").distinct()
     variables = local_declarations(owners, parsed).select("file_path", F.col("name").alias("receiver"), "n_line", "n_col", F.regexp_replace("type_name", r"<.*|\?$", "").alias("type_name"))
-    named = qualified.join(variables, ["file_path", "receiver", "n_line", "n_col"], "left").withColumn("owner", F.coalesce("type_name", "receiver"))
+    named = stored(qualified.join(variables, ["file_path", "receiver", "n_line", "n_col"], "left").withColumn("owner", F.coalesce("type_name", "receiver")), "named")
     asked = typed.select("file_path", "package_name", "name").unionByName(named.select("file_path", "package_name", F.col("owner").alias("name"))).unionByName(hits.where("not is_qualified").select("file_path", "package_name", "name")).distinct()
-    fqns = resolve_fqn(asked, imports, symbols, external).select("file_path", F.col("name").alias("f_name"), "fqn")
+    fqns = stored(resolve_fqn(asked, imports, symbols, external).select("file_path", F.col("name").alias("f_name"), "fqn"), "named-types")
     known = symbols.select("fqn", F.lit("project").alias("origin")).unionByName(external.select("fqn", F.lit("external").alias("origin"))).groupBy("fqn").agg(F.max("origin").alias("origin"))
     by_type = typed.join(fqns.withColumnRenamed("file_path", "f_path"), (F.col("file_path") == F.col("f_path")) & (F.col("name") == F.col("f_name"))).join(known, "fqn").select(*keys, "name", "origin", F.col("fqn").alias("target"))
     placed = named.join(fqns.withColumnRenamed("file_path", "f_path"), (F.col("file_path") == F.col("f_path")) & (F.col("owner") == F.col("f_name"))).select(*keys, F.col("fqn").alias("receiver"), F.col("name").alias("method"))
-    found = resolve_members(placed, reach, members, external).select("receiver", "method", "target")
+    found = stored(resolve_members(placed, reach, members, external).select("receiver", "method", "target"), "found")
     by_member = placed.join(found, ["receiver", "method"]).join(known, F.col("target") == known["fqn"]).select(*keys, F.col("method").alias("name"), "origin", "target")
     by_local = local_declarations(hits, parsed).select(*keys, "name", F.lit("local").alias("origin"), F.concat_ws(":", "file_path", "d_line", "d_col").alias("target"))
     by_name = hits.where("not is_qualified").join(fqns.withColumnRenamed("file_path", "f_path"), (F.col("file_path") == F.col("f_path")) & (F.col("name") == F.col("f_name"))).join(known, "fqn").select(*keys, "name", "origin", F.col("fqn").alias("target"))
@@ -68,6 +70,6 @@ def local_references(cursors: DataFrame, parsed: DataFrame) -> DataFrame:
     A mention belongs to its innermost declaration, so names declared again inside are left alone, and so are members.
     """
     names = _names(parsed)
-    asked = local_declarations(_hit(cursors, names), parsed).select("file_path", "name", "d_line", "d_col").distinct()
+    asked = stored(local_declarations(_hit(cursors, names), parsed).select("file_path", "name", "d_line", "d_col").distinct(), "declared")
     every = names.join(asked.select("file_path", "name").distinct(), ["file_path", "name"], "left_semi").select("file_path", F.col("package").alias("package_name"), "name", "is_qualified", F.col("line").alias("n_line"), F.col("col").alias("n_col"))
     return local_declarations(every, parsed).join(asked, ["file_path", "name", "d_line", "d_col"], "left_semi").select("file_path", F.col("n_line").alias("line"), F.col("n_col").alias("col"), "name").distinct()
