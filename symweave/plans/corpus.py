@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import shared_dir
+from ..durable import shared_path
 from ..functions import types as typefn
 from ..sources import dependencies, workspace
 from ..universe import Universe, pick, text
@@ -145,7 +145,7 @@ def stream_debounce_upsert(u: Universe) -> DataFrame:
     spark = u.spark
     schema = spark.read.parquet(f"{u.sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{u.sf_dir}/events.parquet*")
-    base = f"{shared_dir(spark)}/symweave/stream-{abs(hash((u.sf_dir, id(stream))))}"
+    base = shared_path(spark, "stream")
     kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "change")
     changes = stream.select(F.col("user_id").alias("uri"), kind.alias("kind"), F.col("event_id").alias("version")).where("kind is not null")
     state = {"path": None}

@@ -35,9 +35,9 @@ def too_long(text: Column, lines: int = MAX_LINES) -> Column:
 
 
 def scan_workspace(spark: SparkSession, root: str) -> DataFrame:
-    """path, language, text of every source file under root."""
+    """path, language, text of every source file under root; local paths without their scheme."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{java,groovy,kt}").text(root, wholetext=True)
-    return with_language(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return with_language(files.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), F.col("value").alias("text")))
 
 
 def with_language(files: DataFrame) -> DataFrame:
