@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate places, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared word pairs vote for candidate places, Smith-Waterman alignment scores them.
 
-Seeds are word n-grams of the test items, joined to all n-grams of all documents. An item's seeds are its
-n-grams that few documents hold, and those that are no more frequent than its other ones: an item whose passage
-stands in very many documents keeps its seeds, and only phrases that are common beyond it are left out. Around each seed's diagonal the document's words are aligned with the
-item's; single words may be changed, dropped or added.
+A place that scores enough agrees in many words and has few edits between them, so a number of the item's
+neighbouring word pairs stand in it unbroken (`_seeds` has the count). All pairs of all documents are joined to
+those of the items; stretches of a document that hold that many are aligned with the item. No place that the
+alignment accepts is left out, however frequent its phrases are; single words may be changed, dropped or added.
 """
 
 from __future__ import annotations
@@ -18,11 +18,6 @@ from pyspark.sql.window import Window
 
 from .common import guarded, stored, text_or_empty, words_of
 
-GRAM = 4
-#: Share of documents up to which an n-gram counts as rare; beyond it one must be so many times as frequent as
-#: the item's n-grams usually are to count as common.
-RARE_SHARE = 1e-3
-COMMON = 4
 #: Alignment score over the best possible one (2 a word that agrees, -1 a changed, dropped or added one):
 #: 0.7 is reached with four words in five kept.
 LEAST_SCORE = 0.7
@@ -82,36 +77,60 @@ def score_pairs(windows: list[list[str]], items: list[list[str]]) -> list[float]
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_share: float = RARE_SHARE) -> DataFrame:
+def _seeds(items: DataFrame, least: float) -> DataFrame:
+    """k, gram, item_id, need, reach: the n-grams that vote for places of an item, and how many votes a place has.
+
+    An alignment of M words that agree and E edits scores 2M - E. Where that is at least T, M >= T/2, and as M is at
+    most the item's size L, E <= 2L - T. At most E of the M - 1 steps between words that agree are broken, so at
+    least M - 1 - E >= T - L - 1 of the item's word pairs stand in the place. Where that says nothing (very short
+    items, low scores), single words vote, at least T/2 of them.
+
+    Of the votes that a place must have, up to half may be forgone: the pairs that most items share are not
+    looked up, and as many votes less are asked for.
+    """
+    size = F.col("item_size")
+    total = F.ceil(F.lit(MATCH * least) * size - F.lit(1e-9))
+    pairs = total - size - 1
+    reach = size + F.greatest(F.lit(2), (size * (1 - least)).cast("int") + 1)
+    sized = items.select("item_id", "item_words", F.size("item_words").alias("item_size"))
+    asked = sized.select(
+        "item_id", "item_words",
+        F.when(pairs >= 1, 2).otherwise(1).alias("k"),
+        F.when(pairs >= 1, pairs).otherwise(F.greatest(F.lit(1), F.ceil(total / MATCH))).cast("int").alias("votes"),
+        F.greatest(F.lit(1), reach).cast("int").alias("reach"),
+    )
+    own = reduce(DataFrame.unionByName, [asked.where(F.col("k") == k).select("item_id", "k", "votes", "reach", F.posexplode(_grams("item_words", k)).alias("t_at", "gram")) for k in (1, 2)])
+    own = stored(own, "item-grams")
+    shared = own.groupBy("gram").agg(F.count(F.lit(1)).alias("shared"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "t_at"))
+    forgone = (F.col("shared") > 1) & (F.col("nth") <= F.floor(F.col("votes") / 2))
+    told = own.join(shared, "gram").withColumn("nth", nth).withColumn("forgone", forgone)
+    need = F.col("votes") - F.sum(F.col("forgone").cast("int")).over(Window.partitionBy("item_id"))
+    return told.withColumn("need", need.cast("int")).where("not forgone").select("k", "gram", "item_id", "need", "reach")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, n_seeds: the best place of each test item in each document that holds it.
 
-    Words are lower-cased runs of letters and digits. Items shorter than the n-gram are sought as a whole; items
-    without words and null texts match nothing. Documents with a null id are not reported. Repeated rows of an
-    id count as one document. Empty tables give no rows; other columns are not read.
+    Words are lower-cased runs of letters and digits. Items without words and null texts match nothing; first_word
+    is where the aligned stretch starts, n_seeds the votes in it. Documents with a null id are not reported. Repeated
+    rows of an id count as one document. Empty tables give no rows; other columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text_or_empty("text")).alias("item_words")).where("item_id is not null and size(item_words) > 0").dropDuplicates(["item_id"])
     items = stored(items, "items")
-    sizes = sorted({GRAM} | {r["k"] for r in items.select(F.least(F.size("item_words"), F.lit(GRAM)).alias("k")).distinct().collect()})
-    parts = [
-        items.where(F.least(F.size("item_words"), F.lit(GRAM)) == k).select("item_id", F.size("item_words").alias("item_size"), F.posexplode(_grams("item_words", k)).alias("t_at", "gram")) for k in sizes
-    ]
-    own = stored(reduce(DataFrame.unionByName, parts), "item-grams")
-    keys = own.select("gram").distinct()
+    seeds = stored(_seeds(items, least), "seeds")
+    sizes = {r["k"]: r["n"] for r in seeds.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()} or {2: 0}
     worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text_or_empty("text")).alias("words")).where("doc_id is not null")
-    sought = guarded(keys, keys.count())
-    hits = stored(reduce(DataFrame.unionByName, [worded.select("doc_id", F.posexplode(_grams("words", k)).alias("at", "gram")).join(sought, "gram").select("doc_id", "at", "gram") for k in sizes]), "seed-hits")
-    n = docs.count()
-    known = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
-    usual = F.median("held").over(Window.partitionBy("item_id"))
-    seeds = own.join(known, "gram").withColumn("usual", usual).where((F.col("held") <= F.lit(rare_share * n)) | (F.col("held") <= COMMON * F.col("usual"))).select("gram", "item_id", "item_size", "t_at")
-    seeds = stored(seeds, "seeds")
-    slack = F.greatest(F.lit(2), (F.col("item_size") * (1 - least)).cast("int") + 1)
+    hits = reduce(DataFrame.unionByName, [worded.select("doc_id", F.posexplode(_grams("words", k)).alias("at", "gram")).join(guarded(seeds.where(F.col("k") == k).drop("k"), n), "gram") for k, n in sorted(sizes.items())])
+    # a place is at most reach words long, so it lies in the cell where it starts and the next one
+    cell = F.floor(F.col("at") / F.col("reach"))
     places = (
-        hits.join(guarded(seeds, seeds.count()), "gram")
-        .select("doc_id", "item_id", "item_size", (F.col("at") - F.col("t_at")).alias("diagonal"), slack.alias("slack"))
-        .groupBy("doc_id", "item_id", "item_size", "slack", F.floor(F.col("diagonal") / (F.col("slack") + 1)).alias("band"))
-        .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.count(F.lit(1)).alias("n_seeds"))
-        .select("doc_id", "item_id", "n_seeds", F.greatest(F.lit(0), F.col("low") - F.col("slack")).cast("int").alias("start"), (F.col("high") + F.col("item_size") + F.col("slack")).cast("int").alias("stop"))
+        hits.select("doc_id", "item_id", "need", "reach", F.explode(F.array(cell, cell - 1)).alias("cell"))
+        .where("cell >= 0")
+        .groupBy("doc_id", "item_id", "need", "reach", "cell")
+        .agg(F.count(F.lit(1)).alias("n_seeds"))
+        .where("n_seeds >= need")
+        .select("doc_id", "item_id", "n_seeds", (F.col("cell") * F.col("reach")).cast("int").alias("start"), ((F.col("cell") + 2) * F.col("reach")).cast("int").alias("stop"))
     )
     places = stored(places, "places")
     near = guarded(places, places.count())

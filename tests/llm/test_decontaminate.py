@@ -71,3 +71,50 @@ def test_every_whole_passage_is_found(spark, sf):
     texts, items = {r.doc_id: plain(r.text) for r in table.collect()}, {r.item_id: plain(r.text) for r in bench.collect()}
     whole = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
     assert whole <= {(g.doc_id, g.item_id) for g in decontaminate.contaminated(table, bench).where("score = 1").collect()}
+
+
+def found(spark, bodies, item, r):
+    """Ids of the texts that are found to hold the item, and of those that whole-document alignment accepts."""
+    rows = [(i, " ".join(b)) for i, b in enumerate(bodies)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(words(r, 30)))], "item_id long, text string")
+    got = {g.doc_id: g.score for g in decontaminate.contaminated(docs(spark, rows), bench).collect() if g.item_id == 1}
+    want = {i: brute_align(b, item) / (2 * len(item)) for i, b in enumerate(bodies)}
+    return got, {i: s for i, s in want.items() if s >= decontaminate.LEAST_SCORE}
+
+
+def test_copies_without_a_run_of_four_words(spark):
+    r = random.Random(6)
+    short, long = ([f"{p}{i}" for i in range(n)] for p, n in (("s", 15), ("l", 40)))
+    changed = ["other" if i in (3, 7, 11) else w for i, w in enumerate(short)]
+    for item, copy in ((short, changed), (long, [x for i, w in enumerate(long) for x in ([w, "more"] if i % 3 == 2 else [w])]), (long[:2], [long[0], "more", long[1]])):
+        bodies = [words(r, n) + copy + words(r, 30) for n in (0, 7, 20, 33, 90)] + [words(r, 200)]
+        got, want = found(spark, bodies, item, r)
+        assert got == want and set(want) == {0, 1, 2, 3, 4}
+
+
+def test_edited_copies_match_whole_document_alignment(spark):
+    """Copies with random edits around the least score, in documents of the item's own words, by no seed at all."""
+    r = random.Random(7)
+    item = [r.choice("abcdefghijklmnop") for _ in range(25)]
+    bodies = []
+    for n in range(150):
+        copy = list(item)
+        for _ in range(n % 12):
+            at = r.randrange(len(copy))
+            copy[at : at + r.randint(0, 1)] = [r.choice([*"abcdefghijklmnop", "new"]) for _ in range(r.randint(0, 2))]
+        bodies.append([r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 90))] + copy + words(r, 20))
+    got, want = found(spark, bodies, item, r)
+    assert got == want and 30 < len(want) < 150
+
+
+def test_documents_match_whole_document_alignment(spark, sf):
+    from symweave.llm.common import words_of
+
+    read = lambda name, key: {r[0]: r[1] for r in spark.read.parquet(f"{sf}/{name}.parquet").select(key, words_of(decontaminate.F.col("text"))).collect() if r[1]}
+    texts, items = read("documents", "doc_id"), read("benchmark", "item_id")
+    want = {}
+    for d, w in texts.items():
+        scores = decontaminate.score_pairs([w] * len(items), list(items.values()))
+        want |= {(d, i): s for i, s in zip(items, scores) if s >= decontaminate.LEAST_SCORE}
+    got = decontaminate.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    assert {(g.doc_id, g.item_id): g.score for g in got.collect()} == want and want
