@@ -85,13 +85,15 @@ def _seeds(items: DataFrame, least: float) -> DataFrame:
     least M - 1 - E >= T - L - 1 of the item's word pairs stand in the place. Where that says nothing (very short
     items, low scores), single words vote, at least T/2 of them.
 
+    A place spans the item's words and at most E added ones, so it is at most L + 2L - T words long (reach).
+
     Of the votes that a place must have, up to half may be forgone: the pairs that most items share are not
     looked up, and as many votes less are asked for.
     """
     size = F.col("item_size")
     total = F.ceil(F.lit(MATCH * least) * size - F.lit(1e-9))
     pairs = total - size - 1
-    reach = size + F.greatest(F.lit(2), (size * (1 - least)).cast("int") + 1)
+    reach = size + MATCH * size - total
     sized = items.select("item_id", "item_words", F.size("item_words").alias("item_size"))
     asked = sized.select(
         "item_id", "item_words",

@@ -118,3 +118,12 @@ def test_documents_match_whole_document_alignment(spark, sf):
         want |= {(d, i): s for i, s in zip(items, scores) if s >= decontaminate.LEAST_SCORE}
     got = decontaminate.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
     assert {(g.doc_id, g.item_id): g.score for g in got.collect()} == want and want
+
+
+def test_long_insertions(spark):
+    r = random.Random(8)
+    item = [f"w{i}" for i in range(40)]
+    copies = [item[:20] + words(r, n) + item[20:] for n in (17, 20, 24, 25)]
+    bodies = [words(r, n) + copy + words(r, 5) for copy in copies for n in (0, 31, 45, 50, 63, 64)]
+    got, want = found(spark, bodies, item, r)
+    assert got == want and set(want) == set(range(18))
