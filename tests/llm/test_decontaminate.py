@@ -127,3 +127,12 @@ def test_long_insertions(spark):
     bodies = [words(r, n) + copy + words(r, 5) for copy in copies for n in (0, 31, 45, 50, 63, 64)]
     got, want = found(spark, bodies, item, r)
     assert got == want and set(want) == set(range(18))
+
+
+def test_copies_that_keep_only_stock_phrases(spark):
+    r = random.Random(9)
+    item = [f"w{i}" for i in range(20)]
+    edited = ["other" if i in (8, 11, 14, 17) else w for i, w in enumerate(item)]
+    bodies = [words(r, 10) + item[:8] + words(r, 10) for _ in range(300)] + [words(r, 9) + item, words(r, 9) + edited]
+    got, want = found(spark, bodies, item, r)
+    assert got == want and set(want) == {300, 301}
