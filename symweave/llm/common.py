@@ -2,52 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import discard, shared_dir, shared_path, stored  # noqa: F401
+
 #: Rows up to which a counted side may be broadcast; beyond it the join is left to a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that may be broadcast beside it.
+BROADCAST_BYTES = 32 << 20
+#: Rows of 64 bits that a broadcast bitmap has at most (2^20 rows of two numbers, some 50 MB as a hash table).
+BIT_WORDS = 1 << 20
+#: The column with_row_key() adds; it must not be in docs already.
+ROW = "__row"
 #: Text bytes that a Python worker holds at once as str objects.
 SLICE_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="symweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def guarded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, of rows of fixed width, with a broadcast hint if its counted rows fit the limit, else df as it is (a shuffle join)."""
+    return F.broadcast(df) if rows <= limit else df
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/symweave/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+def guarded_texts(df: DataFrame, size: Column) -> DataFrame:
+    """df, of rows of any width, with a broadcast hint if its rows and the sum of their sizes in bytes fit the limits."""
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bit_words(keys: DataFrame) -> DataFrame:
+    """keys(key long), any number of them -> (word, bits): a bitmap of their remainders, one row for each 64 bits that
+    any of them touches, so at most BIT_WORDS rows. It is what may_hold() broadcasts."""
+    bit = F.pmod("key", F.lit(64 * BIT_WORDS))
+    one = F.expr(f"shiftleft(1L, cast(pmod(key, {64 * BIT_WORDS}) % 64 as int))")
+    return keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
 
 
-def guarded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit, else df as it is (a shuffle join)."""
-    return F.broadcast(df) if rows <= limit else df
+def may_hold(rows: DataFrame, col: str, words: DataFrame) -> DataFrame:
+    """The rows whose col (long) is among the keys of words, with a few others: more of them the fuller the bitmap."""
+    got = rows.join(F.broadcast(words), F.expr(f"shiftright(pmod({col}, {64 * BIT_WORDS}), 6)") == F.col("word"))
+    return got.where(f"shiftright(bits, cast(pmod({col}, {64 * BIT_WORDS}) % 64 as int)) & 1 = 1").drop("word", "bits")
+
+
+def with_row_key(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs and the name of a column that no two rows share: the id where it is one, else a number that the rows
+    are given once, in a stored table (numbers given anew could differ when a lost task runs again)."""
+    repeated = docs.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null")
+    if repeated.isEmpty():
+        return docs, id_col
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered"), ROW
 
 
 def ascii_lower(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = low.select(F.col("node").alias("via"), F.col("root").alias("top"))
         new = stored(low.join(up, low["root"] == up["via"]).select("node", F.least("root", "top").alias("root")), "labels")
         was, now = (x.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0] for x in (labels, new))
+        discard(labels)
+        discard(low)
         labels = new
         if was == now:  # labels only ever fall, so an equal sum means that none did
             return labels

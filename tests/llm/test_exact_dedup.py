@@ -49,3 +49,24 @@ def test_drop_copies_keeps_columns(spark):
     left = exact_dedup.drop_copies(docs(spark, [(1, "a b"), (2, "ab"), (3, "c"), (None, "ab")]))
     assert left.columns == docs(spark, []).columns
     assert sorted((r.doc_id for r in left.collect()), key=str) == [1, 3, None]
+
+
+def test_drop_copies_tells_rows_apart_by_more_than_their_id(spark):
+    rows = [(0, "b"), (1, "unique"), (1, "b"), (5, "x y"), (5, "x y"), (5, "xy"), (7, "xy"), (None, "alone"), (None, "b")]
+    left = [(r.doc_id, r.text) for r in exact_dedup.drop_copies(docs(spark, rows)).collect()]
+    assert sorted(left, key=str) == sorted([(0, "b"), (1, "unique"), (5, "x y"), (None, "alone"), (None, "b")], key=str)
+    assert exact_dedup.drop_copies(empty(spark)).count() == 0
+
+
+def test_only_repeated_hashes_send_their_texts(spark):
+    plan = exact_dedup.exact_dedup(docs(spark, AWKWARD))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_bitmap_holds_every_key(spark):
+    from symweave.llm.common import BIT_WORDS, bit_words, may_hold
+
+    keys = [0, -1, 2**63 - 1, -(2**63), 5, 64 * BIT_WORDS + 7]
+    words = bit_words(spark.createDataFrame([(k,) for k in keys], "key long"))
+    rows = spark.createDataFrame([(k, "clash") for k in [*keys, 6, 8, -3]], "k long, text string")
+    assert sorted(r.k for r in may_hold(rows, "k", words).collect()) == sorted(keys)
