@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,9 @@ from pyspark.sql.window import Window
 from .common import shared_path, sliced, stored
 
 MAGIC = b"SYMTIX01"
-#: Ids after which a task begins its next shard.
+#: Ids, and documents, after which a task begins its next shard; its index is held in memory until it is written.
 SHARD_IDS = 1 << 26
+SHARD_DOCS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
 MEMO = 800_000
 END_ID = 2
@@ -72,7 +74,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # the end marker's name in a text is ordinary text
+        # markers that stand in a text become their ids, as the library has it; one that takes in its surroundings, or
+        # holds a blank, could span a cut
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in self.tool.get_added_tokens_decoder().values())
         self.kind = np.dtype("<u2" if self.tool.get_vocab_size() <= 1 << 16 else "<u4")
         vocab = self.tool.get_vocab()
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has one character for each byte
@@ -96,7 +100,7 @@ class Encoder:
                 at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [cut(t) for t in texts]
+        cuts = [[t] if self.whole else cut(t) for t in texts]
         firsts = [self._alone(c.pop(0)) for c in cuts]
         used = set().union(*cuts)
         if len(self.known) > MEMO:  # what this batch uses stays, so frequent pieces are never lost
@@ -179,7 +183,7 @@ class ShardWriter:
     def __init__(self, fs: pa.fs.FileSystem, path: str, kind: np.dtype) -> None:
         self.fs, self.path, self.kind = fs, path, kind
         self.file = fs.open_output_stream(f"{path}.ids")
-        self.starts, self.keys, self.n_null = [0], [], 0
+        self.starts, self.keys, self.n_null = array("q", [0]), array("q"), 0
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.file.write(ids)
@@ -253,13 +257,14 @@ class Shard:
                 i = j
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Write docs in ascending order of doc_id; the manifest (one row per shard) is stored and returned:
     part, seq, path, first_key, last_key, n_docs, n_ids.
 
     Every attempt of a task writes files of its own names and the manifest lists those of the attempts that
     counted, so a lost or repeated task leaves no trace in it. Null texts are empty (the end id alone); rows
-    without an id come first and have no key; repeated ids stand together, by text.
+    without an id come first and have no key; repeated ids stand together, by a hash of the text and then by text,
+    and may be spread over tasks and shards. A text of any length is encoded whole, in memory for a few times its size.
     """
     path = tokenizer or default_tokenizer()
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
@@ -282,7 +287,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         for batch in sliced(batches, "text"):
             keys = batch.column(0).to_pylist()
             for key, ids in zip(keys, tool.encode([t or "" for t in batch.column(1).to_pylist()])):
-                if writer is not None and writer.starts[-1] >= shard_ids:
+                if writer is not None and (writer.starts[-1] >= shard_ids or len(writer.keys) >= shard_docs):
                     close()
                     writer = None
                 if writer is None:
@@ -295,7 +300,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "seq", "path", "first_key", "last_key", "n_docs", "n_ids"])
 
     # texts are dealt out before they are encoded: the sampling pass of the range exchange then only reads
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text")).repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th", "text").drop("th")
     return stored(ordered.mapInArrow(run, "part long, seq long, path string, first_key long, last_key long, n_docs long, n_ids long"), "manifest")
 
 
@@ -306,7 +311,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     indexed tells whether the key, looked up through the hash and its fingerprint, leads to its document
     (null for a document without a key).
     """
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard, in one task
     based = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
