@@ -9,7 +9,8 @@ candidates are verified on all 64 bits, and only spanning edges leave a bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import guarded, map_texts, stored
+from .common import ROW, guarded, map_texts, stored, with_row_key
 from .components import connected_components
 
 #: Fingerprints that the partition planner looks at; it steers cost only, never results.
@@ -51,17 +52,18 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long): the fingerprint's bits as a signed number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
+    """(doc_id long, key long, fp long): the row's id and key (its id unless told), the fingerprint's bits as a signed number."""
 
     def make():
         def call(batch: pa.RecordBatch, texts: list[str]) -> dict:
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            return {"doc_id": batch.column(0), "fp": pa.array(fp)}
+            return {"doc_id": batch.column(0), "key": batch.column(1), "fp": pa.array(fp)}
 
         return call
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, "doc_id long, fp long")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key or id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    return map_texts(read, make, "doc_id long, key long, fp long")
 
 
 # ---- planning -------------------------------------------------------------------------------------------
@@ -116,17 +118,17 @@ def plan(sample: np.ndarray, population: int, k: int = 4, sizes: tuple[int, ...]
             part = sample & mask
             row = [0.0]
             for t in range(k + 1):
-                probes = list(combinations(g, t))
-                if len(probes) > 64:
+                probes = comb(len(g), t)
+                if not probes:
                     row.append(float("inf"))
                     continue
                 # candidates: pairs that meet in a bucket, estimated on a few probes; each probe also costs a row
-                some = probes[:: max(1, len(probes) // 3)][:3]
+                some = list(islice(combinations(g, t), 0, None, max(1, probes // 3)))[:3]
                 pairs = 0.0
                 for p in some:
                     counts = np.unique(part & ~np.uint64(sum(1 << b for b in p)), return_counts=True)[1].astype(np.float64) if len(part) else np.zeros(0)
                     pairs += float((counts * (counts - 1)).sum())
-                row.append(pairs / len(some) * len(probes) * scale + 40.0 * len(probes) * population)
+                row.append(pairs / len(some) * probes * scale + 40.0 * probes * population)
             costs.append(row)
         cost, picks = allocate(costs, k - m + 1)
         if best is None or cost < best[0]:
@@ -248,24 +250,43 @@ def near_links(nodes: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda b: link_buckets(b, k), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
-
-    Fingerprints link at k or fewer differing bits; equal ones always link. Null and empty texts have the
-    fingerprint zero. A null id is never a component's id while another member has one. Repeated rows give
-    repeated results. An empty table gives no rows; other columns of docs are not read.
-    """
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+def _classed(docs: DataFrame, id_col: str, text_col: str, k: int, block: int, key: str) -> DataFrame:
+    """(doc_id, key, fp, component_id) of every row."""
+    named = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.col(key).cast("long")})
+    rows = stored(fingerprints(named, "__id", text_col, "__key"), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(near_links(nodes.select("fp"), k, block))
     linked = stored(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root"), "linked")
     tops = linked.groupBy("root").agg(F.min("first").alias("top"))
     of = linked.join(tops, "root").select(F.col("fp").alias("node"), "top")
     ids = stored(nodes.join(of, nodes["fp"] == of["node"], "left").select(F.col("fp").alias("node"), F.coalesce("top", "first").alias("component_id")), "classes")
-    return rows.join(ids, rows["fp"] == ids["node"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(ids, rows["fp"] == ids["node"]).select("doc_id", "key", "fp", "component_id")
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, block: int = BLOCK) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. All columns stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    Fingerprints link at k or fewer differing bits; equal ones always link. Null and empty texts have the
+    fingerprint zero; a text of any length is shingled whole. A null id is never a component's id while another
+    member has one. Repeated rows give repeated results. An empty table gives no rows; other columns of docs are
+    not read.
+    """
+    rows = _classed(docs, id_col, text_col, k, block, id_col)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id. All columns stay.
+
+    Of several rows of a component that share the smallest id one stays; a text of another component stays
+    whatever id it shares. Rows without an id stay.
+    """
+    docs, key = with_row_key(docs, id_col)
+    rows = _classed(docs, id_col, text_col, k, BLOCK, key)
+    if key == id_col:
+        gone = rows.where("doc_id <> component_id").select(F.col("key").alias("__gone"))
+    else:
+        rows = stored(rows, "classed")
+        stays = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("key").alias("stays"))
+        gone = rows.where("doc_id is not null").join(stays, "component_id").where("key <> stays").select(F.col("key").alias("__gone"))
+    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti").drop(ROW)

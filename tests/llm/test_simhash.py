@@ -114,3 +114,18 @@ def test_documents_match_brute_force(spark, sf):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(table).collect()} == want
     left = {r.doc_id for r in simhash.drop_near_copies(table).collect()}
     assert left == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_drop_near_copies_tells_rows_apart_by_more_than_their_id(spark):
+    body = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    rows = [(0, body), (1, other), (1, body), (2, other), (2, other), (None, body)]
+    left = sorted(((r.doc_id, r.text[0]) for r in simhash.drop_near_copies(docs(spark, rows)).collect()), key=str)
+    assert left == sorted([(0, "w"), (1, "v"), (None, "w")], key=str)
+
+
+def test_two_partitions_can_be_planned():
+    few = np.random.default_rng(3).integers(0, 2**63, 50).astype(np.uint64)
+    masks = simhash.plan(few, 10**12, 4, sizes=(2,))
+    pairs = [(x, x ^ np.uint64(sum(1 << int(b) for b in np.random.default_rng(i).choice(64, 4, replace=False)))) for i, x in enumerate(few)]
+    assert all(any(int(x ^ y) & m == 0 for m in masks) for x, y in pairs)
