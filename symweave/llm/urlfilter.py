@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-#: Rows that one key range should hold, and sampled keys per range (the sample is bounded by their product with the ranges).
+#: Rows that one key range should hold, ranges at most (beyond, ranges hold more rows, which a sweep streams), and sampled
+#: keys per range: at most MOST_RANGES * SAMPLE_PER_RANGE keys, give or take the luck of the draw, reach the driver.
 RANGE_ROWS = 200_000
+MOST_RANGES = 4_096
 SAMPLE_PER_RANGE = 50
 
 #: The rules of the query.
@@ -97,13 +99,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", range
     A rule fits its host and all subdomains if the path starts with the rule's; the longest rule wins, the
     longer host among equally long ones, blocking among repeats of one rule. Pages no rule fits get the
     default verdict and a null rule. Null urls have empty hosts and paths. Rules with a null part or an empty
-    host are left out. Empty tables are fine; other columns are not read.
+    host are left out. Urls of any length are parsed whole; null page ids are kept. Empty tables are fine; other columns
+    are not read.
     """
     spark = pages.sparkSession
     urls = parse_urls(pages).select(host_key(F.col("host")).alias("key"), F.lit(1).alias("rank"), "page_id", "host", "path", F.lit(None).cast("string").alias("action"))
     tie = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30))
     n = pages.count()
-    parts = max(1, -(-n // range_rows))
+    parts = min(MOST_RANGES, max(1, -(-n // range_rows)))
     bounds: list[tuple[str, int]] = []
     if parts > 1:
         share = int(min(1.0, parts * SAMPLE_PER_RANGE / n) * (1 << 30)) + 1

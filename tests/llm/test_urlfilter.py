@@ -37,3 +37,18 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert [tuple(r)[1:] for r in urlfilter.judge_urls(pages, rules).collect()] == [("a.net", "/es/", "net/es/", "block")] * 3
     assert urlfilter.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urlfilter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_clashing_columns_and_long_urls(spark):
+    long = "http://" + "a." * 5000 + "net/fr/" + "x/" * 50_000
+    pages = spark.createDataFrame([(1, long, "c", 3, "c", "c", "c", 0, "c"), (2, "http://" + "y" * 100_000, *["c", 3, "c", "c", "c", 0, "c"])], "page_id long, url string, key string, rank int, host string, path string, action string, part long, rest string")
+    got = {g.page_id: g for g in urlfilter.judge_urls(pages, urlfilter.rule_table(spark)).collect()}
+    assert (got[1].rule, got[1].verdict, len(got[1].path)) == ("net/fr/", "block", 100_004)
+    assert (got[2].host, got[2].path, got[2].rule, got[2].verdict) == ("y" * 100_000, "", None, "allow")
+
+
+def test_ranges_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "MOST_RANGES", 3)
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.net/es/{i}") for i in range(400)], "page_id long, url string")
+    got = urlfilter.judge_urls(pages, urlfilter.rule_table(spark), range_rows=10).collect()
+    assert len(got) == 400 and {g.verdict for g in got} == {"block"}
