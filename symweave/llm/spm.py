@@ -10,7 +10,7 @@ and it is what the merges give. Texts whose characters the model lacks use its b
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -33,11 +33,21 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: Text that every normaliser but the identity with a leading mark changes: ligatures, width, accents, blanks.
+PROBE = "  ﬁ①Ａ e\u0301  x\ty\n "
+
+
+def refuse_normaliser(normalise: Callable[[str], str]) -> None:
+    if normalise(PROBE) != MARK + PROBE.replace(" ", MARK):
+        raise ValueError("the model normalises texts by rules that are not handled here")
+
+
 class Lexicon:
     """Pieces and scores of a model file. kind: 'bpe' or 'unigram' (how its scores are to be read)."""
 
     def __init__(self, model_file: str, kind: str = "bpe") -> None:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        refuse_normaliser(sp.normalize)
         n = sp.get_piece_size()
         self.kind = kind
         self.unk = sp.unk_id()
@@ -199,7 +209,8 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, kind: str =
     """One row per input row: doc_id, ids, n_tokens, round_trip (whether decoding gives the text back).
 
     A null text is an empty one: no ids, and it round-trips. A text that itself holds the mark U+2581 decodes
-    to spaces there. Repeated rows give repeated results, an empty table none; other columns are not read.
+    to spaces there. A text of any length is encoded whole. Null ids are kept, repeated rows give repeated results,
+    an empty table none; other columns are not read. Models whose normaliser changes texts are refused.
     The model file must be at the same path on every executor, as an installed package is.
     """
     path = model_file or default_model()

@@ -60,3 +60,17 @@ def test_awkward_rows(spark):
     assert [r.ids for r in rows if r.doc_id in (1, 2)] == [[], []]
     assert spm.encode_documents(docs(spark, [(1, "▁x")])).first().round_trip is False
     assert spm.encode_documents(empty(spark)).count() == 0
+
+
+def test_models_that_normalise_are_refused(library):
+    import unicodedata
+
+    spm.refuse_normaliser(library.normalize)
+    for rule in (lambda t: library.normalize(unicodedata.normalize("NFKC", t)), lambda t: library.normalize(t.strip()), lambda t: t):
+        with pytest.raises(ValueError):
+            spm.refuse_normaliser(rule)
+
+
+def test_null_ids_stay(spark):
+    rows = spm.encode_documents(docs(spark, [(None, "a b"), (None, None)])).collect()
+    assert [(r.doc_id, r.round_trip) for r in rows] == [(None, True)] * 2
