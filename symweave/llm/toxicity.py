@@ -20,12 +20,11 @@ from .common import map_texts, sliced, stored, text_or_empty
 
 #: Labelled rows used for learning, at most about this many (drawn by a hash of their id).
 SAMPLE_ROWS = 20_000
-#: Entries of the lexicon, at most.
-LEXICON_SIZE = 500
 #: Words on either side of a hit that decide between quotation and abuse.
 WINDOW = 6
-#: Log odds, and log odds times the root of the toxic documents, from which a feature enters the lexicon.
-LEAST_ODDS, LEAST_WEIGHT = 2.2, 8.0
+#: Log odds from which a feature enters the lexicon, and the chance that any feature that says nothing does (all of them
+#: are tested, so the bar rises with the logarithm of their number, and a larger sample teaches rarer terms).
+LEAST_ODDS, CHANCE = 2.2, 0.01
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _STEM = range(4, 9)
@@ -33,7 +32,8 @@ _STEM = range(4, 9)
 # Words that introduce quoted speech, words that address a reader, and quotation marks.
 REPORTING = frozenset("said says quote quoted quoting wrote writes called reported reports article term word sagte schrieb zitat zitierte dit écrit cité dijo escribió citó".split())
 ADDRESS = frozenset("you your you're u ur du dich dein deine ihr tu toi ton ta vous votre tú te eres usted vosotros".split())
-QUOTES = "\"“”„«»‘’"
+CLOSERS = {"\"": "\"", "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
+_MARK = re.compile(r"[\"“”„«»‹›\n]|(?<![^\W\d_])[‘’]|[‘’](?![^\W\d_])")
 
 
 # ---- lexicon automaton ----------------------------------------------------------------------------------
@@ -141,6 +141,26 @@ class Automaton:
         return (stem, 0) if stem else None
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the stretches between paired quotation marks of one line, in order. A mark without its partner
+    opens nothing; an apostrophe, straight or curly, between two letters is no mark, and straight ones never are."""
+    out: list[tuple[int, int]] = []
+    opened: list[tuple[str, int]] = []
+    for m in _MARK.finditer(text):
+        ch = m[0]
+        if ch == "\n":
+            opened.clear()
+            continue
+        at = next((i for i in range(len(opened) - 1, -1, -1) if ch in CLOSERS[opened[i][0]]), None)
+        if at is not None:
+            out.append((opened[at][1], m.start()))
+            del opened[at:]
+        elif ch in CLOSERS:
+            opened.append((ch, m.end()))
+    out.sort()
+    return out
+
+
 class Scorer:
     """Features of a text: how much evidence entries of the lexicon give, how exactly and in what context they occur."""
 
@@ -172,6 +192,8 @@ class Scorer:
         exact = fuzzy = quoted = addressed = 0.0
         total = 0
         spans = [(m.start(), m.end()) for m in _WORD.finditer(low)]
+        quotes = quotations(low)
+        first = 0
         for i, w in enumerate(words):
             got = hits.get(w)
             if got is None:
@@ -180,9 +202,14 @@ class Scorer:
             worth = self.worth[got[0]]
             total += 1
             a, b = spans[i]
-            left = low[spans[max(0, i - WINDOW)][0] : a]
-            right = low[b : spans[min(len(spans) - 1, i + WINDOW)][1] + 1]
-            inside = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
+            # quoted: both marks of a pair stand within the window, one on either side
+            low_end, high_end = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1] + 1
+            while first < len(quotes) and quotes[first][0] < low_end:
+                first += 1
+            inside, k = False, first
+            while not inside and k < len(quotes) and quotes[k][0] <= a:
+                inside = b <= quotes[k][1] < high_end
+                k += 1
             if inside or any(x in REPORTING for x in near):
                 quoted += worth
             elif got[1]:
@@ -204,12 +231,15 @@ def _word_features(words: set[str]) -> set[str]:
     return {"=" + w for w in words} | {w[:n] for w in words for n in _STEM if len(w) > n}
 
 
-def least_documents(positives: int) -> int:
-    """Toxic documents that must hold a feature before it counts."""
-    return max(3, round(0.02 * positives))
+def evidence(p: int, n: int, rate: float) -> float:
+    """Chernoff's bound: minus the log of the chance that p or more of p + n documents are toxic where each is at the rate."""
+    own = p / (p + n)
+    if own <= rate:
+        return 0.0
+    return p * math.log(own / rate) + (n * math.log((1 - own) / (1 - rate)) if n else 0.0)
 
 
-def choose_lexicon(counts: list[tuple[str, int, int]], positives: int, negatives: int) -> tuple[dict[str, float], dict[str, float]]:
+def choose_lexicon(counts: list[tuple[str, int, int]], positives: int, negatives: int, tested: int) -> tuple[dict[str, float], dict[str, float]]:
     """counts: (feature, toxic documents, clean documents). Terms and stems that mark toxic documents, with their log odds.
 
     Features are taken in order of log odds times the root of their toxic documents, whole words before stems, longer before
@@ -219,20 +249,19 @@ def choose_lexicon(counts: list[tuple[str, int, int]], positives: int, negatives
     def odds(p: int, n: int) -> float:
         return math.log((p + 0.5) / (positives + 1)) - math.log((n + 0.5) / (negatives + 1))
 
-    floor = least_documents(positives)
-    good = [(odds(p, n) * math.sqrt(p), f, p, n) for f, p, n in counts if p >= floor and odds(p, n) >= LEAST_ODDS]
+    rate = (positives + 0.5) / (positives + negatives + 1)
+    bar = math.log(max(1, tested) / CHANCE)
+    good = [(odds(p, n) * math.sqrt(p), f, p, n) for f, p, n in counts if p and odds(p, n) >= LEAST_ODDS and evidence(p, n, rate) >= bar]
     good.sort(key=lambda x: (-round(x[0], 6), not x[1].startswith("="), -len(x[1]), x[1]))
     terms: dict[str, tuple[int, int]] = {}
     stems: dict[str, tuple[int, int]] = {}
     for z, f, p, n in good:
-        if z < LEAST_WEIGHT or len(terms) + len(stems) >= LEXICON_SIZE:
-            break
         word = f.removeprefix("=")
         if any(word.startswith(s) for s in stems):
             continue
         inner = [v for w, v in (*terms.items(), *stems.items()) if w.startswith(word)] if not f.startswith("=") else []
         more_p, more_n = p - sum(v[0] for v in inner), n - sum(v[1] for v in inner)
-        if more_p >= max(floor, 0.02 * p) and odds(more_p, max(0, more_n)) >= LEAST_ODDS:
+        if more_p > 0.02 * p and odds(more_p, max(0, more_n)) >= LEAST_ODDS and evidence(more_p, max(0, more_n), rate) >= bar:
             (terms if f.startswith("=") else stems)[word] = (p, n)
     return {w: odds(*terms[w]) for w in sorted(terms)}, {w: odds(*stems[w]) for w in sorted(stems)}
 
@@ -268,10 +297,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     n = known.count()
     share = int(min(1.0, sample_rows / max(1, n)) * (1 << 20))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select(F.col("doc_id").alias("__id"), (F.col("toxic") == 1).alias("toxic"))
-    sample = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).alias("fold"))
-    # copies of a text count once, and fall into one fold
-    once = sample.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("doc_id").alias("first"))
-    sample = stored(sample.join(once.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi"), "labelled")
+    # near copies of a text share the least hash of its five-word shingles with a chance of their similarity
+    alike = F.expr("array_min(transform(sequence(1, greatest(1, size(w) - 4)), i -> xxhash64(slice(w, i, 5))))")
+    sample = (
+        docs.select("doc_id", text_or_empty("text").alias("text"))
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+        .withColumn("w", F.split(F.lower("text"), r"\s+"))
+        .select("doc_id", "text", "toxic", alike.alias("alike"))
+        .select("doc_id", "text", "toxic", F.pmod(F.xxhash64("alike", F.lit(7)), F.lit(2)).alias("fold"), "alike")
+    )
+    # copies and near copies count once, and fall into one fold
+    sample = stored(sample, "drawn")
+    once = sample.groupBy("alike", "toxic").agg(F.min("doc_id").alias("first")).select("first").distinct()
+    sample = stored(sample.drop("alike").join(once, F.col("doc_id") == F.col("first"), "left_semi"), "labelled")
 
     def sets():
         def call(batch: pa.RecordBatch, texts: list[str]) -> dict:
@@ -283,10 +321,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     found = map_texts(sample, sets, "fold long, features array<string>").select("fold", F.explode("features").alias("feature"))
     toxic = found.groupBy("feature").agg(F.sum(F.when(F.col("fold") == 0, 1).otherwise(0)).alias("p0"), F.count(F.lit(1)).alias("p"))
     size = {(r["fold"], r["toxic"]): r["count"] for r in sample.groupBy("fold", "toxic").count().collect()}
-    positives = sum(v for (_, y), v in size.items() if y)
-    floor = least_documents(positives // 2)
-    # at most (words of the sample's toxic documents) / floor features
-    marks = {r["feature"]: (r["p0"], r["p"] - r["p0"]) for r in toxic.where(F.col("p") >= floor).collect()}
+    sizes = {y: sum(v for (_, t), v in size.items() if t == y) for y in (True, False)}
+    toxic = stored(toxic, "toxic-features")
+    tested = toxic.count()
+    # fewer toxic documents than this pass no bar even if no clean one holds the feature (half a sample has a rate of its own)
+    least = math.log(max(1, tested) / CHANCE) / -math.log(min(0.999, max(1e-9, (sizes[True] + 0.5) / (sum(sizes.values()) + 1))))
+    marks = {r["feature"]: (r["p0"], r["p"] - r["p0"]) for r in toxic.where(F.col("p") >= least / 2).collect()}
 
     def clean():
         def call(batch: pa.RecordBatch, texts: list[str]) -> dict:
@@ -304,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def lexicon(folds: tuple[int, ...]) -> tuple[dict[str, float], dict[str, float]]:
         counts = [(f, sum(p[k] for k in folds), sum(other.get((k, f), 0) for k in folds)) for f, p in marks.items()]
-        return choose_lexicon(counts, sum(size.get((k, True), 0) for k in folds), sum(size.get((k, False), 0) for k in folds))
+        return choose_lexicon(counts, sum(size.get((k, True), 0) for k in folds), sum(size.get((k, False), 0) for k in folds), tested)
 
     halves = {0: lexicon((1,)), 1: lexicon((0,))}  # a row's features come from the other half's lexicon
 
@@ -334,8 +374,8 @@ def _score(scorer: Scorer, weights: np.ndarray, texts: list[str]) -> np.ndarray:
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Null and empty texts get the score of a text without hits. Repeated rows give repeated results; a
-    null id has a null held_out. An empty table gives no rows; further columns are not read.
+    Null and empty texts get the score of a text without hits. A text of any length is scored whole. Repeated rows
+    give repeated results; a null id has a null held_out. An empty table gives no rows; further columns are not read.
     """
 
     def make():

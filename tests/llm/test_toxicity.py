@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from symweave.llm import toxicity
@@ -91,3 +93,67 @@ def test_awkward_rows_and_no_labels(spark):
     assert len(got) == len(AWKWARD) and all(0 <= g.score < 0.7 and g.predicted == 0 for g in got)
     assert toxicity.score_toxicity(empty(spark), model).count() == 0
     assert toxicity.drop_toxic(docs(spark, AWKWARD), none).count() == len(AWKWARD)
+
+
+def test_apostrophes_are_no_quotation_marks():
+    scorer = toxicity.Scorer({"idiot": 5.0}, {})
+    plain = scorer.features("we don't think you are an idiot but can't")
+    assert plain[1] > 0 and plain[3] == 0
+    assert scorer.features("we don’t think you are an idiot but can’t") == plain
+    assert scorer.features("the dogs’ idiot can’t") [3] == 0 and scorer.features("the ‘idiot’ can’t")[3] > 0
+
+
+def test_marks_must_enclose_the_hit():
+    scorer = toxicity.Scorer({"idiot": 5.0}, {})
+    for text in ('"hi" you are an idiot "bye"', "„hi“ you are an idiot „bye“", '"hi\nyou idiot\nbye"', '"hi you idiot', "»a« idiot »b«"):
+        assert scorer.features(text)[1] > 0 and scorer.features(text)[3] == 0, text
+    for text in ('she: "you idiot" ok', "„du idiot“", "»du idiot«", "«tu idiot»", "“an ‘idiot’ can’t”"):
+        assert scorer.features(text)[1] == 0 and scorer.features(text)[3] > 0, text
+    far = '"' + "walls " * 20 + "idiot " + "walls " * 20 + '"'
+    assert scorer.features(far)[3] == 0  # beyond the window on either side
+
+
+def brute_features(text, terms, stems, worth):
+    """The features from their description, with edit distances instead of automata."""
+    low = text.lower()
+    found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+", low)]
+    n, total = toxicity.WINDOW, 0
+    sums = {"exact": 0.0, "fuzzy": 0.0, "quoted": 0.0, "addressed": 0.0}
+    pairs = []
+    for line in re.finditer(r"[^\n]+", low):
+        pairs += [(line.start() + m.start(1), line.start() + m.end(1)) for m in re.finditer(r'"([^"]*)"', line[0])]
+    for i, (a, b, w) in enumerate(found):
+        near = sorted((d, t) for t in terms if abs(len(t) - len(w)) <= 2 and (d := distance(w, t)) <= toxicity.allowed_errors(t))
+        stem = min((s for s in stems if w.startswith(s)), key=len, default=None)
+        got = near[0] if near and (near[0][0] == 0 or stem is None) else (0, stem) if stem else None
+        if got is None:
+            continue
+        total += 1
+        around = [x for _, _, x in found[max(0, i - n) : i + n + 1]]
+        left, right = found[max(0, i - n)][0], found[min(len(found) - 1, i + n)][1] + 1
+        quoted = any(left <= p <= a and b <= q < right for p, q in pairs) or toxicity.REPORTING & set(around)
+        sums["quoted" if quoted else "fuzzy" if got[0] else "exact"] += worth[got[1]]
+        sums["addressed"] += worth[got[1]] * bool(toxicity.ADDRESS & set(around))
+    if not total:
+        return [0.0] * 6
+    return [float(sums["exact"] + sums["fuzzy"] > 0), *(min(6.0, sums[k] / 4) for k in ("exact", "fuzzy", "quoted", "addressed")), min(5.0, 100.0 * total / len(found))]
+
+
+def test_scores_match_brute_force(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.learn(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    terms = model.terms or {"worthless": 4.0, "idiot": 3.0, "moron": 3.0}
+    model = toxicity.Model(terms, model.stems, model.weights)
+    text = {r.doc_id: r.text or "" for r in table.collect()} | {-1: 'He said "worthles moron" and left', -2: "you are an iditо idoit"}
+    got = {g.doc_id: g for g in toxicity.score_toxicity(docs(spark, list(text.items())), model).collect()}
+    for i, t in text.items():
+        x = [*brute_features(t, model.terms, model.stems, {**model.stems, **model.terms}), 1.0]
+        z = sum(a * b for a, b in zip(x, model.weights))
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9, (i, x)
+        assert got[i].predicted == (got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_rarer_terms_are_learned_from_larger_samples():
+    counts = [("=vile", 12, 0), ("=often", 400, 40), ("=chance", 3, 0)]
+    small, large = (toxicity.choose_lexicon([(f, p * k, n * k) for f, p, n in counts], 1000 * k, 9000 * k, 10**6)[0] for k in (1, 8))
+    assert set(small) == {"vile", "often"} and set(large) == {"vile", "often", "chance"}
