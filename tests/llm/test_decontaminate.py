@@ -136,3 +136,21 @@ def test_copies_that_keep_only_stock_phrases(spark):
     bodies = [words(r, 10) + item[:8] + words(r, 10) for _ in range(300)] + [words(r, 9) + item, words(r, 9) + edited]
     got, want = found(spark, bodies, item, r)
     assert got == want and set(want) == {300, 301}
+
+
+def test_items_with_several_texts_or_no_id_and_shared_document_ids(spark):
+    r = random.Random(10)
+    first, second, third = words(r, 20), words(r, 20), words(r, 20)
+    bench = spark.createDataFrame([(1, " ".join(first)), (1, " ".join(second)), (None, " ".join(third)), (2, " ".join(first))], "item_id long, text string")
+    rows = [(1, " ".join(words(r, 9) + first)), (2, " ".join(second)), (3, " ".join(third)), (4, " ".join(words(r, 30))), (4, " ".join(second)), (5, None)]
+    got = {(g.doc_id, g.item_id) for g in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (3, None), (4, 1)}
+    left = [(x.doc_id, x.text) for x in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()]
+    assert sorted(left, key=str) == sorted([rows[3], rows[5]], key=str)
+
+
+def test_more_seeds_than_may_be_broadcast(spark, sf, monkeypatch):
+    read = lambda: {(g.doc_id, g.item_id, g.score) for g in decontaminate.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    want = read()
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    assert read() == want and want
