@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -80,8 +82,8 @@ _REPEAT = re.compile(r"(.)\1+", re.S)
 
 def shape(token: str) -> str:
     """Word shape: letters and digits by class, repeats folded, with the number of digits up to 20."""
-    s = token[:64].translate(_SHAPE)
-    return f"{_REPEAT.sub(r'\1+', s)[:24]}|{min(20, s.count('d'))}"
+    s = token.translate(_SHAPE)
+    return f"{_REPEAT.sub(r'\1+', s)}|{min(20, s.count('d'))}"
 
 
 def coarse(token: str) -> str:
@@ -135,10 +137,22 @@ def training_table(sentences: int = TRAIN_SENTENCES, seed: int = 11) -> list[tup
     return rows
 
 
-def token_features(prev: str, token: str, nxt: str) -> tuple[str, ...]:
+def own_features(token: str) -> tuple[str, ...]:
     s = shape(token)
     folded, _, digits = s.rpartition("|")
-    return (f"s={s}", f"f={folded.rstrip('.,;')}", f"n={digits}", f"p={coarse(prev)}", f"x={coarse(nxt)}", f"w={prev.lower().rstrip(':')[:12]}", f"c={token[0] if token else ''}", f"d={min(6, token.count('.'))}{'@' in token}{'-' in token}")
+    return (f"s={s}", f"f={folded.rstrip('.,;')}", f"n={digits}", f"c={token[0] if token else ''}", f"d={min(6, token.count('.'))}{'@' in token}{'-' in token}")
+
+
+def before_features(prev: str) -> tuple[str, ...]:
+    return (f"p={coarse(prev)}", f"w={prev.lower().rstrip(':')}")
+
+
+def after_features(nxt: str) -> tuple[str, ...]:
+    return (f"x={coarse(nxt)}",)
+
+
+def token_features(prev: str, token: str, nxt: str) -> tuple[str, ...]:
+    return (*own_features(token), *before_features(prev), *after_features(nxt))
 
 
 class Field:
@@ -152,6 +166,15 @@ class Field:
         ids = np.array([[get(f, none) for f in r] for r in rows], np.int64)
         return self.emit[ids].sum(axis=1)
 
+    def around(self, tokens: list[str]) -> np.ndarray:
+        """Scores of tokens[1:-1]; what is the same for equal tokens is worked out once."""
+        total = 0.0
+        for make, part in ((before_features, tokens[:-2]), (own_features, tokens[1:-1]), (after_features, tokens[2:])):
+            place: dict[str, int] = {}
+            at = np.fromiter((place.setdefault(t, len(place)) for t in part), np.int64, len(part))
+            total = total + self.scores([make(t) for t in place])[at]
+        return total
+
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
@@ -227,35 +250,97 @@ def viterbi(e: np.ndarray, lengths: np.ndarray, move: np.ndarray, first: np.ndar
     return path
 
 
-#: Cells (runs x steps) of one Viterbi batch.
+#: Cells (runs x steps) of one Viterbi batch, and tokens that are scored at once: longer runs are decoded block by block.
 CELLS = 1 << 15
+#: Steps of a block's parts, which are decoded side by side from every state that they may be entered in.
+PART = 128
 
 
-def decode(field: Field, runs: list[list[tuple[str, ...]]]) -> list[list[int]]:
-    """Label ids for each run of token features; runs of like length share numpy batches."""
-    out: list[list[int]] = [[] for _ in runs]
-    order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+def decode_scores(field: Field, e: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """Label ids of runs, whose scores stand in e one after another; runs of like length share numpy batches."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lengths)
+    order = sorted(range(len(lengths)), key=lengths.__getitem__)
+    starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     outside = LABELS.index("O")
     # a run stands between tokens that carry O, so its first label follows an O and its last one precedes an O
     i = 0
     while i < len(order):
         j = i + 1
-        while j < len(order) and (j - i + 1) * len(runs[order[j]]) <= CELLS:
+        while j < len(order) and (j - i + 1) * lengths[order[j]] <= CELLS:
             j += 1
-        part = order[i:j]
-        lengths = np.array([len(runs[x]) for x in part])
-        flat = field.scores([f for x in part for f in runs[x]])
-        e = np.zeros((len(part), lengths.max(), len(LABELS)))
-        where = np.arange(lengths.max()) < lengths[:, None]
-        e[where] = flat
-        e[np.arange(len(part)), lengths - 1] += field.move[:, outside]
-        path = viterbi(e, lengths, field.move, field.move[outside])
-        for x, p, n in zip(part, path, lengths):
-            out[x] = p[:n].tolist()
+        part = np.array(order[i:j])
+        n = np.array([lengths[x] for x in part])
+        where = np.arange(n.max()) < n[:, None]
+        batch = np.zeros((len(part), n.max(), len(LABELS)))
+        batch[where] = e[(starts[part][:, None] + np.arange(n.max()))[where]]
+        batch[np.arange(len(part)), n - 1] += field.move[:, outside]
+        path = viterbi(batch, n, field.move, field.move[outside])
+        for x, p, m in zip(part.tolist(), path, n.tolist()):
+            out[x] = p[:m]
         i = j
     return out
 
 
+def decode(field: Field, runs: list[list[tuple[str, ...]]]) -> list[list[int]]:
+    """Label ids for each run of token features."""
+    flat = [f for r in runs for f in r]
+    return [x.tolist() for x in decode_scores(field, field.scores(flat), [len(r) for r in runs])] if flat else [[] for _ in runs]
+
+
+def _block(e: np.ndarray, move: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
+    """Scores of the last step's labels of a block that is entered with the given scores of the label before it, and a
+    function from that last label to the block's best path. The parts of the block run side by side, each from every
+    label before it; then their ends are joined."""
+    k = e.shape[1]
+    n = -(-len(e) // PART)
+    sizes = np.minimum(PART, len(e) - PART * np.arange(n))
+    padded = np.zeros((n, PART, k))
+    padded.reshape(-1, k)[: len(e)] = e
+    back = np.broadcast_to(np.arange(k, dtype=np.int8), (PART, n, k, k)).copy()
+    score = move[None] + padded[:, None, 0]  # part, label before it, label
+    for i in range(1, PART):
+        cand = score[:, :, :, None] + move
+        live = (i < sizes)[:, None, None]
+        back[i] = np.where(live, cand.argmax(axis=2), back[i])
+        score = np.where(live, cand.max(axis=2) + padded[:, None, i], score)
+    entered = np.zeros((n, k), np.int64)  # best label before each part, for each of its last labels
+    for j in range(n):
+        cand = enter[:, None] + score[j]
+        entered[j], enter = cand.argmax(axis=0), cand.max(axis=0)
+
+    def trace(last: int) -> np.ndarray:
+        ends, begins = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for j in range(n - 1, -1, -1):
+            ends[j], begins[j] = last, entered[j, last]
+            last = begins[j]
+        path, now = np.zeros((n, PART), np.int8), ends
+        for i in range(PART - 1, -1, -1):
+            path[:, i] = now
+            now = back[i, np.arange(n), begins, now]
+        trace.before = int(begins[0])
+        return path.reshape(-1)[: len(e)]
+
+    return enter, trace
+
+
+def decode_long(field: Field, scores: Callable[[int, int], np.ndarray], n: int, block: int = CELLS) -> np.ndarray:
+    """Label ids of one run of n tokens, whose scores are made block by block and twice: forwards to the scores at the
+    blocks' borders, then backwards for the path. Nothing but those and the labels is held of the whole run."""
+    outside = LABELS.index("O")
+    enter = np.full(len(LABELS), -np.inf)
+    enter[outside] = 0.0
+    borders = []
+    for a in range(0, n, block):
+        borders.append(enter)
+        enter, _ = _block(scores(a, min(n, a + block)), field.move, enter)
+    out, last = np.zeros(n, np.int8), int((enter + field.move[:, outside]).argmax())
+    for a in reversed(range(0, n, block)):
+        _, trace = _block(scores(a, min(n, a + block)), field.move, borders.pop())
+        out[a : a + block] = trace(last)
+        last = trace.before
+    return out
+
+
 _TRIM_LEFT, _TRIM_RIGHT = "\"'([{<", "\"'.,;:!?)]}>"
 
 
@@ -267,69 +352,123 @@ def _enough(kind: str, text: str) -> bool:
     return {"email": "@" in text[1:-1], "ip": 4 <= digits <= 12 and text.count(".") == 3, "card": 12 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
 
 
-def candidate_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of tokens with a digit or an @, in runs that only white space separates."""
-    runs: list[list[tuple[int, int]]] = []
-    end = -1
+def candidate_runs(text: str) -> Iterator[tuple[array, array]]:
+    """Starts and ends of tokens with a digit or an @, in runs that only white space separates."""
+    starts, ends = array("q"), array("q")
     for m in _CANDIDATE.finditer(text):
-        if end >= 0 and text[end : m.start()].isspace():
-            runs[-1].append(m.span())
-        else:
-            runs.append([m.span()])
-        end = m.end()
-    return runs
+        if ends and not text[ends[-1] : m.start()].isspace():
+            yield starts, ends
+            starts, ends = array("q"), array("q")
+        starts.append(m.start())
+        ends.append(m.end())
+    if ends:
+        yield starts, ends
 
 
 def _before(text: str, at: int) -> str:
-    left = text[max(0, at - 64) : at].split()
-    return left[-1] if left else ""
+    """The whole word before a place, or nothing."""
+    wide = 64
+    while True:
+        left = text[max(0, at - wide) : at]
+        found = left.split()
+        if wide >= at or len(found) > 1 or (found and left[0].isspace()):
+            return found[-1] if found else ""
+        wide *= 8
 
 
 def _after(text: str, at: int) -> str:
-    right = text[at : at + 64].split(None, 1)
-    return right[0] if right else ""
+    wide = 64
+    while True:
+        right = text[at : at + wide]
+        found = right.split(None, 1)
+        if at + wide >= len(text) or len(found) > 1 or (found and right[-1].isspace()):
+            return found[0].strip() if found else ""
+        wide *= 8
+
+
+def _labelled(text: str, starts: array, ends: array, path: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """Spans of a run's labels that show what their kind must show."""
+    outside, j = LABELS.index("O"), 0
+    for j_ in np.flatnonzero(path != outside).tolist():
+        if j_ < j:
+            continue
+        kind, n = LABELS[path[j_]][2:], j_ + 1
+        while n < len(path) and LABELS[path[n]] == f"I-{kind}":
+            n += 1
+        j = n
+        a, b = starts[j_], ends[n - 1]
+        raw = text[a:b]
+        a += len(raw) - len(raw.lstrip(_TRIM_LEFT if kind != "phone" else "\"'[{<"))
+        b -= len(raw) - len(raw.rstrip(_TRIM_RIGHT))
+        if a < b and _enough(kind, text[a:b]):
+            yield a, b, f"crf_{kind}"
 
 
 def find_all(field: Field, texts: list[str]) -> list[tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]]:
     """(base spans, spans that the field adds) for each text; added ones touch no base span."""
-    base = [base_spans(t) for t in texts]
-    where, runs = [], []
-    for i, t in enumerate(texts):
-        for run in candidate_runs(t):
-            tokens = [t[a:b] for a, b in run]
-            around = [_before(t, run[0][0]), *tokens, _after(t, run[-1][1])]
-            where.append((i, run))
-            runs.append([token_features(*around[j : j + 3]) for j in range(len(tokens))])
     extra: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, run), path in zip(where, decode(field, runs)):
-        j = 0
-        while j < len(path):
-            label = LABELS[path[j]]
-            n = j + 1
-            if label != "O":
-                kind = label[2:]
-                while n < len(path) and LABELS[path[n]] == f"I-{kind}":
-                    n += 1
-                a, b = run[j][0], run[n - 1][1]
-                raw = texts[i][a:b]
-                a += len(raw) - len(raw.lstrip(_TRIM_LEFT if kind != "phone" else "\"'[{<"))
-                b -= len(raw) - len(raw.rstrip(_TRIM_RIGHT))
-                if a < b and _enough(kind, texts[i][a:b]):
-                    extra[i].append((a, b, f"crf_{kind}"))
-            j = n
+    held: list[tuple[int, array, array]] = []
+    scores: list[np.ndarray] = []
+
+    def around(text: str, starts: array, ends: array, a: int, b: int) -> np.ndarray:
+        tokens = [text[x:y] for x, y in zip(starts[a:b], ends[a:b])]
+        left = text[starts[a - 1] : ends[a - 1]] if a else _before(text, starts[0])
+        right = text[starts[b] : ends[b]] if b < len(starts) else _after(text, ends[-1])
+        return field.around([left, *tokens, right])
+
+    def flush() -> None:
+        if held:
+            paths = decode_scores(field, np.concatenate(scores), [len(x[1]) for x in held])
+            for (i, starts, ends), path in zip(held, paths):
+                extra[i] += _labelled(texts[i], starts, ends, path)
+        held.clear()
+        scores.clear()
+
+    tokens, waiting = [], 0
+    for i, text in enumerate(texts):
+        for starts, ends in candidate_runs(text):
+            n = len(starts)
+            if n > CELLS:
+                path = decode_long(field, lambda a, b: around(text, starts, ends, a, b), n)  # noqa: B023
+                extra[i] += _labelled(text, starts, ends, path)
+                continue
+            held.append((i, starts, ends))
+            tokens += [_before(text, starts[0]), *(text[x:y] for x, y in zip(starts, ends)), _after(text, ends[-1])]
+            waiting += n
+            if waiting >= CELLS:
+                scores.append(_inner(field, tokens, held))
+                flush()
+                tokens, waiting = [], 0
+    if held:
+        scores.append(_inner(field, tokens, held))
+        flush()
     out = []
-    for b, e in zip(base, extra):
+    for text, e in zip(texts, extra):
+        base = base_spans(text)
         kept, k = [], 0
-        ends = sorted(b)
         for a, z, kind in sorted(e):
-            while k < len(ends) and ends[k][1] <= a:
+            while k < len(base) and base[k][1] <= a:
                 k += 1
-            if all(x >= z or y <= a for x, y, _ in ends[k : k + 8]):
+            # base spans of different kinds may overlap; one that begins before z and ends after a touches this one
+            j = k
+            while j < len(base) and base[j][0] < z and base[j][1] <= a:
+                j += 1
+            if j == len(base) or base[j][0] >= z:
                 kept.append((a, z, kind))
-        out.append((b, kept))
+        out.append((base, kept))
     return out
 
 
+def _inner(field: Field, tokens: list[str], held: list[tuple[int, array, array]]) -> np.ndarray:
+    """Scores of the runs' tokens, without those of the words around each run, which stand among them."""
+    inside = np.ones(len(tokens), bool)
+    at = 0
+    for _, starts, _ in held:
+        inside[at] = inside[at + len(starts) + 1] = False
+        at += len(starts) + 2
+    return field.around(["", *tokens, ""])[inside]
+
+
 _ORDER = {k: i for i, k in enumerate((*KINDS, *(f"crf_{k}" for k in KINDS)))}
 
 
@@ -340,8 +479,9 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_crf.
 
-    A null text is an empty one (no spans; the digest of the empty string). Repeated rows give repeated
-    results, an empty table none; other columns are not read.
+    A null text is an empty one (no spans; the digest of the empty string). Null ids are kept, repeated rows give
+    repeated results, an empty table none; other columns are not read. A text of any length is read whole; long runs
+    of candidate tokens are decoded block by block, in memory that does not grow with them but for a few bytes a token.
     """
     field = field or trained()
 

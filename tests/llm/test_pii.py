@@ -73,3 +73,63 @@ def test_method_adds_and_keeps(spark):
     assert got[3].spans == "" and all(got[10 + i].spans == "" for i in range(len(AWKWARD)))
     assert pii.find_pii(empty(spark)).count() == 0
     assert len(pii.find_pii(docs(spark, AWKWARD)).collect()) == len(AWKWARD)
+
+
+def test_long_runs_decode_like_one_batch(monkeypatch):
+    field = pii.trained()
+    r = random.Random(12)
+    for n in (1, 5, 127, 128, 129, 700):
+        tokens = [r.choice(["+1", "(632)", "555-5381", "4111", "10.0.0.1", "a@b.co", "7", "1999", "x1", "12:30"]) for _ in range(n)]
+        e = field.around(["tel", *tokens, "end"])
+        want = pii.decode_scores(field, e, [n])[0]
+        assert field.scores([pii.token_features(*(["tel", *tokens, "end"][i : i + 3])) for i in range(n)]).round(9).tolist() == e.round(9).tolist()
+        for block in (1, 50, 128, 300, 1000):
+            assert pii.decode_long(field, lambda a, b: e[a:b], n, block).tolist() == want.tolist()
+    texts = [" ".join(r.choice(["+1 (632) 555-5381", "call", "a@b.co,", "7", "12 30", "(555) 234-5678"]) for _ in range(400)) for _ in range(3)]
+    want = pii.find_all(field, texts)
+    monkeypatch.setattr(pii, "CELLS", 3)
+    assert pii.find_all(field, texts) == want and any(e for _, e in want)
+
+
+def test_memory_of_long_numeric_texts_is_bounded():
+    import tracemalloc
+
+    field = pii.trained()
+    r = random.Random(13)
+    text = " ".join(str(r.randrange(10**5)) for _ in range(60_000))
+    tracemalloc.start()
+    pii.find_all(field, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_whole_neighbours_are_seen():
+    long = "w" * 1000
+    assert pii._before(f"a {long}  ", 1002) == long and pii._before(" " * 500 + "x" + " " * 500, 1001) == "x"
+    assert pii._after(f"  {long} b", 0) == long and pii._after(" " * 500, 3) == "" and pii._before("", 0) == ""
+
+
+def test_planted_spans_precision_and_recall():
+    """Sentences of another seed, in words the field has not seen: whole spans, found by find_all."""
+    field = pii.trained()
+    right = told = wanted = 0
+    for tokens, labels in pii.training_table(300, seed=77):
+        text, want, at = " ".join(tokens), set(), 0
+        spans = []
+        for t, x in zip(tokens, labels):
+            if x[0] == "B":
+                spans.append([at, at + len(t), x[2:]])
+            elif x[0] == "I":
+                spans[-1][1] = at + len(t)
+            at += len(t) + 1
+        for a, b, kind in spans:
+            raw = text[a:b]
+            inner = raw.rstrip(".,;")
+            if kind != "card" or luhn(re.sub("[^0-9]", "", inner)):
+                want.add((a, a + len(inner)))
+        base, extra = pii.find_all(field, [text])[0]
+        got = {(a, b) for a, b, _ in [*base, *extra]}
+        right, told, wanted = right + len(got & want), told + len(got), wanted + len(want)
+    print("precision", right / told, "recall", right / wanted)
+    assert right / told > 0.9 and right / wanted > 0.9
