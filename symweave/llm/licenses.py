@@ -1,27 +1,31 @@
 """License scan by diagonal voting, with DataFrame functions only.
 
 Every rolling word k-gram of a document is joined on its hash to the places of that k-gram in the templates
-(the words are compared as well). A hit votes for the diagonal document place - template place; neighbouring
-diagonals are merged, and a span counts if enough of the template's k-grams are verified on it.
+(the words are compared as well). A hit votes for the diagonal document place - template place. Neighbouring
+diagonals are merged in overlapping cells of bounded width, so that drift does not add up. A cell's span is
+verified in order and density: of each template place the hit nearest the cell's main diagonal is taken, the longest
+chain of them that rises in the document is the aligned stretch, and it counts if it holds enough of the template's
+k-grams and lies close enough together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import guarded, stored, text_or_empty, words_of
 
 GRAM = 3
-#: Diagonals at most this far apart belong to one span; share of a template's k-grams that a span must show.
-DRIFT = 3
+#: A cell is two steps wide; a step is this many diagonals, or this part of the template's k-grams.
+DRIFT, DRIFT_PART = 3, 0.25
+#: Share of a template's k-grams that a span must show, and of the span's own places that must be such k-grams.
 LEAST_SHARE = 0.6
+LEAST_DENSITY = 0.5
 
 #: Base phrases and their labels.
 PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
 
-#: Openings of public licence notices and their labels.
+#: Openings of public licence notices, whole public licences, and their labels.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
@@ -33,6 +37,12 @@ TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
 ]
 
 
@@ -72,9 +82,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     n_base counts the places of base phrases; first_word and last_word are their least and greatest start, in
     words from 0, else null. labels holds base labels and those of templates found; score is the greatest
-    share of a template (1 for a base phrase) and 0 without any. A null text is an empty one. Rows that repeat
-    an id and a text repeat the result; rows that share an id but not the text are told apart. Null ids are
-    kept. An empty table gives no rows; other columns are not read.
+    share of a template (1 for a base phrase) and 0 without any. A null text is an empty one; a text of any length is
+    scanned whole. Rows that repeat an id and a text repeat the result; rows that share an id but not the text are
+    told apart. Null ids are kept. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     places, n = template_grams(spark, templates)
@@ -95,16 +105,26 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         .agg(F.collect_set("t_at").alias("seen"))  # at most the template's own length
     )
     base = hits.where(F.col("base") & (F.size("seen") == F.col("size"))).select("doc_id", "th", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
-    run = Window.partitionBy("doc_id", "th", "template").orderBy("diagonal")
-    new = (F.col("diagonal") - F.lag("diagonal").over(run) <= DRIFT).cast("int")
-    spans = (
+    step = F.greatest(F.lit(DRIFT), F.ceil(F.col("size") * DRIFT_PART))
+    cell = F.floor(F.col("diagonal") / step)
+    # a cell holds at most its diagonals times the template's places, whatever the document's length
+    cells = (
         hits.where(~F.col("base"))
-        .withColumn("new", F.coalesce(1 - new, F.lit(1)))
-        .withColumn("span", F.sum("new").over(run))
-        .groupBy("doc_id", "th", "template", "label", "size", "span")
-        .agg(F.array_distinct(F.flatten(F.collect_set("seen"))).alias("seen"))
-        .select("doc_id", "th", "label", F.lit(False).alias("base"), F.lit(None).cast("int").alias("start"), (F.size("seen") / F.col("size")).alias("share"))
-        .where(F.col("share") >= LEAST_SHARE)
+        .select("doc_id", "th", "template", "label", "size", F.explode(F.array(cell, cell - 1)).alias("cell"), F.struct((-F.size("seen")).alias("votes"), "diagonal", "seen").alias("hit"))
+        .groupBy("doc_id", "th", "template", "label", "size", "cell")
+        .agg(F.collect_list("hit").alias("hits"))
+        .where(f"size(array_distinct(flatten(hits.seen))) >= {LEAST_SHARE} * size")
+    )
+    best = "array_max(transform(filter(acc, x -> x.at < h.at), x -> named_struct('l', x.len, 'f', x.first)))"
+    chain = f"""aggregate(filter(near, (x, i) -> i = 0 or near[i - 1].t <> x.t), cast(array() as array<struct<at: bigint, len: int, first: bigint>>),
+        (acc, h) -> array_append(acc, named_struct('at', h.at, 'len', 1 + coalesce({best}.l, 0), 'first', coalesce({best}.f, h.at))))"""
+    spans = (
+        cells.withColumn("main", F.expr("array_min(hits).diagonal"))
+        .withColumn("near", F.expr("array_sort(flatten(transform(hits, x -> transform(x.seen, t -> named_struct('t', t, 'far', abs(x.diagonal - main), 'at', cast(x.diagonal + t as bigint))))))"))
+        .withColumn("top", F.expr(f"array_max(transform({chain}, x -> named_struct('len', x.len, 'wide', x.first - x.at)))"))
+        .select("doc_id", "th", "label", F.lit(False).alias("base"), F.lit(None).cast("int").alias("start"), (F.col("top.len") / F.col("size")).alias("share"), (F.col("top.len") / (1 - F.col("top.wide"))).alias("density"))
+        .where((F.col("share") >= LEAST_SHARE) & (F.col("density") >= LEAST_DENSITY))
+        .drop("density")
     )
     found = (
         base.unionByName(spans)
