@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symweave.llm import common, decontaminate, exact_dedup, simhash, spm, toxicity
 
+#: Fingerprints of near copies differ in at most so many bits; more bits catch looser copies and cost many more candidates.
+NEAR_BITS = 4
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
@@ -24,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-equal texts."""
-    return simhash.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, k=NEAR_BITS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
