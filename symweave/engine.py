@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .durable import stored
 from .functions import strings
 from .operators import diagnostics as dia
-from .operators import hierarchy, positions, requests, resolve
+from .operators import hierarchy, lookups, positions, requests, resolve
 from .operators.rank import first_by, union_all
 from .sources import workspace
 
+#: Names up to which a counted list of them is broadcast.
+BROADCAST_NAMES = 100_000
 EXTERNAL = "fqn string, short_name string, package_name string, parent_name string, jar_path string, needs_decompilation boolean, kind string"
 
 
@@ -31,13 +33,16 @@ class Engine:
     @classmethod
     def of_workspace(cls, spark: SparkSession, root: str, external: DataFrame | None = None, buffers: DataFrame | None = None) -> Engine:
         files = workspace.scan_workspace(spark, root)
-        return cls(spark, workspace.with_buffers(files, buffers) if buffers is not None else files, external)
+        return cls(spark, workspace.with_buffers(files, buffers, root) if buffers is not None else files, external)
 
     @staticmethod
     def external_view(entries: DataFrame) -> DataFrame:
         """Rows of archive.scan_jars under the lookup columns."""
         s = entries.select(F.explode("symbols").alias("s")).select("s.*")
-        return s.select(F.col("fully_qualified_name").alias("fqn"), "short_name", "package_name", "parent_name", "jar_path", "needs_decompilation", F.col("symbol_type").alias("kind"))
+        return s.select(
+            F.col("fully_qualified_name").alias("fqn"), "short_name", "package_name", "parent_name", "jar_path", "needs_decompilation", F.col("symbol_type").alias("kind"), "modifiers",
+            F.transform("metadata.parameters", lambda p: p["type_name"]).alias("param_types"), F.col("metadata.return_type").alias("return_type"),
+        )
 
     # -- the index --
 
@@ -57,6 +62,11 @@ class Engine:
     def members(self) -> DataFrame:
         return self.symbols.where(F.col("kind").isin("Function", "Field"))
 
+    @cached_property
+    def all_members(self) -> DataFrame:
+        """Members of the project and, below them, of the libraries."""
+        return stored(lookups.with_external(self.members, self.external), "all-members")
+
     @cached_property
     def imports(self) -> DataFrame:
         return stored(workspace.facts(self.parsed, "imports").select(F.col("path").alias("file_path"), "ordinal", "import_text", "is_wildcard"), "imports")
@@ -107,7 +117,9 @@ class Engine:
 
     def mentions(self, names: DataFrame) -> DataFrame:
         """names(name) -> every identifier of that name outside comments and strings: file_path, line, col, name."""
-        return workspace.facts(self.parsed, "idents").join(F.broadcast(names.select("name").distinct()), "name", "left_semi").select(F.col("path").alias("file_path"), "line", "col", "name")
+        asked = stored(names.select("name").distinct(), "names")
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_NAMES else asked
+        return workspace.facts(self.parsed, "idents").join(asked, "name", "left_semi").select(F.col("path").alias("file_path"), "line", "col", "name")
 
     def references(self, cursors: DataFrame) -> DataFrame:
         """target, file_path, line, col: mentions that resolve to what stands at the cursors, and its declarations."""
@@ -164,17 +176,18 @@ class Engine:
             col = F.col("col") if "col" in df.columns else F.lit(0)
             return df.select("file_path", line.cast("int").alias("line"), col.cast("int").alias("col"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(subject) if isinstance(subject, str) else subject).alias("subject"))
 
+        declared = workspace.facts(self.parsed, "declared_types").select(F.col("path").alias("file_path"), "name").distinct()
         own = workspace.facts(self.parsed, "diagnostics").select(F.col("path").alias("file_path"), F.col("line_start").alias("line"), F.col("char_start").alias("col"), "code", "severity", F.col("message").alias("subject"))
         keys = ["file_path", "line", "col"]
         return union_all(
             own,
-            row(dia.unresolved_symbol(refs, self.imports, self.symbols, self.external), "unresolved_symbol", "fqn"),
+            row(dia.unresolved_symbol(refs, self.imports, self.symbols, self.external, declared), "unresolved_symbol", "fqn"),
             row(dia.final_class_extended(self.types, self.edges).join(place.drop("file_path"), "symbol_fqn"), "final_class_extended", "super_fqn"),
             row(dia.unimplemented_methods(self.types, self.edges, self.members).join(place, "symbol_fqn"), "unimplemented_abstract_methods", F.concat("method", F.lit("("), F.array_join("needed", ", "), F.lit(")"))),
             row(dia.abstract_instantiated(made, self.types), "abstract_class_instantiated", "type_fqn"),
-            row(dia.method_not_found(sites, self.reach, self.members, self.types), "method_not_found", "method"),
-            row(dia.inaccessible_member(sites, self.members), "inaccessible_member", "method"),
-            row(dia.static_via_instance(sites, self.members), "static_member_via_instance", "method", "warning"),
+            row(dia.method_not_found(sites, self.reach, self.all_members, self.types), "method_not_found", "method"),
+            row(dia.inaccessible_member(sites, self.all_members), "inaccessible_member", "method"),
+            row(dia.static_via_instance(sites, self.all_members), "static_member_via_instance", "method", "warning"),
             row(dia.wrong_argument_types(sites, self.members, keys), "wrong_argument_types", "method"),
-            row(dia.override_incompatible(self.members, self.closure).join(place.withColumnRenamed("symbol_fqn", "type_fqn"), "type_fqn"), "override_incompatible_signature", "name"),
+            row(dia.override_incompatible(self.all_members, self.closure).join(place.withColumnRenamed("symbol_fqn", "type_fqn"), "type_fqn"), "override_incompatible_signature", "name"),
         )

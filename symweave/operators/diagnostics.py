@@ -71,11 +71,11 @@ def abstract_instantiated(creations: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def method_not_found(sites: DataFrame, reach: DataFrame, members: DataFrame, types: DataFrame) -> DataFrame:
-    """Java call sites on a known project type that neither has nor inherits the method."""
+    """Java call sites on a known project type that neither has nor inherits a member of the name, from libraries either
+    if reach and members hold them."""
     asked = sites.where((F.col("language") == "java") & ~F.col("method").isin(*OBJECT_METHODS)).join(types.select(F.col("fqn").alias("receiver")), "receiver", "left_semi")
     names = reachable_names(reach, members).select(F.col("type_fqn").alias("receiver"), F.col("name").alias("method"))
-    fields = members.where("kind = 'Field'").select(F.col("parent_name").alias("receiver"), F.col("short_name").alias("method"))
-    return asked.join(names.unionByName(fields).distinct(), ["receiver", "method"], "left_anti")
+    return asked.join(names, ["receiver", "method"], "left_anti")
 
 
 def _access(sites: DataFrame, members: DataFrame) -> DataFrame:

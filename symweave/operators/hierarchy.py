@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import stored
+from ..durable import discard, stored
 from .rank import first_by
 
 #: Member names that every type has.
@@ -52,18 +50,22 @@ def _by_query(edges: DataFrame) -> DataFrame:
 def _by_levels(edges: DataFrame) -> DataFrame:
     """Ways are extended from the last level's gains alone; each level is a stored table, so the plan stays one join deep."""
     way = ["child", "ancestor", "path", "visited"]
-    best = stored(edges.select("child", F.col("parent").alias("ancestor"), F.array("ordinal").alias("path"), F.array("child", "parent").alias("visited")), "closure")
-    gains, levels = best, [best]
+    gains = stored(edges.select("child", F.col("parent").alias("ancestor"), F.array("ordinal").alias("path"), F.array("child", "parent").alias("visited")), "gains")
+    known = stored(gains.select("child", "ancestor", "path"), "closure")
     step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"), "ordinal")
     while True:
         further = gains.join(step, "ancestor").where(~F.array_contains("visited", F.col("next")))
         further = further.select("child", F.col("next").alias("ancestor"), F.concat("path", F.array("ordinal")).alias("path"), F.concat("visited", F.array("next")).alias("visited"))
         further = further.groupBy("child", "ancestor").agg(F.min_by(F.struct("path", "visited"), "path").alias("w")).select("child", "ancestor", "w.path", "w.visited")
-        known = reduce(DataFrame.unionByName, levels).groupBy("child", "ancestor").agg(F.min("path").alias("old"))
-        gains = stored(further.join(known, ["child", "ancestor"], "left").where("old is null or path < old").select(*way), "closure")
+        old = known.withColumnRenamed("path", "old")
+        before, gains = gains, stored(further.join(old, ["child", "ancestor"], "left").where("old is null or path < old").select(*way), "gains")
+        discard(before)
         if gains.isEmpty():
-            return reduce(DataFrame.unionByName, levels).groupBy("child", "ancestor").agg(F.min("path").alias("path"))
-        levels.append(gains)
+            return known
+        # one table of the best ways so far: what a round reads is that and the last round's gains
+        merged = stored(known.unionByName(gains.select("child", "ancestor", "path")).groupBy("child", "ancestor").agg(F.min("path").alias("path")), "closure")
+        discard(known)
+        known = merged
 
 
 def with_self(closed: DataFrame, types: DataFrame) -> DataFrame:
@@ -73,14 +75,17 @@ def with_self(closed: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def reachable_names(reach: DataFrame, members: DataFrame) -> DataFrame:
-    """Names of the methods that a type has or inherits (reach includes the type itself)."""
-    names = members.where("kind = 'Function'").select(F.col("parent_name").alias("ancestor"), F.col("short_name").alias("name")).distinct()
+    """Names of the members, fields among them, that a type has or inherits (reach includes the type itself). With
+    members from lookups.with_external, and ways to library types in reach, those of libraries count as well."""
+    names = members.select(F.col("parent_name").alias("ancestor"), F.col("short_name").alias("name")).distinct()
     return reach.join(names, "ancestor").select(F.col("child").alias("type_fqn"), "name").distinct()
 
 
 def nearest_return(reach: DataFrame, members: DataFrame) -> DataFrame:
-    """type_fqn, name, from_fqn, return_type: of the first type in depth-first order that declares the method with a return type."""
-    own = members.where("kind = 'Function' and return_type is not null").groupBy("parent_name", "short_name").agg(F.min("return_type").alias("return_type"))
+    """type_fqn, name, from_fqn, return_type: of the first type in depth-first order that declares the method with a return
+    type. A generic return type is preferred where members have one."""
+    gives = F.coalesce("generic_return_type", "return_type") if "generic_return_type" in members.columns else F.col("return_type")
+    own = members.where("kind = 'Function'").withColumn("gives", gives).where("gives is not null").groupBy("parent_name", "short_name").agg(F.min("gives").alias("return_type"))
     found = reach.join(own, reach["ancestor"] == own["parent_name"]).select(F.col("child").alias("type_fqn"), F.col("short_name").alias("name"), F.col("ancestor").alias("from_fqn"), "return_type", "path")
     return first_by(found, ["type_fqn", "name"], ["path", "from_fqn"]).drop("path")
 
@@ -98,11 +103,13 @@ def component(edges: DataFrame) -> DataFrame:
     both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
-        seen = both.join(labels, both["b"] == labels["node"]).select(both["a"].alias("node"), "root").unionByName(labels)
-        low = seen.groupBy("node").agg(F.min("root").alias("root"))
+        seen = both.join(labels, both["b"] == labels["node"]).select(both["a"].alias("node"), "root").unionByName(labels.select("node", "root"))
+        low = stored(seen.groupBy("node").agg(F.min("root").alias("root")), "low")
         up = low.select(F.col("node").alias("via"), F.col("root").alias("top"))
         old = labels.select("node", F.col("root").alias("old"))
         new = stored(low.join(up, low["root"] == up["via"]).select("node", F.least("root", "top").alias("root")).join(old, "node"), "labels")
-        labels = new.select("node", "root")
+        discard(low)
+        discard(labels)
+        labels = new
         if new.where("root <> old").isEmpty():
             return labels.select(F.col("node").alias("fqn"), F.col("root").alias("component"))

@@ -77,13 +77,31 @@ def prefix_search(symbols: DataFrame, prefix: str, jars: list[str] | None = None
 
 
 def prefix_search_many(symbols: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The same for prefixes(prefix) as data: the probes join on the first character and filter on the rest."""
+    """The same for prefixes(prefix) as data. The probes are equi-joins: each name gives its beginnings of the lengths that
+    some prefix has (one number a length reaches the driver), so no character that all names share becomes a hot key."""
     types = symbols.where(~F.col("kind").isin("Function", "Field"))
     keyed = prefixes.select("prefix", F.lower("prefix").alias("low"), capitalised_prefix(F.col("prefix")).alias("cap"))
-    by_name = types.join(keyed, (F.left("fqn", F.lit(1)) == F.left("low", F.lit(1))) & F.col("fqn").startswith(F.col("low"))).withColumn("probe", F.lit(0))
-    by_short = types.join(keyed, (F.left("short_name", F.lit(1)) == F.left("cap", F.lit(1))) & F.col("short_name").startswith(F.col("cap"))).withColumn("probe", F.lit(1))
-    each = top_by(by_name.unionByName(by_short), ["prefix", "probe"], ["fqn"], PROBE_LIMIT)
-    return top_by(first_by(each, ["prefix", "fqn"], ["probe"]), ["prefix"], ["probe", "fqn"], PREFIX_LIMIT).drop("low", "cap")
+    lengths = F.array(*(F.lit(r["n"]) for r in keyed.select(F.length("low").alias("n")).distinct().orderBy("n").collect()))
+
+    def probe(name: str, beginning: str, n: int) -> DataFrame:
+        begins = F.transform(F.filter(lengths, lambda x: x <= F.length(name)), lambda x: F.left(F.col(name), x))
+        keys = types.select("*", F.explode(begins).alias("__key"))
+        return keys.join(keyed.withColumnRenamed(beginning, "__key").select("prefix", "__key"), "__key").drop("__key").withColumn("probe", F.lit(n))
+
+    if keyed.isEmpty():
+        return types.withColumn("probe", F.lit(0)).withColumn("prefix", F.lit("")).limit(0)
+    each = top_by(probe("fqn", "low", 0).unionByName(probe("short_name", "cap", 1)), ["prefix", "probe"], ["fqn"], PROBE_LIMIT)
+    return top_by(first_by(each, ["prefix", "fqn"], ["probe"]), ["prefix"], ["probe", "fqn"], PREFIX_LIMIT)
+
+
+def with_external(members: DataFrame, external: DataFrame) -> DataFrame:
+    """Project members and library ones in one relation under the columns of the former: one row of libraries for each
+    name and signature, with sources before without; what libraries do not tell is null."""
+    own = external.where(F.col("kind").isin("Function", "Field"))
+    lacking = {f.name: F.lit(None).cast(f.dataType) for f in members.schema.fields if f.name not in own.columns}
+    params = F.array_join("param_types", ",") if "param_types" in own.columns else F.lit("")
+    first = first_by(own.withColumn("__params", params), ["fqn", "__params"], ["needs_decompilation", "jar_path"])
+    return members.unionByName(first.withColumns(lacking).select(*members.columns) if lacking else first.select(*members.columns))
 
 
 def implementers_by_fqn(symbols: DataFrame, supers: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def edits(*parts: DataFrame) -> DataFrame:
     out = parts[0].select(*cols)
     for p in parts[1:]:
         out = out.unionByName(p.select(*cols))
-    return out.distinct()
+    return out.distinct().orderBy(*cols)
 
 
 def hierarchy_functions(seeds: DataFrame, components: DataFrame, members: DataFrame) -> DataFrame:

@@ -30,11 +30,13 @@ def resolve_fqn(refs: DataFrame, imports: DataFrame, symbols: DataFrame, externa
     explicit = imports.where("not is_wildcard").select(F.col("file_path").alias("i_file"), _last("import_text").alias("i_name"), F.col("import_text").alias("fqn"), F.col("ordinal").cast("long").alias("ordinal"))
     by_import = plain.join(explicit, (F.col("file_path") == F.col("i_file")) & (F.col("name") == F.col("i_name"))).select(*out)
     wild = imports.where("is_wildcard").select(F.col("file_path").alias("i_file"), F.regexp_replace("import_text", r"\*$", "").alias("stem"), F.col("ordinal").cast("long").alias("ordinal"))
-    indexed = symbols.select("fqn").unionByName(external.select("fqn")).distinct()
+    # names are names of types; members only have names with # or beyond a dot that no reference has
+    typed = lambda df: df.where(~F.col("kind").isin("Function", "Field")) if "kind" in df.columns else df
+    indexed = typed(symbols).select("fqn").unionByName(typed(external).select("fqn")).distinct()
     by_wild = plain.join(wild, F.col("file_path") == F.col("i_file")).select("file_path", "name", F.concat("stem", "name").alias("fqn"), "ordinal").join(indexed, "fqn", "left_semi").select(*out)
     own = plain.where("package_name is not null").where(~F.contains("name", F.col("package_name"))).select("file_path", "name", F.concat_ws(".", "package_name", "name").alias("fqn"), F.lit(0).cast("long").alias("ordinal"))
     if strict:
-        own = own.join(symbols.select("fqn").distinct(), "fqn", "left_semi").select(*out)
+        own = own.join(typed(symbols).select("fqn").distinct(), "fqn", "left_semi").select(*out)
     got = prioritised(keys, ["ordinal", "fqn"], whole, by_import, by_wild, own)
     return got.select("file_path", "name", "fqn", (F.col("priority") + 1).alias("priority"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..durable import shared_path
 from ..functions import types as typefn
 from ..sources import dependencies, workspace
+from ..sources.store import VersionedTable
 from ..universe import Universe, pick, text
 from .queries import joined, query
 
@@ -140,26 +142,24 @@ def signature_parse(u: Universe) -> DataFrame:
 
 @query
 def stream_debounce_upsert(u: Universe) -> DataFrame:
-    """The newest buffer of each uri, kept by micro-batches over the event stream. Each version of the table is a folder
-    named by its batch, so a repeated batch writes the same again; the last folder is the result."""
+    """The newest buffer of each uri, kept by micro-batches over the event stream in a versioned table. What is current
+    stands in the table's own pointer, so a stream that starts again from its checkpoint goes on from there; a batch that
+    was published before it was committed is skipped when it comes again."""
     spark = u.spark
     schema = spark.read.parquet(f"{u.sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{u.sf_dir}/events.parquet*")
     base = shared_path(spark, "stream")
     kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "change")
     changes = stream.select(F.col("user_id").alias("uri"), kind.alias("kind"), F.col("event_id").alias("version")).where("kind is not null")
-    state = {"path": None}
+    table = VersionedTable(spark, f"{base}/buffers", T.StructType.fromDDL("uri long, version long, kind string"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if state["path"] is None else batch.unionByName(spark.read.parquet(state["path"]))
-        path = f"{base}/v={batch_id}"
-        rows.groupBy("uri").agg(F.max("version").alias("version"), F.max_by("kind", "version").alias("kind")).write.mode("overwrite").parquet(path)
-        state["path"] = path
+        if batch_id > table.version:
+            rows = batch.unionByName(table.read())
+            table.publish(rows.groupBy("uri").agg(F.max("version").alias("version"), F.max_by("kind", "version").alias("kind")), batch_id)
 
     run = changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    if state["path"] is None:
-        return spark.createDataFrame([], "uri long, version long, kind string")
-    return spark.read.parquet(state["path"])
+    return table.read()
 
 

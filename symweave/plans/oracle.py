@@ -64,7 +64,10 @@ CTES: dict[str, str] = {
     "impls": """SELECT t.fqn AS type_fqn, s.symbol_fqn, 'fqn' AS via FROM types t JOIN supers s ON s.super_fqn = t.fqn
       UNION ALL SELECT t.fqn, s.symbol_fqn, 'short_name' FROM types t JOIN supers s ON s.super_short_name = t.short_name WHERE t.fqn NOT IN (SELECT super_fqn FROM supers WHERE super_fqn IS NOT NULL)""",
     "access": "SELECT parent_name AS receiver, short_name AS method, bool_and(mods = 'private') AS all_private, bool_or(mods = 'static') AS any_static FROM members GROUP BY ALL",
-    "keys": "SELECT DISTINCT fqn FROM types WHERE k % 5 = 0 UNION SELECT fqn FROM members WHERE short_name = 'm3'",
+    "keys": "SELECT fqn FROM types UNION SELECT fqn FROM members",
+    # types of a number that leaves three by seven extend a library class besides
+    "library_reach": """SELECT child, ancestor FROM reach UNION SELECT r.child, e.fqn FROM reach r JOIN types t ON t.fqn = r.ancestor JOIN libs e ON e.s = t.k // 7 WHERE t.k % 7 = 3""",
+    "library_names": """SELECT DISTINCT l.child AS type_fqn, m.short_name AS name FROM library_reach l JOIN (SELECT parent_name, short_name FROM members UNION SELECT parent_name, short_name FROM ext_members) m ON m.parent_name = l.ancestor""",
     "flat": "SELECT DISTINCT file_path, fqn, kind, mods, coalesce(params, '-') AS params, return_type, line, package_name FROM members",
     "required": """SELECT DISTINCT m.parent_name, m.short_name, m.params, m.arity FROM members m JOIN types t ON t.fqn = m.parent_name WHERE m.kind = 'Function' AND t.kind = 'Interface' AND m.mods <> 'static'""",
 }
@@ -93,7 +96,7 @@ BODIES: dict[str, str] = {
     "resolve_fqn_strict": "SELECT file_path, name, fqn, CAST(priority AS INT) AS priority FROM strictly",
     "resolve_index_time": "SELECT DISTINCT r.file_path, r.name, (SELECT arg_min(i.import_text, i.ordinal) FROM imports i WHERE i.file_path = r.file_path AND NOT i.is_wildcard AND split_part(i.import_text, '.', -1) = r.name) AS fqn FROM type_refs r",
     "fqn_to_symbol": """SELECT q.fqn, CASE WHEN t.fqn IS NOT NULL THEN 'project' ELSE 'external' END AS origin, coalesce(t.kind, e.kind) AS kind, coalesce(t.file_path, e.jar_path) AS place
-      FROM (SELECT fqn FROM types WHERE k % 3 = 0 UNION SELECT fqn FROM ext_types UNION SELECT fqn || 'Gone' FROM types WHERE k % 7 = 0) q LEFT JOIN types t ON t.fqn = q.fqn
+      FROM (SELECT fqn FROM types UNION SELECT fqn FROM ext_types UNION SELECT fqn || 'Gone' FROM types) q LEFT JOIN types t ON t.fqn = q.fqn
       LEFT JOIN ext_types e ON e.fqn = q.fqn AND NOT e.needs_decompilation WHERE t.fqn IS NOT NULL OR e.fqn IS NOT NULL""",
     "property_accessor_lookup": """SELECT type_fqn, field, accessor, target FROM (SELECT t.fqn AS type_fqn, f.field, m.short_name AS accessor, m.fqn AS target, row_number() OVER (PARTITION BY t.fqn, f.field ORDER BY m.short_name LIKE 'is%') AS n
       FROM types t, (VALUES ('m0'), ('m1'), ('m2'), ('m3'), ('m4')) f(field) JOIN (SELECT DISTINCT parent_name, short_name, fqn FROM members WHERE kind = 'Function') m ON m.parent_name = t.fqn AND m.short_name IN ('getM' || substr(f.field, 2), 'isM' || substr(f.field, 2))) WHERE n = 1""",
@@ -103,8 +106,8 @@ BODIES: dict[str, str] = {
       FROM sites s JOIN members m ON m.parent_name = s.receiver AND m.short_name = s.method AND m.arity = s.argc) GROUP BY {SITE}""",
     "symbol_by_fqn": "SELECT fqn, min(file_path) AS file_path, CASE WHEN bool_or(params IS NULL) THEN NULL ELSE min(params) END AS params FROM symbols WHERE fqn IN (SELECT fqn FROM keys) GROUP BY fqn",
     "symbols_by_fqn_all_overloads": "SELECT s.fqn, kind, mods, params, return_type FROM symbols s WHERE s.fqn IN (SELECT fqn FROM keys)",
-    "children_of_type": "SELECT m.parent_name, m.fqn, m.kind, m.mods, m.params, m.return_type FROM members m WHERE m.parent_name IN (SELECT fqn FROM types WHERE k % 4 = 0)",
-    "symbols_of_file": "SELECT file_path, fqn, kind, mods, params, return_type FROM symbols WHERE file_path IN (SELECT file_path FROM types WHERE k % 13 = 0)",
+    "children_of_type": "SELECT m.parent_name, m.fqn, m.kind, m.mods, m.params, m.return_type FROM members m WHERE m.parent_name IN (SELECT fqn FROM types)",
+    "symbols_of_file": "SELECT file_path, fqn, kind, mods, params, return_type FROM symbols WHERE file_path IN (SELECT file_path FROM types)",
     "external_prefer_sources": "SELECT fqn, arg_min(jar_path, needs_decompilation) AS jar_path, min(needs_decompilation) AS needs_decompilation FROM ext_types GROUP BY fqn",
     "external_children_on_classpath": "SELECT e.fqn AS parent_name, m.fqn, m.jar_path FROM libs e JOIN ext_symbols m ON m.parent_name = e.fqn WHERE e.s % 3 = 0 OR (e.s % 3 = 1 AND m.jar_path = 'lib0.jar') OR (e.s % 3 = 2 AND m.jar_path = 'lib9.jar')",
     "prefix_search_types": """SELECT fqn, CAST(probe AS INT) AS probe FROM (SELECT fqn, min(probe) AS probe FROM (
@@ -113,11 +116,12 @@ BODIES: dict[str, str] = {
       (SELECT fqn, jar_path, 0 AS probe FROM ext_types WHERE starts_with(fqn, 'ext.n1') ORDER BY fqn, jar_path LIMIT 100) UNION ALL (SELECT fqn, jar_path, 1 FROM ext_types WHERE starts_with(short_name, 'Ext.n1') ORDER BY fqn, jar_path LIMIT 100)))
       WHERE n = 1 ORDER BY probe, fqn LIMIT 200) WHERE jar_path = 'lib0.jar'""",
     "implementers_by_fqn": "SELECT s.super_fqn, t.fqn, t.kind FROM supers s JOIN types t ON t.fqn = s.symbol_fqn WHERE s.super_fqn IS NOT NULL",
-    "implementers_by_short_name": "SELECT s.super_short_name, t.fqn FROM supers s JOIN types t ON t.fqn = s.symbol_fqn WHERE s.super_short_name IN (SELECT short_name FROM types WHERE k % 6 = 0)",
+    "implementers_by_short_name": "SELECT s.super_short_name, t.fqn FROM supers s JOIN types t ON t.fqn = s.symbol_fqn WHERE s.super_short_name IN (SELECT short_name FROM types)",
     "supertypes_of_symbol": "SELECT s.symbol_fqn, t.fqn, t.kind, t.file_path FROM supers s JOIN types t ON t.fqn = s.super_fqn",
     "distinct_source_files": "SELECT DISTINCT file_path FROM symbols ORDER BY file_path",
     "supertype_closure": "SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM closure GROUP BY child, ancestor",
-    "reachable_member_names": "SELECT DISTINCT r.child AS type_fqn, m.short_name AS name FROM reach r JOIN members m ON m.parent_name = r.ancestor AND m.kind = 'Function'",
+    "reachable_member_names": "SELECT DISTINCT r.child AS type_fqn, m.short_name AS name FROM reach r JOIN members m ON m.parent_name = r.ancestor",
+    "reachable_names_below_libraries": "SELECT type_fqn, name FROM library_names",
     "nearest_inherited_return": """SELECT type_fqn, name, from_fqn, return_type FROM (SELECT r.child AS type_fqn, o.short_name AS name, r.ancestor AS from_fqn, o.return_type, r.depth, row_number() OVER (PARTITION BY r.child, o.short_name ORDER BY r.depth) AS n
       FROM reach r JOIN own_returns o ON o.parent_name = r.ancestor) WHERE n = 1""",
     "required_methods": "SELECT parent_name, short_name, params FROM required",
@@ -125,7 +129,7 @@ BODIES: dict[str, str] = {
     "implementation_of_type": "SELECT type_fqn, symbol_fqn, via FROM impls",
     "implementation_of_method": """SELECT DISTINCT i.type_fqn, a.short_name AS method, CAST(a.arity AS INT) AS arity, b.fqn AS target FROM impls i JOIN members a ON a.parent_name = i.type_fqn AND a.kind = 'Function'
       JOIN members b ON b.parent_name = i.symbol_fqn AND b.kind = 'Function' AND b.short_name = a.short_name AND b.arity = a.arity""",
-    "completion_members": """SELECT DISTINCT m.parent_name AS receiver, m.short_name, m.fqn, 'project' AS origin FROM members m JOIN types t ON t.fqn = m.parent_name AND t.k % 3 = 0
+    "completion_members": """SELECT DISTINCT m.parent_name AS receiver, m.short_name, m.fqn, 'project' AS origin FROM members m JOIN types t ON t.fqn = m.parent_name
       UNION ALL SELECT DISTINCT e.fqn, x.short_name, x.fqn, 'external' FROM libs e JOIN ext_symbols x ON x.parent_name = e.fqn WHERE e.s % 2 <> 0 OR x.jar_path = 'lib0.jar'""",
     "completion_prefix": """SELECT prefix, fqn, origin, CAST(rnk AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prefix, fqn ORDER BY rnk) AS f FROM (
       SELECT *, CASE WHEN origin = 'project' AND package_name = 'com.r1.n1' THEN 1 WHEN origin = 'project' THEN 2 ELSE 3 END AS rnk FROM (
@@ -137,13 +141,13 @@ BODIES: dict[str, str] = {
               WHERE CASE v.probe WHEN 0 THEN starts_with(x.fqn, lower(p.prefix)) ELSE starts_with(x.short_name, upper(left(p.prefix, 1)) || lower(substr(p.prefix, 2))) END)) WHERE n <= 100) WHERE d = 1) WHERE g <= 200)) WHERE f = 1""",
     "references_text": """SELECT id, line, n FROM (SELECT doc_id AS id, CAST(i - 1 AS INT) AS line, CAST(len(list_filter(regexp_split_to_array(lines[i], '[^A-Za-z0-9_]'), lambda w: w = 'the')) AS BIGINT) AS n
       FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)) WHERE n > 0""",
-    "references_resolved": f"SELECT {SITE}, s.file_path, r.target FROM sites s JOIN resolved r ON r.receiver = s.receiver AND r.method = s.method WHERE r.target IN (SELECT fqn FROM members WHERE short_name IN ('m1', 'm2', 'm3'))",
-    "rename_type_edits": """SELECT file_path, CAST(k % 50 AS INT) AS line, 6 AS col, short_name || 'Renamed' AS new_text FROM types WHERE k % 50 = 0
-      UNION SELECT r.file_path, r.line, r.col, t.short_name || 'Renamed' FROM type_refs r JOIN lenient l ON l.file_path = r.file_path AND l.name = r.name JOIN types t ON t.fqn = l.fqn AND t.k % 50 = 0""",
-    "rename_function_edits": """SELECT DISTINCT m.file_path, m.line, 8 AS col, 'renamedM1' AS new_text FROM members m JOIN components c ON c.fqn = m.parent_name WHERE m.kind = 'Function' AND m.short_name = 'm1'
-      AND EXISTS (SELECT 1 FROM members a JOIN components b ON b.fqn = a.parent_name JOIN types t ON t.fqn = a.parent_name AND t.k % 25 = 0 WHERE a.kind = 'Function' AND a.short_name = 'm1' AND b.component = c.component AND a.params = m.params)""",
-    "rename_field_edits": """SELECT file_path, line, 8 AS col, short_name || 'Next' AS new_text FROM members WHERE kind = 'Field' AND short_name IN ('m1', 'm2', 'm3')
-      UNION SELECT f.file_path, f.line, 8, f.short_name || 'Next' FROM members f JOIN members d ON d.parent_name = f.parent_name AND d.kind = 'Field' AND d.short_name IN ('m1', 'm2', 'm3')
+    "references_resolved": f"SELECT {SITE}, s.file_path, r.target FROM sites s JOIN resolved r ON r.receiver = s.receiver AND r.method = s.method WHERE r.target IN (SELECT fqn FROM members)",
+    "rename_type_edits": """SELECT file_path, CAST(k % 50 AS INT) AS line, 6 AS col, short_name || 'Renamed' AS new_text FROM types
+      UNION SELECT r.file_path, r.line, r.col, t.short_name || 'Renamed' FROM type_refs r JOIN lenient l ON l.file_path = r.file_path AND l.name = r.name JOIN types t ON t.fqn = l.fqn""",
+    "rename_function_edits": """SELECT DISTINCT m.file_path, m.line, 8 AS col, 'renamed' || upper(left(m.short_name, 1)) || substr(m.short_name, 2) AS new_text FROM members m JOIN components c ON c.fqn = m.parent_name WHERE m.kind = 'Function'
+      AND EXISTS (SELECT 1 FROM members a JOIN components b ON b.fqn = a.parent_name JOIN types t ON t.fqn = a.parent_name AND t.kind = 'Interface' WHERE a.kind = 'Function' AND a.short_name = m.short_name AND b.component = c.component AND a.params = m.params)""",
+    "rename_field_edits": """SELECT file_path, line, 8 AS col, short_name || 'Next' AS new_text FROM members WHERE kind = 'Field'
+      UNION SELECT f.file_path, f.line, 8, f.short_name || 'Next' FROM members f JOIN members d ON d.parent_name = f.parent_name AND d.kind = 'Field'
         AND f.short_name IN ('getM' || substr(d.short_name, 2), 'setM' || substr(d.short_name, 2), 'isM' || substr(d.short_name, 2)) WHERE f.kind = 'Function'""",
     "declaration_at_cursor": """SELECT DISTINCT l_orderkey, l_linenumber, t.file_path, CAST(100 + (l_orderkey % 20) * 10 + l_linenumber % 4 AS INT) AS line, CAST(CAST(l_quantity AS INT) % 20 AS INT) AS col, m.fqn
       FROM lineitem JOIN types t ON l_partkey = t.k JOIN members m ON m.file_path = t.file_path AND m.line = 100 + (l_orderkey % 20) * 10 + l_linenumber % 4 AND CAST(l_quantity AS INT) % 20 BETWEEN 8 AND 8 + length(m.short_name)""",
@@ -164,7 +168,9 @@ BODIES: dict[str, str] = {
         AND (q.arity = 0 OR len(list_filter(range(1, q.arity + 1), lambda i: NOT (string_split(m.params, ',')[i] = string_split(q.params, ',')[i] OR string_split(q.params, ',')[i] = 'T'))) = 0))""",
     "abstract_class_instantiated": f"SELECT {SITE}, s.file_path, s.receiver AS type_fqn FROM sites s JOIN types t ON t.fqn = s.receiver AND t.mods = 'abstract' WHERE s.language <> 'kotlin'",
     "method_not_found": f"""SELECT {SITE}, s.receiver, s.method FROM sites s WHERE s.language = 'java' AND s.receiver IN (SELECT fqn FROM types)
-      AND NOT EXISTS (SELECT 1 FROM reach r JOIN members m ON m.parent_name = r.ancestor WHERE r.child = s.receiver AND m.short_name = s.method AND (m.kind = 'Function' OR r.depth = 0))""",
+      AND NOT EXISTS (SELECT 1 FROM reach r JOIN members m ON m.parent_name = r.ancestor WHERE r.child = s.receiver AND m.short_name = s.method)""",
+    "method_not_found_below_libraries": f"""SELECT {SITE}, s.receiver, 'x' || (l_orderkey % 9 + 1) AS method FROM sites s JOIN types t ON t.fqn = s.receiver LEFT JOIN library_names n ON n.type_fqn = s.receiver AND n.name = 'x' || (l_orderkey % 9 + 1)
+      WHERE s.language = 'java' AND n.name IS NULL""",
     "inaccessible_member": f"SELECT {SITE}, s.receiver, s.method FROM sites s JOIN access a ON a.receiver = s.receiver AND a.method = s.method WHERE a.all_private",
     "static_member_via_instance": f"SELECT {SITE}, s.receiver, s.method FROM sites s JOIN access a ON a.receiver = s.receiver AND a.method = s.method WHERE a.any_static AND NOT a.all_private",
     "wrong_type_argument_count": "SELECT DISTINCT l_orderkey, l_linenumber, e.fqn AS type_fqn, CAST(l_linenumber % 4 AS INT) AS n_args, e.n_type_params FROM lineitem JOIN libs e ON l_suppkey = e.s WHERE e.n_type_params > 0 AND l_linenumber % 4 <> e.n_type_params",
@@ -197,11 +203,12 @@ BODIES: dict[str, str] = {
       LEFT JOIN first_hits a ON a.receiver = s.receiver AND a.method = s.one LEFT JOIN gives x ON x.target = a.target LEFT JOIN first_hits b ON b.receiver = coalesce(x.fqn, 'java.lang.Object') AND b.method = s.two LEFT JOIN gives y ON y.target = b.target""",
 }
 
-# two-step chains: all project members from every type upwards, without external ones, since receivers are project types
-CTES["starts"] = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, receiver, method AS one, 'm' || ((l_orderkey + 7) % 20) AS two FROM sites WHERE l_linenumber <> 6"
+# two-step chains: project members from every type upwards, and library members on the receiver itself
+CTES["starts"] = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, receiver, method AS one, 'm' || ((l_orderkey + 7) % 20) AS two FROM sites"
 CTES["first_hits"] = """SELECT receiver, method, target FROM (SELECT r.child AS receiver, q.method, m.fqn AS target, row_number() OVER (PARTITION BY r.child, q.method ORDER BY r.depth, o.source, m.fqn) AS n
       FROM (SELECT DISTINCT one AS method FROM starts UNION SELECT two FROM starts) q, LATERAL (VALUES (0, q.method), (1, 'get' || upper(left(q.method, 1)) || substr(q.method, 2)), (2, 'is' || upper(left(q.method, 1)) || substr(q.method, 2))) o(source, offer)
-      JOIN (SELECT DISTINCT parent_name, short_name, fqn FROM members) m ON m.short_name = o.offer JOIN reach r ON r.ancestor = m.parent_name) WHERE n = 1"""
+      JOIN (SELECT DISTINCT parent_name, short_name, fqn FROM members) m ON m.short_name = o.offer JOIN reach r ON r.ancestor = m.parent_name) WHERE n = 1
+      UNION ALL SELECT parent_name, short_name, fqn FROM ext_members"""
 CTES["gives"] = "SELECT m.fqn AS target, min(t.fqn) AS fqn FROM members m JOIN types t ON t.short_name = m.return_type GROUP BY m.fqn"
 
 ORACLES: dict[str, str] = {name: with_ctes(body) for name, body in BODIES.items()}

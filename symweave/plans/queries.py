@@ -52,7 +52,7 @@ def resolve_index_time(u: Universe) -> DataFrame:
 
 @query
 def fqn_to_symbol(u: Universe) -> DataFrame:
-    keys = u.types.where("k % 3 = 0").select("fqn").unionByName(u.external_types.select("fqn")).unionByName(u.types.where("k % 7 = 0").select(F.concat("fqn", F.lit("Gone")).alias("fqn")))
+    keys = u.types.select("fqn").unionByName(u.external_types.select("fqn")).unionByName(u.types.select(F.concat("fqn", F.lit("Gone")).alias("fqn")))
     return lookups.fqn_to_symbol(u.symbols, u.external_symbols, keys)
 
 
@@ -79,7 +79,7 @@ def overload_by_types(u: Universe) -> DataFrame:
 
 @query
 def chain_resolution_two_steps(u: Universe) -> DataFrame:
-    start = u.call_sites.where("l_linenumber <> 6").select(*SITE, "receiver", F.col("method").alias("one"), text("m", (F.col("l_orderkey") + 7) % 20).alias("two"))
+    start = u.call_sites.select(*SITE, "receiver", F.col("method").alias("one"), text("m", (F.col("l_orderkey") + 7) % 20).alias("two"))
     return resolve.walk_chain(start, ["one", "two"], u.reach, u.members, u.types, u.external_symbols).select(*SITE, "one_target", "two_target", F.col("receiver").alias("result"))
 
 
@@ -87,7 +87,7 @@ def chain_resolution_two_steps(u: Universe) -> DataFrame:
 
 
 def _keys(u: Universe) -> DataFrame:
-    return u.types.where("k % 5 = 0").select("fqn").unionByName(u.members.where("short_name = 'm3'").select("fqn"))
+    return u.types.select("fqn").unionByName(u.members.select("fqn"))
 
 
 @query
@@ -103,13 +103,13 @@ def symbols_by_fqn_all_overloads(u: Universe) -> DataFrame:
 
 @query
 def children_of_type(u: Universe) -> DataFrame:
-    got = lookups.children(u.members, u.types.where("k % 4 = 0").select(F.col("fqn").alias("parent_name")))
+    got = lookups.children(u.members, u.types.select(F.col("fqn").alias("parent_name")))
     return got.select("parent_name", "fqn", "kind", joined("modifiers").alias("mods"), joined("param_types").alias("params"), "return_type")
 
 
 @query
 def symbols_of_file(u: Universe) -> DataFrame:
-    return lookups.of_files(u.symbols, u.types.where("k % 13 = 0").select("file_path")).select("file_path", "fqn", "kind", joined("modifiers").alias("mods"), joined("param_types").alias("params"), "return_type")
+    return lookups.of_files(u.symbols, u.types.select("file_path")).select("file_path", "fqn", "kind", joined("modifiers").alias("mods"), joined("param_types").alias("params"), "return_type")
 
 
 @query
@@ -141,7 +141,7 @@ def implementers_by_fqn(u: Universe) -> DataFrame:
 
 @query
 def implementers_by_short_name(u: Universe) -> DataFrame:
-    names = u.types.where("k % 6 = 0").select(F.col("short_name").alias("super_short_name"))
+    names = u.types.select(F.col("short_name").alias("super_short_name"))
     return lookups.implementers_by_short_name(u.types, u.supers, names).select("super_short_name", "fqn")
 
 
@@ -168,6 +168,12 @@ def reachable_member_names(u: Universe) -> DataFrame:
     return hierarchy.reachable_names(u.reach, u.members)
 
 
+@query
+def reachable_names_below_libraries(u: Universe) -> DataFrame:
+    """Where classes extend library classes, the libraries' members count as theirs."""
+    return hierarchy.reachable_names(u.library_reach, lookups.with_external(u.members, u.external_members))
+
+
 @query
 def nearest_inherited_return(u: Universe) -> DataFrame:
     return hierarchy.nearest_return(u.reach, u.members)
@@ -203,7 +209,7 @@ def implementation_of_method(u: Universe) -> DataFrame:
 @query
 def completion_members(u: Universe) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
-    asked = u.types.where("k % 3 = 0").select(F.col("fqn").alias("receiver"), none.alias("jars")).unionByName(u.external_types.where("not needs_decompilation").select(F.col("fqn").alias("receiver"), F.when(F.col("s") % 2 == 0, F.array(F.lit("lib0.jar"))).otherwise(none).alias("jars")))
+    asked = u.types.select(F.col("fqn").alias("receiver"), none.alias("jars")).unionByName(u.external_types.where("not needs_decompilation").select(F.col("fqn").alias("receiver"), F.when(F.col("s") % 2 == 0, F.array(F.lit("lib0.jar"))).otherwise(none).alias("jars")))
     return requests.complete_members(asked, u.members, u.external_symbols)
 
 
@@ -220,13 +226,13 @@ def references_text(u: Universe) -> DataFrame:
 
 @query
 def references_resolved(u: Universe) -> DataFrame:
-    targets = u.members.where("short_name in ('m1', 'm2', 'm3')").select(F.col("fqn").alias("target")).distinct()
+    targets = u.members.select(F.col("fqn").alias("target")).distinct()
     return resolve.resolve_call_sites(u.call_sites, u.reach, u.members, u.external_symbols).join(targets, "target", "left_semi").select(*SITE, "file_path", "target")
 
 
 @query
 def rename_type_edits(u: Universe) -> DataFrame:
-    named = u.types.where("k % 50 = 0").select("fqn", "short_name", "file_path", F.concat("short_name", F.lit("Renamed")).alias("new_text"), (F.col("k") % 50).cast("int").alias("line"), F.lit(6).alias("col"))
+    named = u.types.select("fqn", "short_name", "file_path", F.concat("short_name", F.lit("Renamed")).alias("new_text"), (F.col("k") % 50).cast("int").alias("line"), F.lit(6).alias("col"))
     found = resolve.resolve_fqn(u.type_refs, u.imports, u.symbols, u.external_symbols).select("file_path", "name", "fqn")
     uses = u.type_refs.join(found, ["file_path", "name"]).join(named.select("fqn", "new_text"), "fqn")
     return requests.edits(named, uses)
@@ -234,14 +240,15 @@ def rename_type_edits(u: Universe) -> DataFrame:
 
 @query
 def rename_function_edits(u: Universe) -> DataFrame:
-    seeds = u.members.where("kind = 'Function' and short_name = 'm1'").join(u.types.where("k % 25 = 0").select(F.col("fqn").alias("parent_name")), "parent_name", "left_semi")
+    """Every function that an interface declares is renamed, with all of its name and signature in the interface's hierarchy."""
+    seeds = u.members.where("kind = 'Function'").join(u.types.where("kind = 'Interface'").select(F.col("fqn").alias("parent_name")), "parent_name", "left_semi")
     found = requests.hierarchy_functions(seeds, _components(u), u.members)
-    return requests.edits(found.select("file_path", "line", F.lit(8).alias("col"), F.lit("renamedM1").alias("new_text")))
+    return requests.edits(found.select("file_path", "line", F.lit(8).alias("col"), F.concat(F.lit("renamed"), strings.capitalise(F.col("short_name"))).alias("new_text")))
 
 
 @query
 def rename_field_edits(u: Universe) -> DataFrame:
-    fields = u.members.where("kind = 'Field' and short_name in ('m1', 'm2', 'm3')").select("parent_name", "short_name", "file_path", "line").distinct()
+    fields = u.members.where("kind = 'Field'").select("parent_name", "short_name", "file_path", "line").distinct()
     cap = strings.capitalise(F.col("short_name"))
     own = fields.select("file_path", "line", F.lit(8).alias("col"), F.concat("short_name", F.lit("Next")).alias("new_text"))
     wanted = fields.select("parent_name", F.explode(F.array(*(F.struct(F.concat(F.lit(p), cap).alias("name"), F.concat(F.lit(p), cap, F.lit("Next")).alias("new_text")) for p in ("get", "set", "is")))).alias("a")).select("parent_name", F.col("a.name").alias("short_name"), F.col("a.new_text").alias("new_text")).distinct()
@@ -311,6 +318,13 @@ def method_not_found(u: Universe) -> DataFrame:
     return dia.method_not_found(u.call_sites, u.reach, u.members, u.types).select(*SITE, "receiver", "method")
 
 
+@query
+def method_not_found_below_libraries(u: Universe) -> DataFrame:
+    """Calls of x1 to x9 on every type: below a library class its members are found."""
+    calls = u.call_sites.withColumn("method", text("x", F.col("l_orderkey") % 9 + 1))
+    return dia.method_not_found(calls, u.library_reach, lookups.with_external(u.members, u.external_members), u.types).select(*SITE, "receiver", "method")
+
+
 @query
 def inaccessible_member(u: Universe) -> DataFrame:
     return dia.inaccessible_member(u.call_sites, u.members).select(*SITE, "receiver", "method")

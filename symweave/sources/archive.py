@@ -17,7 +17,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..schema import EXTERNAL_SYMBOLS, LANGUAGES, SUPERS
 from .classfile import read_class
 from .parse import facts_of
-from .parse.extract import IMPLICIT
 from .workspace import MAX_LINES
 
 #: One row per archive entry: what it declares, or why it could not be read.
@@ -26,12 +25,16 @@ ENTRIES = T.StructType([T.StructField("jar_path", T.StringType()), T.StructField
 _POSITIONS = ("line_start", "line_end", "char_start", "char_end", "ident_line_start", "ident_line_end", "ident_char_start", "ident_char_end")
 
 
+# The packages of a JDK's src.zip that are read.
+JDK_PACKAGES = ("java.lang", "java.util", "java.util.concurrent", "java.util.stream", "java.util.function", "java.io", "java.nio", "java.nio.file", "java.math", "java.time", "java.text", "java.net", "javax.net", "java.sql", "javax.sql")
+
+
 def wanted(jar: str, entry: str) -> bool:
-    """Entries that are read: classes but module-info, and sources; of a JDK's src.zip only implicitly imported packages."""
+    """Entries that are read: classes but module-info, and sources; of a JDK's src.zip only the packages listed, in any module."""
     if entry.endswith("module-info.class") or entry.rpartition(".")[2] not in ("class", *LANGUAGES):
         return False
     if jar.rpartition("/")[2] == "src.zip":
-        return any(p.removesuffix(".*").replace(".", "/") + "/" in entry for ps in IMPLICIT.values() for p in ps)
+        return any(p.replace(".", "/") + "/" in entry for p in JDK_PACKAGES)
     return True
 
 

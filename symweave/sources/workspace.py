@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +17,10 @@ from .parse import facts_of
 MAX_LINES = 10_000
 
 
-def is_excluded(path: Column) -> Column:
-    """Whether a folder on the path is one that scans leave out."""
+def is_excluded(path: Column, root: str = "") -> Column:
+    """Whether a folder on the path below the root, the scan's own folder, is one that scans leave out."""
+    if root.rstrip("/"):
+        path = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 1, 1 << 30)).otherwise(path)
     return path.rlike("/(" + "|".join(x.replace(".", r"\.") for x in EXCLUDED_FOLDERS) + ")/")
 
 
@@ -35,21 +38,23 @@ def too_long(text: Column, lines: int = MAX_LINES) -> Column:
 
 
 def scan_workspace(spark: SparkSession, root: str) -> DataFrame:
-    """path, language, text of every source file under root; local paths without their scheme."""
+    """path, language, text of every source file under root; local paths without their scheme. Folders are left out by
+    their place below root, wherever that itself lies."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{java,groovy,kt}").text(root, wholetext=True)
-    return with_language(files.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), F.col("value").alias("text")))
+    found = files.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), F.col("value").alias("text"))
+    return with_language(found, re.sub("^file:/+", "/", root))
 
 
-def with_language(files: DataFrame) -> DataFrame:
-    """files(path, text): those in a language we read and outside excluded folders."""
-    return files.where(~is_excluded(F.col("path"))).withColumn("language", language_of(F.col("path"))).where("language is not null").select("path", "language", "text")
+def with_language(files: DataFrame, root: str = "") -> DataFrame:
+    """files(path, text): those in a language we read and outside folders excluded below root."""
+    return files.where(~is_excluded(F.col("path"), root)).withColumn("language", language_of(F.col("path"))).where("language is not null").select("path", "language", "text")
 
 
-def with_buffers(files: DataFrame, buffers: DataFrame) -> DataFrame:
+def with_buffers(files: DataFrame, buffers: DataFrame, root: str = "") -> DataFrame:
     """Open buffers(path, text) win over what is on disk; buffers without a file count as well."""
     b = buffers.select(F.col("path").alias("b_path"), F.col("text").alias("b_text"))
     both = files.select("path", "text").join(b, F.col("path") == F.col("b_path"), "full_outer")
-    return with_language(both.select(F.coalesce("path", "b_path").alias("path"), F.coalesce("b_text", "text").alias("text")))
+    return with_language(both.select(F.coalesce("path", "b_path").alias("path"), F.coalesce("b_text", "text").alias("text")), root)
 
 
 def parse(files: DataFrame) -> DataFrame:

@@ -109,6 +109,14 @@ class Universe:
     def reach(self) -> DataFrame:
         return hierarchy.with_self(self.closure, self.types)
 
+    @property
+    def library_reach(self) -> DataFrame:
+        """reach, where types of a number that leaves three by seven extend a library class besides."""
+        lib = self.external_types.where("not needs_decompilation").select(F.col("s"), F.col("fqn").alias("lib_fqn"))
+        below = self.types.where("k % 7 = 3").join(lib, F.floor(F.col("k") / 7) == F.col("s")).select(F.col("fqn").alias("ancestor"), "lib_fqn")
+        over = self.reach.join(below, "ancestor").select("child", F.col("lib_fqn").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.lit(1))).alias("path"))
+        return self.reach.unionByName(over)
+
     @cached_property
     def external_types(self) -> DataFrame:
         s = F.col("s_suppkey")

@@ -70,3 +70,28 @@ def test_required_methods_of_interfaces_and_abstract_classes(spark):
     schema = "fqn string, short_name string, parent_name string, kind string, modifiers array<string>, param_types array<string>"
     rows = [("p.I#a", "a", "p.I", "Function", [], []), ("p.I#b", "b", "p.I", "Function", ["default"], []), ("p.I#c", "c", "p.I", "Function", ["static"], []), ("p.C#d", "d", "p.C", "Function", ["abstract"], []), ("p.C#e", "e", "p.C", "Function", [], []), ("p.I#F", "F", "p.I", "Field", [], None)]
     assert {r.short_name for r in hierarchy.required_methods(types, spark.createDataFrame(rows, schema)).collect()} == {"a", "d"}
+
+
+MEMBERS = "fqn string, short_name string, parent_name string, kind string, modifiers array<string>, param_types array<string>, return_type string"
+
+
+def test_members_of_libraries_and_fields_are_inherited(spark):
+    from symweave.operators import diagnostics, lookups
+
+    own = spark.createDataFrame([("p.B#own", "own", "p.B", "Function", [], [], "int"), ("p.P#f", "f", "p.P", "Field", [], None, "int"), ("p.B#size", "size", "p.B", "Function", [], [], "String")], MEMBERS)
+    lib = spark.createDataFrame([("e.Base#run", "run", "e.Base", "a.jar", True, "Function", "void"), ("e.Base#run", "run", "e.Base", "a-sources.jar", False, "Function", "void"), ("e.Base#size", "size", "e.Base", "a.jar", False, "Function", "int"), ("e.Base", "Base", "e", "a.jar", False, "Class", None)], "fqn string, short_name string, parent_name string, jar_path string, needs_decompilation boolean, kind string, return_type string")
+    both = lookups.with_external(own, lib)
+    assert sorted(r.fqn for r in both.collect()) == ["e.Base#run", "e.Base#size", "p.B#own", "p.B#size", "p.P#f"]
+    closed = hierarchy.closure(spark.createDataFrame([("p.B", "p.P", 0), ("p.B", "e.Base", 1)], "child string, parent string, ordinal int"))
+    types = spark.createDataFrame([("p.B",), ("p.P",)], "fqn string")
+    reach = hierarchy.with_self(closed, types)
+    assert {r.name for r in hierarchy.reachable_names(reach, both).where("type_fqn = 'p.B'").collect()} == {"own", "size", "f", "run"}
+    sites = spark.createDataFrame([(i, "java", "p.B", m) for i, m in enumerate(("own", "f", "run", "absent", "toString"))], "i int, language string, receiver string, method string")
+    assert [r.method for r in diagnostics.method_not_found(sites, reach, both, types).collect()] == ["absent"]
+    wrong = diagnostics.override_incompatible(both, closed).collect()
+    assert [(r.type_fqn, r.name, r.own_return, r.from_fqn, r.return_type) for r in wrong] == [("p.B", "size", "String", "e.Base", "int")]
+
+
+def test_levels_keep_one_table(spark):
+    chain = [(f"n{i}", f"n{i + 1}", 0) for i in range(9)]
+    assert closed(spark, chain, 0) == closed(spark, chain, 100)

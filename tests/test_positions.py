@@ -75,3 +75,46 @@ def test_versions_swap_whole(spark, tmp_path):
     assert table.version == 1 and {r.fqn for r in table.read().collect()} == {"a", "b"} and table.stamps == {"revision": "r2"}
     with pytest.raises(ValueError):
         table.publish(table.read(), version=1)
+
+
+def test_edits_come_in_order_of_place(spark):
+    from symweave.operators import requests
+
+    rows = [("/b", 2, 1, "x"), ("/a", 10, 3, "x"), ("/a", 2, 9, "x"), ("/a", 2, 9, "x"), ("/a", 2, 1, "y")]
+    df = spark.createDataFrame(rows, "file_path string, line int, col int, new_text string")
+    assert [tuple(r) for r in requests.edits(df, df).collect()] == [("/a", 2, 1, "y"), ("/a", 2, 9, "x"), ("/a", 10, 3, "x"), ("/b", 2, 1, "x")]
+
+
+def test_folders_are_left_out_below_the_root_only(spark, tmp_path):
+    from symweave.engine import Engine
+    from symweave.sources import workspace
+
+    root = tmp_path / "build" / "proj"
+    for name in ("src/A.java", "build/B.java", "x/out/C.kt", "output/D.groovy"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("class A { }")
+    got = {r.path.removeprefix(f"{root}/") for r in workspace.scan_workspace(spark, str(root)).collect()}
+    assert got == {"src/A.java", "output/D.groovy"}
+    buffers = spark.createDataFrame([(f"{root}/src/A.java", "class B { }"), (f"{root}/target/E.java", "class E { }")], "path string, text string")
+    engine = Engine.of_workspace(spark, str(root), buffers=buffers)
+    assert {r.text for r in engine.files.collect()} == {"class B { }", "class A { }"}
+
+
+def test_packages_of_the_jdk_that_are_read():
+    from symweave.sources.archive import wanted
+
+    jar = "/opt/jdk/lib/src.zip"
+    assert all(wanted(jar, f"java.base/{p}/X.java") for p in ("java/lang", "java/nio/file", "java/time", "java/text")) and wanted(jar, "java.sql/java/sql/Date.java")
+    assert not wanted(jar, "java.desktop/javax/swing/JFrame.java") and wanted("/lib/a.jar", "javax/swing/JFrame.class")
+
+
+def test_prefixes_as_data_equal_single_searches(spark):
+    from symweave.operators import lookups
+
+    names = [f"com.{p}.{s}{i}" for p in ("red", "r", "blue") for s in ("Red", "Re", "Blue", "r") for i in range(60)]
+    symbols = spark.createDataFrame([(n, n.rpartition(".")[2], n.rpartition(".")[0], "Class") for n in names] + [("com.red.Red1#m", "m", "com.red", "Function")], "fqn string, short_name string, package_name string, kind string")
+    prefixes = ["com", "com.r", "reD", "b", "zzz", "com.red.Red59", ""]
+    many = lookups.prefix_search_many(symbols, spark.createDataFrame([(p,) for p in prefixes], "prefix string")).collect()
+    for p in prefixes:
+        assert {(r.fqn, r.probe) for r in many if r.prefix == p} == {(r.fqn, r.probe) for r in lookups.prefix_search(symbols, p).collect()}, p
+    assert lookups.prefix_search_many(symbols, spark.createDataFrame([], "prefix string")).count() == 0
