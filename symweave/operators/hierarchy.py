@@ -104,11 +104,10 @@ def component(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
         seen = both.join(labels, both["b"] == labels["node"]).select(both["a"].alias("node"), "root").unionByName(labels.select("node", "root"))
-        low = stored(seen.groupBy("node").agg(F.min("root").alias("root")), "low")
+        low = seen.groupBy("node").agg(F.min("root").alias("root"))  # its exchange serves both sides of the join below
         up = low.select(F.col("node").alias("via"), F.col("root").alias("top"))
         old = labels.select("node", F.col("root").alias("old"))
         new = stored(low.join(up, low["root"] == up["via"]).select("node", F.least("root", "top").alias("root")).join(old, "node"), "labels")
-        discard(low)
         discard(labels)
         labels = new
         if new.where("root <> old").isEmpty():

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import shared_path
+from ..durable import shared_path, stored
 from ..functions import types as typefn
 from ..sources import dependencies, workspace
 from ..sources.store import VersionedTable
@@ -53,16 +53,22 @@ def source_corpus(u: Universe) -> DataFrame:
     return t.select(F.col("file_path").alias("path"), "language", content.alias("text"))
 
 
+def _parsed(u: Universe) -> DataFrame:
+    """Small texts take long to parse, so they are dealt out by number and not by size."""
+    many = 4 * u.spark.sparkContext.defaultParallelism
+    return u.kept("parsed", lambda: stored(workspace.parse(source_corpus(u).repartition(many, "path")).select("symbols", "supers"), "parsed"))
+
+
 @query
 def parse_corpus_symbols(u: Universe) -> DataFrame:
     """Every source file of the corpus parsed, and its symbols as a relation."""
-    rows = workspace.symbols(workspace.parse(source_corpus(u)))
+    rows = workspace.symbols(_parsed(u))
     return rows.select("fully_qualified_name", "symbol_type", "parent_name", "file_path", joined("modifiers").alias("mods"), F.array_join(F.transform("metadata.parameters", lambda p: p["type_name"]), ",").alias("params"), F.col("metadata.return_type").alias("return_type"))
 
 
 @query
 def parse_corpus_supers(u: Universe) -> DataFrame:
-    return workspace.supers(workspace.parse(source_corpus(u)))
+    return workspace.supers(_parsed(u))
 
 
 @query

@@ -160,7 +160,7 @@ def distinct_source_files(u: Universe) -> DataFrame:
 
 @query
 def supertype_closure(u: Universe) -> DataFrame:
-    return u.closure.select("child", "ancestor", F.col("depth").cast("int").alias("depth"))
+    return u.close().select("child", "ancestor", F.col("depth").cast("int").alias("depth"))
 
 
 @query
@@ -185,7 +185,7 @@ def required_methods(u: Universe) -> DataFrame:
 
 
 def _components(u: Universe) -> DataFrame:
-    return hierarchy.component(u.supers.select(F.col("symbol_fqn").alias("child"), F.col("super_fqn").alias("parent")))
+    return u.kept("components", lambda: hierarchy.component(u.supers.select(F.col("symbol_fqn").alias("child"), F.col("super_fqn").alias("parent"))))
 
 
 @query

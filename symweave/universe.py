@@ -5,12 +5,14 @@ Column rules are integer arithmetic on the tables' keys; plans/oracle.py states
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .durable import stored
 from .operators import hierarchy
 
 # Parameter types, argument kinds, numeric types and languages that the rules choose from by remainder.
@@ -20,7 +22,8 @@ NUMERIC = ("byte", "short", "int", "long", "float", "double")
 LANGUAGE = ("java", "groovy", "kotlin")
 EXTENSION = ("java", "groovy", "kt")
 
-_closures: dict[tuple[str, str], DataFrame] = {}
+#: Relations that several queries read, by session, folder, state of the folder's tables, and name.
+_kept: dict[tuple[str, str, tuple[int, ...], str], DataFrame] = {}
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
@@ -38,6 +41,20 @@ class Universe:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _state(self) -> tuple[int, ...]:
+        """When the tables that the index is projected from were last written."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{t}.parquet") for t in ("part", "supplier", "lineitem")]
+        return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What make() gives (a stored table), made once a session and state of the tables."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._state, name)
+        if key not in _kept:
+            _kept[key] = make()
+        return _kept[key]
+
     @cached_property
     def types(self) -> DataFrame:
         """k, package_name, short_name, fqn, kind, modifiers, language, file_path of each type."""
@@ -61,6 +78,9 @@ class Universe:
     @cached_property
     def members(self) -> DataFrame:
         """Functions and fields of the types, with overloads: fqn, short_name, parent_name, kind, modifiers, param_types, return_type, position."""
+        return self.kept("members", lambda: stored(self._members(), "members"))
+
+    def _members(self) -> DataFrame:
         o, n, k = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
         owner = self.types.select(F.col("k").alias("o_k"), F.col("fqn").alias("parent_name"), "package_name", "file_path", "language")
         result = self.types.select(F.col("k").alias("r_k"), F.col("short_name").alias("r_short"))
@@ -99,11 +119,11 @@ class Universe:
 
     @property
     def closure(self) -> DataFrame:
-        """child, ancestor, depth, path without the types themselves; stored once a session and scale."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _closures:
-            _closures[key] = hierarchy.closure(self.supers.select(F.col("symbol_fqn").alias("child"), F.col("super_fqn").alias("parent"), F.lit(0).alias("ordinal")))
-        return _closures[key]
+        """child, ancestor, depth, path without the types themselves."""
+        return self.kept("closure", self.close)
+
+    def close(self) -> DataFrame:
+        return hierarchy.closure(self.supers.select(F.col("symbol_fqn").alias("child"), F.col("super_fqn").alias("parent"), F.lit(0).alias("ordinal")))
 
     @property
     def reach(self) -> DataFrame:
