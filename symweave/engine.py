@@ -41,7 +41,7 @@ class Engine:
         s = entries.select(F.explode("symbols").alias("s")).select("s.*")
         return s.select(
             F.col("fully_qualified_name").alias("fqn"), "short_name", "package_name", "parent_name", "jar_path", "needs_decompilation", F.col("symbol_type").alias("kind"), "modifiers",
-            F.transform("metadata.parameters", lambda p: p["type_name"]).alias("param_types"), F.col("metadata.return_type").alias("return_type"),
+            F.transform("metadata.parameters", lambda p: p["type_name"]).alias("param_types"), F.col("metadata.return_type").alias("return_type"), F.size("metadata.type_params").alias("n_type_params"),
         )
 
     # -- the index --
@@ -123,8 +123,14 @@ class Engine:
 
     def references(self, cursors: DataFrame) -> DataFrame:
         """target, file_path, line, col: mentions that resolve to what stands at the cursors, and its declarations."""
-        asked = self.definition(cursors).select("name", "target", "origin").union(self._declared_at(cursors)).distinct()
-        asked = stored(asked, "asked")
+        return self._uses(cursors, self._asked(cursors))
+
+    def _asked(self, cursors: DataFrame) -> DataFrame:
+        """name, target, origin of what stands at the cursors."""
+        return stored(self.definition(cursors).select("name", "target", "origin").union(self._declared_at(cursors)).distinct(), "asked")
+
+    def _uses(self, cursors: DataFrame, asked: DataFrame) -> DataFrame:
+        """Mentions and declarations of asked(name, target, origin); local ones are those of the cursors."""
         local = positions.local_references(cursors, self.parsed).join(asked.where("origin = 'local'").select("name", "target"), "name").select("target", "file_path", "line", "col")
         rest = asked.where("origin <> 'local'")
         found = self.definition(self.mentions(rest).select("file_path", "line", "col")).select("target", "file_path", "line", "col")
@@ -136,12 +142,34 @@ class Engine:
         s = workspace.symbols(self.parsed).select("file_path", F.col("fully_qualified_name").alias("fqn"), "short_name", F.col("ident_line_start").alias("ident_line"), F.col("ident_char_start").alias("ident_start"), F.col("ident_char_end").alias("ident_end"))
         return requests.declarations_at(cursors, s).select(F.col("short_name").alias("name"), F.col("fqn").alias("target"), F.lit("project").alias("origin"))
 
+    @cached_property
+    def components(self) -> DataFrame:
+        """fqn, component: project types linked upwards or downwards."""
+        own = self.types.select(F.col("fqn").alias("super_fqn")).distinct()
+        return hierarchy.component(self.edges.join(own, "super_fqn", "left_semi").select(F.col("symbol_fqn").alias("child"), F.col("super_fqn").alias("parent")))
+
+    def _renamed(self, asked: DataFrame, new_name: str) -> DataFrame:
+        """name, target, origin, new_text: what goes with the symbols asked for. A function takes those of its name and
+        signature in its hierarchy along, a field its accessors; constructors are mentions of their type."""
+        own = self.members.join(asked.select(F.col("target").alias("fqn")).distinct(), "fqn", "left_semi")
+        group = requests.hierarchy_functions(own.where("kind = 'Function'").select("parent_name", "short_name", "param_types"), self.components, self.members)
+        cap, new = strings.capitalise(F.col("short_name")), strings.capitalise(F.lit(new_name))
+        pairs = F.explode(F.array(*(F.struct(F.concat(F.lit(p), cap).alias("name"), F.concat(F.lit(p), new).alias("new_text")) for p in ("get", "set", "is")))).alias("a")
+        wanted = own.where("kind = 'Field'").select("parent_name", pairs).select("parent_name", F.col("a.name").alias("short_name"), F.col("a.new_text").alias("new_text")).distinct()
+        accessors = self.members.where("kind = 'Function'").join(wanted, ["parent_name", "short_name"])
+        cols = [F.col("short_name").alias("name"), F.col("fqn").alias("target"), F.lit("project").alias("origin")]
+        same = asked.select("name", "target", "origin").unionByName(group.select(*cols)).withColumn("new_text", F.lit(new_name))
+        # an accessor that is asked for itself takes the name it is given
+        return stored(same.unionByName(accessors.select(*cols, "new_text").join(asked.select("target"), "target", "left_anti")).distinct(), "renamed")
+
     def rename(self, cursors: DataFrame, new_name: str) -> DataFrame:
         """file_path, line, col, new_text. A name that some file's language does not allow gives no edits; libraries are left alone."""
-        found = stored(self.references(cursors), "references").join(self.external.select(F.col("fqn").alias("target")).distinct(), "target", "left_anti")
+        renamed = self._renamed(self._asked(cursors), new_name)
+        uses = stored(self._uses(cursors, renamed.select("name", "target", "origin")), "references").join(self.external.select(F.col("fqn").alias("target")).distinct(), "target", "left_anti")
+        found = uses.join(renamed.select("target", "new_text").distinct(), "target")
         language = workspace.language_of(F.col("file_path"))
         allowed = found.select(F.min(strings.is_valid_identifier(F.lit(new_name), language)).alias("ok"))
-        return requests.edits(found.withColumn("new_text", F.lit(new_name))).join(F.broadcast(allowed.where("ok")), how="left_semi")
+        return requests.edits(found.join(F.broadcast(allowed.where("ok")), how="left_semi"))
 
     def complete(self, prefixes: DataFrame) -> DataFrame:
         """prefixes(prefix, package_name) -> types to offer, ranked."""
@@ -163,6 +191,21 @@ class Engine:
         named = resolve.resolve_fqn(variables.select("file_path", "package_name", "name"), self.imports, self.symbols, self.external, strict=True).select("file_path", "name", F.col("fqn").alias("receiver"))
         return variables.join(named, ["file_path", "name"]).select("file_path", "language", F.col("n_line").alias("line"), F.col("n_col").alias("col"), "receiver", "method", "arg_kinds")
 
+    def _counted_arguments(self) -> tuple[DataFrame, DataFrame]:
+        """usages(file_path, line, col, type_fqn, n_args), declared(type_fqn, n_type_params): of libraries, as sources do
+        not state it in the index, and only where no project type has the name."""
+        g = workspace.facts(self.parsed, "generic_usages").select(F.col("path").alias("file_path"), F.col("package").alias("package_name"), F.col("type_name").alias("name"), "n_args", "line", "col")
+        named = resolve.resolve_fqn(g.select("file_path", "package_name", "name").distinct(), self.imports, self.symbols, self.external, strict=True).select("file_path", "name", F.col("fqn").alias("type_fqn"))
+        if "n_type_params" not in self.external.columns:
+            return g.join(named, ["file_path", "name"]), self.spark.createDataFrame([], "type_fqn string, n_type_params int")
+        known = self.external.where("n_type_params > 0").groupBy(F.col("fqn").alias("type_fqn")).agg(F.max("n_type_params").alias("n_type_params"))
+        return g.join(named, ["file_path", "name"]), known.join(self.types.select(F.col("fqn").alias("type_fqn")), "type_fqn", "left_anti")
+
+    def _narrowed(self) -> DataFrame:
+        """Numeric variables that are given another variable: file_path, language, line, col, declared_type, rhs_type."""
+        n = workspace.facts(self.parsed, "narrowing").select(F.col("path").alias("file_path"), "language", F.col("rhs_name").alias("name"), F.lit(False).alias("is_qualified"), F.col("line").alias("n_line"), F.col("col").alias("n_col"), "declared_type")
+        return positions.local_declarations(n, self.parsed).select("file_path", "language", F.col("n_line").alias("line"), F.col("n_col").alias("col"), "declared_type", F.col("type_name").alias("rhs_type"))
+
     def diagnostics(self) -> DataFrame:
         """file_path, line, col, code, severity, subject: the rules of the parser and those that need the index."""
         sites = stored(self._typed_sites(), "sites")
@@ -189,5 +232,7 @@ class Engine:
             row(dia.inaccessible_member(sites, self.all_members), "inaccessible_member", "method"),
             row(dia.static_via_instance(sites, self.all_members), "static_member_via_instance", "method", "warning"),
             row(dia.wrong_argument_types(sites, self.members, keys), "wrong_argument_types", "method"),
+            row(dia.wrong_type_argument_count(*self._counted_arguments()), "wrong_type_argument_count", "type_fqn"),
+            row(dia.narrowing_conversion(self._narrowed()), "narrowing_conversion", F.concat_ws(" ", "rhs_type", F.lit("to"), "declared_type")),
             row(dia.override_incompatible(self.all_members, self.closure).join(place.withColumnRenamed("symbol_fqn", "type_fqn"), "type_fqn"), "override_incompatible_signature", "name"),
         )

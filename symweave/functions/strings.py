@@ -44,11 +44,17 @@ def strip_comment(doc: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"^\n+", ""), r"\n+$", "")
 
 
-def normalise_qualifier(col: Column, depth: int = 4) -> Column:
-    """Delete balanced parentheses (to a depth), drop 'new ', write # for dots."""
-    for _ in range(depth):
-        col = F.regexp_replace(col, r"\([^()]*\)", "")
-    return F.replace(F.regexp_replace(col, r"^new\s+", ""), F.lit("."), F.lit("#"))
+def normalise_qualifier(col: Column) -> Column:
+    """Delete balanced parentheses at any depth, drop 'new ', write # for dots. A parenthesis without a partner stays."""
+    # a stack of texts: ( opens one, ) drops the one that its partner opened
+    rest = lambda stack: F.slice(stack, F.lit(1), F.size(stack) - 1)
+    step = lambda stack, c: (
+        F.when(c == "(", F.concat(stack, F.array(F.lit(""))))
+        .when((c == ")") & (F.size(stack) > 1), rest(stack))
+        .otherwise(F.concat(rest(stack), F.array(F.concat(F.element_at(stack, -1), c))))
+    )
+    kept = F.aggregate(F.split(col, ""), F.expr("cast(array('') as array<string>)"), step, lambda stack: F.array_join(stack, "("))
+    return F.replace(F.regexp_replace(kept, r"^new\s+", ""), F.lit("."), F.lit("#"))
 
 
 def import_edit(content: Column, fqn: Column, package: Column, parent_is_type: Column, language: Column) -> Column:

@@ -238,3 +238,44 @@ ORACLES |= {
         "stream_debounce_upsert": "SELECT uri, max(version) AS version, arg_max(kind, version) AS kind FROM changes WHERE kind IN ('open', 'change') GROUP BY uri",
     }.items()
 }
+
+ORACLES |= {
+    name: with_ctes(body)
+    for name, body in {
+        "valid_identifier": "SELECT fqn, CASE k % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 5 THEN language <> 'kotlin' WHEN 6 THEN language <> 'groovy' ELSE false END AS ok FROM types",
+        "cursor_words": """SELECT fqn, CASE WHEN k % 5 = 4 THEN '' ELSE short_name END AS receiver, left(word, length(word) - k % 3) AS prefix
+          FROM types, LATERAL (SELECT CASE WHEN k % 5 = 4 THEN 'x' || short_name ELSE 'call' || k END AS word)""",
+        "strip_comment_markers": "SELECT fqn, CASE k % 3 WHEN 0 THEN 'About ' || short_name || '.' || chr(10) || chr(10) || 'More ' || k || '.' WHEN 1 THEN short_name ELSE short_name || chr(10) || k END AS doc FROM types",
+        "occurrences_with_dollar": "SELECT k AS id, 1 AS line, 1 AS n FROM types UNION ALL SELECT k, 2, 2 FROM types UNION ALL SELECT k, 3, CAST(k % 4 AS INT) FROM types WHERE k % 4 > 0",
+        "byte_offset_of_position": "SELECT fqn, 3 + length(short_name) + 5 + CASE WHEN k % 7 = 0 THEN length(fqn) ELSE k % 5 END AS offset FROM types",
+        "qualifier_normalised": "SELECT fqn, short_name || '#next#last' || CASE WHEN k % 5 = 0 THEN '(open' ELSE '' END AS qualifier FROM types",
+        "hits_outside_spans": """SELECT r.file_path, r.line, r.col, r.name FROM type_refs r JOIN types t ON t.file_path = r.file_path
+          WHERE NOT (r.line * 1000 + r.col BETWEEN (t.k % 100) * 10000 + 8 AND ((t.k % 100) * 10 + 99) * 1000 + 20)""",
+        "workspace_files_with_buffers": """SELECT '/build/ws/m' || (k % 3) || '/' || CASE k % 5 WHEN 0 THEN 'src' ELSE 'outer' END || '/' || short_name || '.' || ['java', 'groovy', 'kt'][CAST(k % 4 + 1 AS INT)] AS path,
+            ['java', 'groovy', 'kotlin'][CAST(k % 4 + 1 AS INT)] AS language, CASE WHEN k % 7 = 0 OR k % 3 = 0 THEN 'open' ELSE 'disk' END AS text FROM types WHERE k % 4 <> 3 AND k % 5 IN (0, 3)""",
+        "jar_choice": """SELECT coalesce(b.p, s.p) AS jar_path, CASE WHEN b.p IS NOT NULL THEN s.p END AS alt_jar_path FROM (SELECT s_suppkey AS k, '/repo/lib-' || s_suppkey || '.jar' AS p FROM supplier WHERE s_suppkey % 2 = 0) b
+          FULL JOIN (SELECT s_suppkey AS k, '/repo/lib-' || s_suppkey || '-sources.jar' AS p FROM supplier WHERE s_suppkey % 3 = 0) s ON b.k = s.k""",
+        "classpath_of_files": "SELECT file_path, CASE WHEN k % 7 < 5 THEN '/repo/a' || (k % 7) || '.jar,/repo/b.jar' ELSE '' END AS jars FROM types",
+        "build_file_predicate": "SELECT fqn, k % 7 < 4 AS ok FROM types",
+        "changed_files_between_revisions": "SELECT '/ws/src/' || short_name || '.' || ['java', 'groovy', 'kt'][CAST(k % 4 + 1 AS INT)] AS path FROM types WHERE k % 10 BETWEEN 3 AND 6 AND k % 4 <> 3",
+        "source_positions_of_classes": """SELECT fqn, jar_path, 'lib-sources.jar' AS alt_jar_path, place AS ident_line_start, place AS ident_line_end, CASE WHEN found THEN 13 ELSE 0 END AS ident_char_start,
+            CASE WHEN found THEN CAST(length(short_name) AS INT) + 13 ELSE 0 END AS ident_char_end FROM ext_types, LATERAL (SELECT s % 3 <> 0 AS found, CASE WHEN s % 3 <> 0 THEN CAST(s AS INT) ELSE 0 END AS place) WHERE needs_decompilation""",
+        "jar_scan_symbols": """SELECT '/repo/lib-' || s || '.jar' AS jar_path, CASE WHEN bytes AND s % 2 = 0 THEN '/repo/lib-' || s || '-sources.jar' END AS alt_jar_path, v.fqn, v.parent_name, v.kind, v.mods, bytes AS needs_decompilation, v.params, v.return_type, v.formals, v.generic_return
+          FROM (SELECT s, fqn AS lib, package_name AS pkg, package_name || '.Src' || s AS src FROM libs), LATERAL (VALUES
+            (true, lib, pkg, CASE WHEN s % 3 = 2 THEN 'Interface' ELSE 'Class' END, CASE s % 3 WHEN 0 THEN 'public,final' WHEN 1 THEN 'public,abstract' ELSE 'public' END, NULL, NULL, NULL, NULL),
+            (true, lib || '#NAME', lib, 'Field', 'public,static', NULL, 'java.lang.String', NULL, NULL),
+            (true, lib || '#m' || (s % 5), lib, 'Function', 'public', 'java.lang.String,long[]', 'int', NULL, NULL),
+            (true, lib || '#same', lib, 'Function', 'protected,abstract', 'java.lang.Object', 'java.lang.Object', 'T', 'T'),
+            (false, src, pkg, 'Class', '', NULL, NULL, NULL, NULL),
+            (false, src || '#label', src, 'Function', '', 'int', 'String', NULL, NULL)) v(bytes, fqn, parent_name, kind, mods, params, return_type, formals, generic_return)
+          WHERE NOT bytes OR s % 4 <> 3""",
+        "jar_scan_edges": "SELECT '/repo/lib-' || s || '.jar' AS jar_path, fqn AS symbol_fqn, 'Face' || (s % 3) AS super_short_name, 'ext.Face' || (s % 3) AS super_fqn FROM libs WHERE s % 4 <> 3",
+        "jar_scan_errors": "SELECT '/repo/lib-' || s || '.jar' AS jar_path, 'Broken.class' AS entry, 'ValueError: not a class file' AS error, 0 AS n FROM libs WHERE s % 6 = 0",
+        "parse_documented_symbols": """SELECT '/ws/small/' || short_name || '.java' AS file_path, fqn || v.tail AS fqn, CASE v.doc WHEN 'type' THEN 'About ' || short_name || '.' ELSE v.doc END AS doc, v.annotations, v.line AS ident_line_start, v.col AS ident_char_start,
+            CAST(v.col + CASE v.tail WHEN '' THEN length(short_name) ELSE length(v.tail) - 1 END AS INT) AS ident_char_end
+          FROM types, (VALUES ('', 'type', 'Deprecated', 4, 6), ('#size', 'Counts.', 'Override', 7, 15), ('#size', NULL, '', 8, 8), ('#run', NULL, '', 9, 8)) v(tail, doc, annotations, line, col)""",
+        "symbol_at_position": """SELECT p AS file_path, v.line, v.col, CASE v.name WHEN '' THEN short_name ELSE v.name END AS name, v.origin, CASE v.origin WHEN 'local' THEN p || v.tail ELSE fqn || v.tail END AS target
+          FROM (SELECT *, '/ws/small/' || short_name || '.java' AS p FROM types), LATERAL (VALUES
+            (12, 15, 'other', 'local', ':9:8'), (12, 21, 'size', 'project', '#size'), (12, 26, 'n', 'local', ':10:12'), (11, 8, '', 'project', '')) v(line, col, name, origin, tail)""",
+    }.items()
+}

@@ -611,8 +611,8 @@ class Parser:
         inner = {**info, "owner": fqn or info["owner"], "owned": False, "owner_name": None, "signatures": None, "params": listed, "result": result}
         scope = (self.t[body_at], self.t[last_at]) if body_at is not None else None
         for p in listed:
-            if scope:
-                self.out["scope_decls"].append({"name": p["name"].split()[-1] if p["name"] else "", "type_name": p["type_name"], "line": name.line, "col": name.col, "scope_line_start": scope[0].line, "scope_char_start": scope[0].col, "scope_line_end": scope[1].end_line, "scope_char_end": scope[1].end_col})
+            if scope:  # from the function's name on: the list itself mentions the parameter, and later defaults may
+                self.out["scope_decls"].append({"name": p["name"].split()[-1] if p["name"] else "", "type_name": p["type_name"], "line": name.line, "col": name.col, "scope_line_start": name.line, "scope_char_start": name.col, "scope_line_end": scope[1].end_line, "scope_char_end": scope[1].end_col})
         if body_at is not None:
             self.body(body_at + 1, last_at, result, inner)
             if not constructor:
@@ -800,8 +800,6 @@ class Parser:
                 self.local(self.t[e], kind, scope_end)
                 return e + 1
         j = self.skip_type_args(i + 1)
-        if j > i + 1 and self.t[i].text[:1].isupper():
-            self.out["generic_usages"].append({"type_name": t.text, "n_args": len(split_top(self.t[i + 2 : j - 1])), "line": t.line, "col": t.col})
         receiver = None
         if before in (".", "?.", "!!"):
             receiver = self.receiver_before(i - 1)
@@ -858,12 +856,17 @@ class Parser:
         self.out["scope_decls"].append({"name": name.text, "type_name": kind, "line": name.line, "col": name.col, "scope_line_start": name.line, "scope_char_start": name.col, "scope_line_end": scope_end.end_line, "scope_char_end": scope_end.end_col})
 
     def find_type_refs(self) -> None:
-        """Capitalised names that stand where a type can: not after a dot, not declared here, not in an import."""
+        """Capitalised names that stand where a type can: not after a dot, not declared here, not in an import. And, wherever
+        they stand, names with type arguments."""
         last = max((x["line"] for x in self.out["imports"]), default=-1)
         declared = {x["name"] for x in self.out["declared_types"]}
         for i, t in enumerate(self.t):
             if t.kind == "id" and t.text[:1].isupper() and t.line > last and not (i and self.t[i - 1].text in (".", "?.", "::", "@", "package", "import")) and t.text not in declared and not t.text.isupper():
                 self.out["type_refs"].append({"name": t.text, "line": t.line, "col": t.col})
+            if t.kind == "id" and t.text[:1].isupper() and self.is_(i + 1, "<") and not (i and self.t[i - 1].text in ("class", "interface", "record", "enum", "trait", "import")):
+                end = self.skip_type_args(i + 1)
+                if end > i + 3:  # <> leaves its arguments to inference
+                    self.out["generic_usages"].append({"type_name": t.text, "n_args": len(split_top(self.t[i + 2 : end - 1])), "line": t.line, "col": t.col})
 
 
 def normal_type(name: str | None) -> str:

@@ -1,6 +1,6 @@
 import pytest
 
-from symweave.engine import Engine
+from symweave.engine import EXTERNAL, Engine
 from symweave.sources import workspace
 
 FILES = {
@@ -61,6 +61,40 @@ def test_diagnostics(engine):
     } == got
 
 
+MORE = {
+    "/Top.java": "package p.q;\ninterface Top {\n  int go(int a);\n}\n",
+    "/Mid.java": "package p.q;\nclass Mid implements Top {\n  private int size;\n  Mid(int size) { this.size = size; }\n  int getSize() { return size; }\n  public int go(int a) { return a; }\n  public int go() { return 1; }\n}\n",
+    "/Far.java": "package p.q;\nclass Far {\n  int go(int a) { return a; }\n}\n",
+    "/Use.java": "package p.q; import lib.Pair;\nclass Use {\n  void run(Top top, long wide) {\n    Mid mid = new Mid(3);\n    top.go(1);\n    mid.getSize();\n    int slim = wide;\n    long same = wide;\n    Pair<Mid> odd = null;\n    Pair<Mid, Top> even = new Pair<>();\n  }\n}\n",
+}
+
+
+@pytest.fixture(scope="module")
+def more(spark):
+    """Sources do not say how many parameters a type has; class files do."""
+    library = spark.createDataFrame([("lib.Pair", "Pair", "lib", "lib", "/lib.jar", True, "Class", 2)], EXTERNAL + ", n_type_params int")
+    return Engine(spark, workspace.with_language(spark.createDataFrame(list(MORE.items()), "path string, text string")), library)
+
+
+def edits_of(spark, engine, path, line, col, name):
+    return {(e.file_path, e.line, e.new_text) for e in engine.rename(cursors(spark, (path, line, col)), name).collect()}
+
+
+def test_rename_goes_by_kind(spark, more):
+    assert edits_of(spark, more, "/Mid.java", 1, 7, "Core") == {("/Mid.java", 1, "Core"), ("/Mid.java", 3, "Core"), ("/Use.java", 3, "Core"), ("/Use.java", 8, "Core"), ("/Use.java", 9, "Core")}
+    hierarchy = edits_of(spark, more, "/Top.java", 2, 7, "walk")
+    assert {("/Top.java", 2, "walk"), ("/Mid.java", 5, "walk"), ("/Use.java", 4, "walk")} <= hierarchy and not any(p == "/Far.java" for p, _, _ in hierarchy)
+    field = edits_of(spark, more, "/Mid.java", 2, 15, "extent")
+    assert {("/Mid.java", 2, "extent"), ("/Mid.java", 4, "getExtent"), ("/Use.java", 5, "getExtent")} <= field
+    assert edits_of(spark, more, "/Use.java", 6, 16, "broad") == {("/Use.java", n, "broad") for n in (2, 6, 7)}
+    assert edits_of(spark, more, "/Top.java", 2, 7, "class") == set()
+
+
+def test_type_arguments_and_narrowing(more):
+    got = {(r.code, r.line) for r in more.diagnostics().where("file_path = '/Use.java'").collect()}
+    assert got == {("wrong_type_argument_count", 8), ("narrowing_conversion", 6)}
+
+
 def test_completion(spark, engine):
     offers = {r.fqn: r.rank for r in engine.complete(spark.createDataFrame([("la", "p.q")], "prefix string, package_name string")).collect()}
     assert offers == {"p.q.Last": 1}

@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from symweave.plans import corpus, oracle, queries
+from symweave.plans import corpus, oracle, queries, texts
 
-assert corpus
+assert corpus and texts
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
