@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -55,9 +56,13 @@ class VersionedTable:
         if version == self.version:  # the current version may be what is read: write beside it first
             raise ValueError(f"version {version} is current; publish a later one")
         rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        return self._point({"version": version, "stamps": stamps})
+
+    def _point(self, pointer: dict) -> int:
+        version = pointer["version"]
         fs, new = self._fs(), self._at(f".current-{version}.json")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"version": version, "stamps": stamps}).encode()))
+        out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
         options = self._jvm.org.apache.hadoop.fs.Options.Rename
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), self._conf)
@@ -65,3 +70,50 @@ class VersionedTable:
         array[0] = options.OVERWRITE
         context.rename(fs.makeQualified(new), fs.makeQualified(self._at("current.json")), array)
         return version
+
+
+class BucketedTable(VersionedTable):
+    """A versioned table dealt into buckets by the hash of a key. A publication writes the buckets that it touches; the
+    pointer names the version that holds each bucket, so the others stay where they are. The number of buckets is the
+    table's for good: size it so that what a batch touches is worth rewriting."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int, sort_by: list[str] | None = None) -> None:
+        super().__init__(spark, path, schema, sort_by)
+        self.key, self.buckets = key, buckets
+        known = self._pointer().get("buckets", buckets)
+        if known != buckets:
+            raise ValueError(f"the table has {known} buckets, not {buckets}")
+
+    @property
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """Buckets of the keys: at most as many numbers as the table has buckets."""
+        return sorted(r[0] for r in keys.select(self._bucket.alias("b")).distinct().collect())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The whole table, or some buckets of it."""
+        parts = self._pointer().get("parts", {})
+        paths = [f"{self.path}/v={v}/__bucket={b}" for b, v in parts.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def publish(self, table: DataFrame, version: int | None = None, **stamps: str) -> int:
+        """Write every bucket anew."""
+        return self.publish_buckets(table, list(range(self.buckets)), version, **stamps)
+
+    def publish_buckets(self, rows: DataFrame, buckets: list[int], version: int | None = None, **stamps: str) -> int:
+        """Rows are all that the buckets hold from now on; a bucket without rows is empty."""
+        pointer = self._pointer()
+        current = pointer.get("version", -1)
+        version = current + 1 if version is None else version
+        if version <= current:
+            raise ValueError(f"version {version} is not later than {current}")
+        # rebalancing puts a bucket into few files and splits one that holds much
+        dealt = rows.select(*self.schema.fieldNames(), self._bucket.alias("__bucket")).hint("rebalance", F.col("__bucket"))
+        dealt.sortWithinPartitions("__bucket", *self.sort_by).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/v={version}")
+        written = (s.getPath().getName() for s in self._fs().listStatus(self._at(f"v={version}")))
+        gone = set(buckets)
+        parts = {b: v for b, v in pointer.get("parts", {}).items() if int(b) not in gone}
+        parts |= {name.partition("=")[2]: version for name in written if name.startswith("__bucket=")}
+        return self._point({"version": version, "stamps": stamps, "buckets": self.buckets, "parts": parts})

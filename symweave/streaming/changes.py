@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.maintain import replace_by_file
 from ..sources import workspace
+from ..sources.store import BucketedTable
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -60,3 +61,15 @@ def maintain_index(changes: DataFrame, read: Callable[[], DataFrame], publish: C
         publish(apply_batch(read(), batch), batch_id)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def maintain_buckets(changes: DataFrame, table: BucketedTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep an index that is bucketed by file_path up to date: a micro-batch reads and rewrites the buckets of its files
+    alone. A batch that was published before it was committed is skipped when it comes again."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        buckets = table.touched(batch.select(F.col("uri").alias("file_path"))) if batch_id > table.version else []
+        if buckets:
+            table.publish_buckets(apply_batch(table.read(buckets), batch), buckets, batch_id)
+
+    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from symweave.schema import SYMBOLS
+from symweave.sources.store import BucketedTable
 from symweave.streaming import changes as ch
 
 SCHEMA = "uri string, kind string, version long, text string"
@@ -44,6 +46,39 @@ def test_stream_keeps_the_index(spark, tmp_path):
     assert {r.fully_qualified_name for r in read().collect()} == {"p.q.A", "p.q.A#z"}
 
 
+def test_bucketed_upkeep_rewrites_what_a_batch_touches(spark, tmp_path):
+    feed, path = tmp_path / "feed", str(tmp_path / "index")
+    files = [(f"/F{i}.java", "open", 1, code(f"F{i}")) for i in range(12)]
+    batches = [files, [("/F1.java", "change", 2, code("F1", "int z;"))], [("/F2.java", "delete", 3, None)]]
+    states = []
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(feed))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(feed))
+        table = BucketedTable(spark, path, SYMBOLS, "file_path", 4, ["fully_qualified_name"])  # as after a restart
+        ch.maintain_buckets(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
+        states.append(table._pointer()["parts"])
+    moved = [b for b, v in states[1].items() if v != states[0].get(b)]
+    assert [int(b) for b in moved] == table.touched(spark.createDataFrame([("/F1.java",)], "file_path string"))
+    expected = {r.fully_qualified_name for r in ch.apply_batch(spark.createDataFrame([], SYMBOLS), spark.createDataFrame([r for b in batches for r in b], SCHEMA)).collect()}
+    got = [r.fully_qualified_name for r in table.read().collect()]
+    assert "p.q.F1#z" in got and "p.q.F2" not in got and "p.q.F11" in got
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_bucketed_table_empties_and_refuses(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, n long")
+    table = BucketedTable(spark, str(tmp_path / "t"), rows.schema, "k", 8)
+    assert table.read().isEmpty() and table.publish(rows) == 0
+    assert sorted(r.n for r in table.read().collect()) == [1, 2, 3, 4]
+    table.publish_buckets(rows.limit(0), table.touched(spark.createDataFrame([("a",)], "k string")), note="x")
+    left = {r.n for r in table.read().collect()}
+    assert not left & {1, 2} and table.stamps == {"note": "x"} and table.version == 1
+    with pytest.raises(ValueError):
+        table.publish(rows, 1)
+    with pytest.raises(ValueError):
+        BucketedTable(spark, str(tmp_path / "t"), rows.schema, "k", 9)
+
+
 def test_bursts_close_after_the_watermark(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:20"), ("a", "2024-01-01 00:02:00"), ("b", "2024-01-01 01:00:00")]
     spark.createDataFrame(rows, "uri string, t string").select("uri", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
