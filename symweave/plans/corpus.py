@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..durable import shared_path, stored
 from ..functions import types as typefn
 from ..sources import dependencies, workspace
-from ..sources.store import VersionedTable
+from ..sources.store import BucketedTable
 from ..universe import Universe, pick, text
 from .queries import joined, query
 
@@ -148,7 +148,7 @@ def signature_parse(u: Universe) -> DataFrame:
 
 @query
 def stream_debounce_upsert(u: Universe) -> DataFrame:
-    """The newest buffer of each uri, kept by micro-batches over the event stream in a versioned table. What is current
+    """The newest buffer of each uri, kept by micro-batches over the event stream in a bucketed table. What is current
     stands in the table's own pointer, so a stream that starts again from its checkpoint goes on from there; a batch that
     was published before it was committed is skipped when it comes again."""
     spark = u.spark
@@ -157,12 +157,13 @@ def stream_debounce_upsert(u: Universe) -> DataFrame:
     base = shared_path(spark, "stream")
     kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "click", "change")
     changes = stream.select(F.col("user_id").alias("uri"), kind.alias("kind"), F.col("event_id").alias("version")).where("kind is not null")
-    table = VersionedTable(spark, f"{base}/buffers", T.StructType.fromDDL("uri long, version long, kind string"))
+    table = BucketedTable(spark, f"{base}/buffers", T.StructType.fromDDL("uri long, version long, kind string"), "uri", 16)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > table.version:
-            rows = batch.unionByName(table.read())
-            table.publish(rows.groupBy("uri").agg(F.max("version").alias("version"), F.max_by("kind", "version").alias("kind")), batch_id)
+        buckets = table.touched(batch.select("uri")) if batch_id > table.version else []
+        if buckets:
+            rows = batch.unionByName(table.read(buckets))
+            table.publish_buckets(rows.groupBy("uri").agg(F.max("version").alias("version"), F.max_by("kind", "version").alias("kind")), buckets, batch_id)
 
     run = changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
