@@ -19,7 +19,7 @@ class VersionedTable:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def _fs(self):
         return self._at("x").getFileSystem(self._conf)
@@ -58,6 +58,22 @@ class VersionedTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
         return self._point({"version": version, "stamps": stamps})
 
+    def _names(self, folder: str) -> list[str]:
+        return [x.getPath().getName() for x in self._fs().listStatus(self._at(folder))]
+
+    def _unused(self, pointer: dict, version: int) -> list[str]:
+        """Folders of an older version that the pointer does not need."""
+        return [f"v={version}"]
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete what only versions before the last keep ones needed; readers that opened those before must be done."""
+        pointer = self._pointer()
+        found = (int(x[2:]) for x in self._names("") if x.startswith("v=")) if pointer else ()
+        gone = [f for v in sorted(found) if v < pointer["version"] - keep for f in self._unused(pointer, v)]
+        for folder in gone:
+            self._fs().delete(self._at(folder), True)
+        return gone
+
     def _point(self, pointer: dict) -> int:
         version = pointer["version"]
         fs, new = self._fs(), self._at(f".current-{version}.json")
@@ -98,6 +114,10 @@ class BucketedTable(VersionedTable):
         paths = [f"{self.path}/v={v}/__bucket={b}" for b, v in parts.items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def _unused(self, pointer: dict, version: int) -> list[str]:
+        used = {f"__bucket={b}" for b, v in pointer["parts"].items() if v == version}
+        return [f"v={version}/{x}" for x in self._names(f"v={version}") if x.startswith("__bucket=") and x not in used] if used else [f"v={version}"]
+
     def publish(self, table: DataFrame, version: int | None = None, **stamps: str) -> int:
         """Write every bucket anew."""
         return self.publish_buckets(table, list(range(self.buckets)), version, **stamps)
@@ -112,7 +132,7 @@ class BucketedTable(VersionedTable):
         # rebalancing puts a bucket into few files and splits one that holds much
         dealt = rows.select(*self.schema.fieldNames(), self._bucket.alias("__bucket")).hint("rebalance", F.col("__bucket"))
         dealt.sortWithinPartitions("__bucket", *self.sort_by).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/v={version}")
-        written = (s.getPath().getName() for s in self._fs().listStatus(self._at(f"v={version}")))
+        written = self._names(f"v={version}")
         gone = set(buckets)
         parts = {b: v for b, v in pointer.get("parts", {}).items() if int(b) not in gone}
         parts |= {name.partition("=")[2]: version for name in written if name.startswith("__bucket=")}

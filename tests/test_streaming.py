@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symweave.schema import SYMBOLS
-from symweave.sources.store import BucketedTable
+from symweave.sources.store import BucketedTable, VersionedTable
 from symweave.streaming import changes as ch
 
 SCHEMA = "uri string, kind string, version long, text string"
@@ -79,6 +79,21 @@ def test_bucketed_table_empties_and_refuses(spark, tmp_path):
         BucketedTable(spark, str(tmp_path / "t"), rows.schema, "k", 9)
 
 
+def test_vacuum_keeps_what_is_needed(spark, tmp_path):
+    rows = spark.createDataFrame([(k, 1) for k in "abcdef"], "k string, n long")
+    whole = VersionedTable(spark, str(tmp_path / "w"), rows.schema)
+    parts = BucketedTable(spark, str(tmp_path / "b"), rows.schema, "k", 4)
+    one = parts.touched(spark.createDataFrame([("a",)], "k string"))
+    assert whole.vacuum() == [] and parts.vacuum() == []
+    for n in range(4):
+        whole.publish(rows)
+        parts.publish_buckets(rows if n == 0 else parts.read(one).withColumn("n", F.col("n") + 1), list(range(4)) if n == 0 else one)
+    assert whole.vacuum() == ["v=0", "v=1"] and whole.read().count() == 6
+    before = sorted(parts.read().collect())
+    assert parts.vacuum() == [f"v=0/__bucket={one[0]}", "v=1"] and sorted(parts.read().collect()) == before
+    assert whole.vacuum() == [] and parts.vacuum() == []
+
+
 def test_bursts_close_after_the_watermark(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:20"), ("a", "2024-01-01 00:02:00"), ("b", "2024-01-01 01:00:00")]
     spark.createDataFrame(rows, "uri string, t string").select("uri", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
