@@ -17,8 +17,6 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 #: Rows of 64 bits that a broadcast bitmap has at most (2^20 rows of two numbers, some 50 MB as a hash table).
 BIT_WORDS = 1 << 20
-#: The column with_row_key() adds; it must not be in docs already.
-ROW = "__row"
 #: Text bytes that a Python worker holds at once as str objects.
 SLICE_BYTES = 8 << 20
 
@@ -48,13 +46,28 @@ def may_hold(rows: DataFrame, col: str, words: DataFrame) -> DataFrame:
     return got.where(f"shiftright(bits, cast(pmod({col}, {64 * BIT_WORDS}) % 64 as int)) & 1 = 1").drop("word", "bits")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, made longer until no column of docs has it (names are compared as Spark does, whatever their case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     """docs and the name of a column that no two rows share: the id where it is one, else a number that the rows
     are given once, in a stored table (numbers given anew could differ when a lost task runs again)."""
     repeated = docs.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null")
     if repeated.isEmpty():
         return docs, id_col
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered"), ROW
+    key = unused(docs, "__row")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key (long) is in the one column of keys."""
+    gone = unused(docs, "__gone")
+    return docs.join(keys.toDF(gone), F.col(key).cast("long") == F.col(gone), "left_anti")
 
 
 def ascii_lower(col: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, bit_words, guarded, guarded_texts, may_hold, stored, text_or_empty, words_of
+from .common import BROADCAST_ROWS, bit_words, guarded, guarded_texts, may_hold, stored, text_or_empty, unused, words_of
 
 #: Alignment score over the best possible one (2 a word that agrees, -1 a changed, dropped or added one):
 #: 0.7 is reached with four words in five kept.
@@ -183,5 +183,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """docs without those that hold a test item; all columns stay. Of rows that share an id only those whose text holds
     an item go; rows without an id stay."""
-    gone = stored(_found(docs, benchmark, least).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct(), "contaminated")
-    return docs.join(guarded(gone, gone.count()), (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__th"]), "left_anti")
+    of, th = unused(docs, "__of"), unused(docs, "__th")
+    gone = stored(_found(docs, benchmark, least).select(F.col("doc_id").alias(of), F.col("th").alias(th)).distinct(), "contaminated")
+    return docs.join(guarded(gone, gone.count()), (F.col("doc_id").cast("long") == F.col(of)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(th)), "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, bit_words, may_hold, stored, text_or_empty, with_row_key
+from .common import bit_words, may_hold, stored, text_or_empty, with_row_key, without_rows
 
 #: The characters that normalisation deletes.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -82,6 +82,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told apart by more than their id: of rows that repeat the kept id and text one stays, and a text
     of its own stays whatever id it shares. Rows without an id stay.
     """
+    names = docs.columns
     docs, key = with_row_key(docs, id_col)
     rows, classes = _classes(docs, id_col, text_col, hash128, key)
     grouped = rows.join(classes.where("group_size > 1"), ["h", "sha"])
@@ -91,8 +92,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         grouped = grouped.join(stays, ["h", "sha"])
     else:
         grouped = grouped.withColumn("stays", F.col("keep_id"))
-    gone = grouped.where("doc_id is not null and key <> stays").select(F.col("key").alias("__gone"))
-    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti").drop(ROW)
+    return without_rows(docs, grouped.where("doc_id is not null and key <> stays").select("key"), key).select(*names)
 
 
 ORACLE = r"""

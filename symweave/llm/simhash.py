@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, guarded, map_texts, stored, with_row_key
+from .common import guarded, map_texts, stored, with_row_key, without_rows
 from .components import connected_components
 
 #: Fingerprints that the partition planner looks at; it steers cost only, never results.
@@ -252,8 +252,8 @@ def near_links(nodes: DataFrame, k: int = 4, block: int = BLOCK) -> DataFrame:
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, k: int, block: int, key: str) -> DataFrame:
     """(doc_id, key, fp, component_id) of every row."""
-    named = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.col(key).cast("long")})
-    rows = stored(fingerprints(named, "__id", text_col, "__key"), "fingerprints")
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(key).cast("long").alias("key"), F.col(text_col).alias("text"))
+    rows = stored(fingerprints(named, "id", "text", "key"), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(near_links(nodes.select("fp"), k, block))
     linked = stored(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root"), "linked")
@@ -281,12 +281,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of several rows of a component that share the smallest id one stays; a text of another component stays
     whatever id it shares. Rows without an id stay.
     """
+    names = docs.columns
     docs, key = with_row_key(docs, id_col)
     rows = _classed(docs, id_col, text_col, k, BLOCK, key)
     if key == id_col:
-        gone = rows.where("doc_id <> component_id").select(F.col("key").alias("__gone"))
+        gone = rows.where("doc_id <> component_id").select("key")
     else:
         rows = stored(rows, "classed")
         stays = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("key").alias("stays"))
-        gone = rows.where("doc_id is not null").join(stays, "component_id").where("key <> stays").select(F.col("key").alias("__gone"))
-    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti").drop(ROW)
+        gone = rows.where("doc_id is not null").join(stays, "component_id").where("key <> stays").select("key")
+    return without_rows(docs, gone, key).select(*names)

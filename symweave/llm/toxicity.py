@@ -143,19 +143,26 @@ class Automaton:
 
 def quotations(text: str) -> list[tuple[int, int]]:
     """(start, end) of the stretches between paired quotation marks of one line, in order. A mark without its partner
-    opens nothing; an apostrophe, straight or curly, between two letters is no mark, and straight ones never are."""
+    opens nothing; an apostrophe, straight or curly, between two letters is no mark, and straight ones never are.
+    A line feed ends all quotations. Each mark is opened and dropped once, however many of them a line has."""
     out: list[tuple[int, int]] = []
     opened: list[tuple[str, int]] = []
+    waiting: dict[str, list[int]] = {c: [] for closers in CLOSERS.values() for c in closers}  # places in opened, by what closes them
     for m in _MARK.finditer(text):
         ch = m[0]
         if ch == "\n":
             opened.clear()
-            continue
-        at = next((i for i in range(len(opened) - 1, -1, -1) if ch in CLOSERS[opened[i][0]]), None)
-        if at is not None:
+            for places in waiting.values():
+                places.clear()
+        elif waiting.get(ch):
+            at = waiting[ch][-1]
             out.append((opened[at][1], m.start()))
-            del opened[at:]
+            while len(opened) > at:
+                for c in CLOSERS[opened.pop()[0]]:
+                    waiting[c].pop()
         elif ch in CLOSERS:
+            for c in CLOSERS[ch]:
+                waiting[c].append(len(opened))
             opened.append((ch, m.end()))
     out.sort()
     return out
@@ -296,12 +303,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = int(min(1.0, sample_rows / max(1, n)) * (1 << 20))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select(F.col("doc_id").alias("__id"), (F.col("toxic") == 1).alias("toxic"))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select(F.col("doc_id").alias("labelled"), (F.col("toxic") == 1).alias("toxic"))
     # near copies of a text share the least hash of its five-word shingles with a chance of their similarity
     alike = F.expr("array_min(transform(sequence(1, greatest(1, size(w) - 4)), i -> xxhash64(slice(w, i, 5))))")
     sample = (
         docs.select("doc_id", text_or_empty("text").alias("text"))
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
         .withColumn("w", F.split(F.lower("text"), r"\s+"))
         .select("doc_id", "text", "toxic", alike.alias("alike"))
         .select("doc_id", "text", "toxic", F.pmod(F.xxhash64("alike", F.lit(7)), F.lit(2)).alias("fold"), "alike")

@@ -154,3 +154,10 @@ def test_more_seeds_than_may_be_broadcast(spark, sf, monkeypatch):
     want = read()
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
     assert read() == want and want
+
+
+def test_columns_with_internal_names_stay(spark):
+    item = "seven quick words that only this item has in such an order here today"
+    table = spark.createDataFrame([(1, item, 5, "kept"), (2, "something else", 6, "kept")], "doc_id long, text string, __th long, __of string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.drop_contaminated(table, items).collect()] == [(2, "something else", 6, "kept")]

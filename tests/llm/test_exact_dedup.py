@@ -70,3 +70,11 @@ def test_bitmap_holds_every_key(spark):
     words = bit_words(spark.createDataFrame([(k,) for k in keys], "key long"))
     rows = spark.createDataFrame([(k, "clash") for k in [*keys, 6, 8, -3]], "k long, text string")
     assert sorted(r.k for r in may_hold(rows, "k", words).collect()) == sorted(keys)
+
+
+def test_columns_with_internal_names_stay(spark):
+    for rows in ([(1, "a b"), (2, "ab"), (3, "c")], [(1, "a b"), (2, "ab"), (2, "c")]):
+        table = docs(spark, rows).selectExpr("*", "doc_id * 10 as __row", "'kept' as __gone", "text as __ROW_", "0 as stays")
+        left = exact_dedup.drop_copies(table)
+        assert left.columns == table.columns
+        assert sorted((r.doc_id, r["__row"], r["__gone"], r["__ROW_"]) for r in left.collect()) == [(i, 10 * i, "kept", t) for i, t in (rows[0], rows[2])]

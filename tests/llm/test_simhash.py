@@ -129,3 +129,11 @@ def test_two_partitions_can_be_planned():
     masks = simhash.plan(few, 10**12, 4, sizes=(2,))
     pairs = [(x, x ^ np.uint64(sum(1 << int(b) for b in np.random.default_rng(i).choice(64, 4, replace=False)))) for i, x in enumerate(few)]
     assert all(any(int(x ^ y) & m == 0 for m in masks) for x, y in pairs)
+
+
+def test_columns_with_internal_names_stay(spark):
+    for rows in ([(1, "a b c d e"), (2, "a b c d e"), (3, "other words")], [(1, "a b c d e"), (2, "a b c d e"), (2, "other words")]):
+        table = docs(spark, rows).selectExpr("*", "doc_id * 10 as __row", "'kept' as __gone", "'id' as __id", "'key' as __key")
+        left = simhash.drop_near_copies(table)
+        assert left.columns == table.columns
+        assert sorted((r.doc_id, r["__row"], r["__gone"], r["__id"], r["__key"]) for r in left.collect()) == [(i, 10 * i, "kept", "id", "key") for i, _ in (rows[0], rows[2])]

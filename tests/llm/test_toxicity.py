@@ -157,3 +157,43 @@ def test_rarer_terms_are_learned_from_larger_samples():
     counts = [("=vile", 12, 0), ("=often", 400, 40), ("=chance", 3, 0)]
     small, large = (toxicity.choose_lexicon([(f, p * k, n * k) for f, p, n in counts], 1000 * k, 9000 * k, 10**6)[0] for k in (1, 8))
     assert set(small) == {"vile", "often"} and set(large) == {"vile", "often", "chance"}
+
+
+def test_many_opened_marks_take_no_longer_a_mark():
+    import time
+
+    def took(n):
+        text = "“‘«(" * n + "word" + "”" * n
+        began = time.process_time()
+        found = toxicity.quotations(text)
+        return time.process_time() - began, found
+
+    assert took(200)[1] == brute_quotations("“‘«(" * 200 + "word" + "”" * 200)
+    took(5_000)
+    assert took(100_000)[0] < 60 * max(0.02, took(5_000)[0])
+
+
+def brute_quotations(text):
+    """Every mark looks through all that are open, newest first."""
+    out, opened = [], []
+    for m in toxicity._MARK.finditer(text):
+        if m[0] == "\n":
+            opened = []
+            continue
+        at = [i for i, (ch, _) in enumerate(opened) if m[0] in toxicity.CLOSERS[ch]]
+        if at:
+            out.append((opened[at[-1]][1], m.start()))
+            opened = opened[: at[-1]]
+        elif m[0] in toxicity.CLOSERS:
+            opened.append((m[0], m.end()))
+    return sorted(out)
+
+
+def test_quotations_equal_looking_through_all_open_marks():
+    import random
+
+    draw = random.Random(3)
+    marks = sorted(toxicity.CLOSERS) + sorted({c for closers in toxicity.CLOSERS.values() for c in closers}) + ["a", " ", "\n", "'"]
+    for _ in range(300):
+        text = "".join(draw.choice(marks) for _ in range(draw.randint(0, 60)))
+        assert toxicity.quotations(text) == brute_quotations(text)
