@@ -72,17 +72,34 @@ class Engine:
         return stored(workspace.facts(self.parsed, "imports").select(F.col("path").alias("file_path"), "ordinal", "import_text", "is_wildcard"), "imports")
 
     @cached_property
+    def _joint(self) -> tuple[DataFrame, DataFrame]:
+        """Edges and closure: parents that the context of their file settles, project ones and known libraries, and those
+        that the types around the child declare or inherit."""
+        typed = self.types.select("fqn", "short_name", "parent_name").unionByName(self.external.where(~F.col("kind").isin("Function", "Field")).select("fqn", "short_name", "parent_name"))
+        nested = typed.where(F.col("fqn") == F.concat("parent_name", F.lit("#"), "short_name")).select(F.col("parent_name").alias("owner"), F.col("short_name").alias("name"), "fqn").distinct()
+        # a.B#C#D stands in a.B#C (1) and a.B (2)
+        parts = F.split("fqn", "#")
+        around = self.types.where(F.contains("fqn", F.lit("#"))).select(F.col("fqn").alias("child"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("level"), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - n), "#").alias("scope")))).alias("s"))
+        own = self._declared_edges.select(F.col("symbol_fqn").alias("child"), F.col("super_short_name").alias("name"), F.col("super_fqn").alias("parent"), "ordinal").distinct()
+        return hierarchy.joint_closure(own, nested, around.select("child", "s.scope", "s.level").distinct())
+
+    @property
     def edges(self) -> DataFrame:
-        """symbol_fqn, super_short_name, super_fqn, ordinal: parents resolved in the context of their file, project ones and known libraries."""
+        """symbol_fqn, super_short_name, super_fqn, ordinal: a parent that nothing settles has no super_fqn."""
+        return self._joint[0].select(F.col("child").alias("symbol_fqn"), F.col("name").alias("super_short_name"), F.col("parent").alias("super_fqn"), "ordinal")
+
+    @cached_property
+    def _declared_edges(self) -> DataFrame:
+        """The same, parents resolved in the context of their file alone."""
         d = workspace.facts(self.parsed, "class_decls").select(F.col("path").alias("file_path"), F.col("package").alias("package_name"), F.col("name").alias("short_name"), F.col("line").alias("d_line"), F.posexplode("parents").alias("ordinal", "name"))
         owned = d.join(self.types.select("file_path", "short_name", "fqn", F.col("line").alias("d_line")), ["file_path", "short_name", "d_line"])
         named = resolve.resolve_fqn(owned.select("file_path", "package_name", "name"), self.imports, self.symbols, self.external, strict=True).select("file_path", "name", F.col("fqn").alias("super_fqn"))
         rows = owned.join(named, ["file_path", "name"], "left").select(F.col("fqn").alias("symbol_fqn"), F.substring_index("name", ".", -1).alias("super_short_name"), "super_fqn", "ordinal")
         return stored(rows, "edges")
 
-    @cached_property
+    @property
     def closure(self) -> DataFrame:
-        return hierarchy.closure(self.edges.select(F.col("symbol_fqn").alias("child"), F.col("super_fqn").alias("parent"), "ordinal"))
+        return self._joint[1]
 
     @property
     def reach(self) -> DataFrame:
@@ -231,7 +248,7 @@ class Engine:
             row(dia.method_not_found(sites, self.reach, self.all_members, self.types), "method_not_found", "method"),
             row(dia.inaccessible_member(sites, self.all_members), "inaccessible_member", "method"),
             row(dia.static_via_instance(sites, self.all_members), "static_member_via_instance", "method", "warning"),
-            row(dia.wrong_argument_types(sites, self.members, keys), "wrong_argument_types", "method"),
+            row(dia.wrong_argument_types(sites, self.all_members.where("param_types is not null"), keys), "wrong_argument_types", "method"),
             row(dia.wrong_type_argument_count(*self._counted_arguments()), "wrong_type_argument_count", "type_fqn"),
             row(dia.narrowing_conversion(self._narrowed()), "narrowing_conversion", F.concat_ws(" ", "rhs_type", F.lit("to"), "declared_type")),
             row(dia.override_incompatible(self.all_members, self.closure).join(place.withColumnRenamed("symbol_fqn", "type_fqn"), "type_fqn"), "override_incompatible_signature", "name"),

@@ -12,45 +12,68 @@ from .rank import first_by
 OBJECT_METHODS = ("equals", "hashCode", "toString", "getClass", "notify", "notifyAll", "wait", "clone", "finalize")
 
 
-#: Edges up to which the closure is tried as one recursive query; its own limits (levels, rows) send it to the loop.
-RECURSIVE_EDGES = 100_000
+#: Rows up to which the shorter side of a composition is broadcast.
+BROADCAST_ROWS = 200_000
 
 
-def closure(edges: DataFrame, recursive_edges: int = RECURSIVE_EDGES) -> DataFrame:
+def closure(edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """edges(child, parent, ordinal) -> child, ancestor, depth, path: the first way to each ancestor in depth-first order.
 
-    path is the list of edge ordinals; lists compare element by element, so their order is pre-order. A way that
-    returns to a visited type ends, so cycles do no harm. Small graphs go through one recursive query, others,
-    and those beyond its limits, level by level.
+    path is the list of edge ordinals; lists compare element by element, so their order is pre-order. A round puts
+    ways together with ways and keeps the first to each ancestor, so the longest way doubles and a graph of n levels takes
+    about log2 n rounds, however many ways lead through it. Types that reach a cycle (an error in the sources) are walked
+    level by level instead, as there a first way may be no way of first ways: each ancestor gets a way that visits no
+    type twice, though not always the first of all such ways.
     """
-    edges = stored(edges.where("parent is not null and child <> parent").groupBy("child", "parent").agg(F.min("ordinal").alias("ordinal")), "edges")
-    out = ["child", "ancestor", F.size("path").alias("depth"), "path"]
-    if edges.count() <= recursive_edges:
-        try:
-            return stored(_by_query(edges), "closure").select(*out)
-        except Exception as e:  # more levels or rows than the session lets a recursive query have
-            if "RECURSION" not in str(e):
-                raise
-    return _by_levels(edges).select(*out)
-
-
-def _by_query(edges: DataFrame) -> DataFrame:
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE edge AS (SELECT * FROM {edges}), way AS (
-          SELECT child, parent AS ancestor, array(ordinal) AS path, array(child, parent) AS visited FROM edge
-          UNION ALL
-          SELECT w.child, e.parent, concat(w.path, array(e.ordinal)), concat(w.visited, array(e.parent)) FROM way w JOIN edge e ON w.ancestor = e.child WHERE NOT array_contains(w.visited, e.parent))
-        SELECT child, ancestor, min(path) AS path FROM way GROUP BY child, ancestor
-        """,
-        edges=edges,
-    )
-
-
-def _by_levels(edges: DataFrame) -> DataFrame:
-    """Ways are extended from the last level's gains alone; each level is a stored table, so the plan stays one join deep."""
+    edges = stored(_edges(edges), "edges")
+    return _measured(_closed(edges, edges, None, broadcast_rows))
+
+
+def _measured(ways: DataFrame) -> DataFrame:
+    return ways.select("child", "ancestor", F.size("path").alias("depth"), "path")
+
+
+def _edges(edges: DataFrame) -> DataFrame:
+    return edges.where("parent is not null and child <> parent").groupBy("child", "parent").agg(F.min("ordinal").alias("ordinal"))
+
+
+def _closed(edges: DataFrame, own: DataFrame, beyond: DataFrame | None, broadcast_rows: int) -> DataFrame:
+    """First ways (child, ancestor, path), stored, of the children of own, given all edges that they reach; beyond has
+    the first ways of all types that they reach and that are not children of own."""
+    ways = stored(own.select("child", F.col("parent").alias("ancestor"), F.array("ordinal").alias("path"), F.lit(True).alias("fresh")), "ways")
+    turning = None  # children that reach a cycle
+    if beyond is not None:
+        back = beyond.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("child"))
+        if not beyond.join(back, ["child", "ancestor"], "left_semi").isEmpty():
+            return _by_levels(edges, own.select("child").distinct())
+    while True:
+        steps = ways if beyond is None else ways.unionByName(beyond.select("child", "ancestor", "path", F.lit(False).alias("fresh")))
+        steps = steps.select(F.col("child").alias("via"), F.col("ancestor").alias("to"), F.col("path").alias("onward"), F.col("fresh").alias("new_step"))
+        steps = F.broadcast(steps) if steps.count() <= broadcast_rows else steps
+        longer = ways.join(steps, (F.col("ancestor") == F.col("via")) & (F.col("fresh") | F.col("new_step")))
+        longer = longer.select("child", F.col("to").alias("ancestor"), F.concat("path", "onward").alias("path"), F.lit(True).alias("fresh"))
+        best = ways.withColumn("fresh", F.lit(False)).unionByName(longer).groupBy("child", "ancestor").agg(F.min(F.struct("path", "fresh")).alias("w"))
+        before, ways = ways, stored(best.select("child", "ancestor", "w.path", "w.fresh"), "ways")
+        discard(before)
+        round_ = ways.where("child = ancestor").select("child")
+        if turning is not None or not round_.isEmpty():
+            turning = round_ if turning is None else round_.unionByName(turning)
+            turning = stored(turning.unionByName(ways.join(turning.select(F.col("child").alias("ancestor")).distinct(), "ancestor", "left_semi").select("child")).distinct(), "turning")
+            ways = stored(ways.join(turning, "child", "left_anti"), "ways")
+        if ways.where("fresh").isEmpty():
+            break
+    ways = ways.drop("fresh")
+    if turning is None:
+        return ways
+    return stored(ways.unionByName(_by_levels(edges, turning)), "closure")
+
+
+def _by_levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """First ways of starts(child). Ways are extended from the last level's gains alone, each with the types it has
+    visited; each level is a stored table, so the plan stays one join deep."""
     way = ["child", "ancestor", "path", "visited"]
-    gains = stored(edges.select("child", F.col("parent").alias("ancestor"), F.array("ordinal").alias("path"), F.array("child", "parent").alias("visited")), "gains")
+    first = edges.join(starts, "child", "left_semi")
+    gains = stored(first.select("child", F.col("parent").alias("ancestor"), F.array("ordinal").alias("path"), F.array("child", "parent").alias("visited")), "gains")
     known = stored(gains.select("child", "ancestor", "path"), "closure")
     step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"), "ordinal")
     while True:
@@ -68,6 +91,66 @@ def _by_levels(edges: DataFrame) -> DataFrame:
         known = merged
 
 
+def entered(below: DataFrame, own: DataFrame) -> DataFrame:
+    """child: the types that edges own(child, parent) of below(child) lead to and that are not below themselves."""
+    return own.where("parent is not null").select(F.col("parent").alias("child")).distinct().join(below, "child", "left_anti")
+
+
+def rederived(below: DataFrame, closed: DataFrame, edges: DataFrame, broadcast_rows: int = BROADCAST_ROWS, own: DataFrame | None = None) -> DataFrame:
+    """child, ancestor, depth, path anew for below(child): all types whose edges changed and all that reached one of them.
+
+    closed is the closure from before, edges(child, parent, ordinal) those of now. All ways of those types are dropped and
+    found again from their edges and, where they leave them, from what closed has for types that nothing changed for;
+    of both only rows that they reach are used. Where the caller has the edges of below at hand (own), others are only
+    read if there are cycles.
+    """
+    below = stored(below.select("child").distinct(), "below")
+    edges = _edges(edges)
+    own = stored((edges if own is None else _edges(own)).join(below, "child", "left_semi"), "own-edges")
+    beyond = stored(closed.join(entered(below, own), "child", "left_semi").select("child", "ancestor", "path"), "beyond")
+    reached = below.unionByName(entered(below, own)).unionByName(beyond.select(F.col("ancestor").alias("child"))).distinct()
+    return _measured(_closed(edges.join(reached, "child", "left_semi"), own, beyond, broadcast_rows))
+
+
+def updated_closure(closed: DataFrame, edges: DataFrame, changed: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The closure after a batch: closed from before, edges(child, parent, ordinal) of now, changed(child) the types whose
+    edges are others than before. Equals closure(edges); the rows of types above and beside the changed ones are kept."""
+    changed = stored(changed.select("child").distinct(), "changed")
+    below = changed.unionByName(closed.join(changed.select(F.col("child").alias("ancestor")), "ancestor", "left_semi").select("child")).distinct()
+    below = stored(below, "below")
+    again = rederived(below, closed, edges, broadcast_rows)
+    return closed.join(below, "child", "left_anti").select("child", "ancestor", "depth", "path").unionByName(again)
+
+
+def joint_closure(edges: DataFrame, nested: DataFrame, scopes: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """edges(child, name, parent, ordinal), nested(owner, name, fqn), scopes(child, scope, level) -> the edges with parents
+    found, and their closure.
+
+    A type declared inside another (scope; level 1 is the innermost around it) may name a parent that stands in no import:
+    a type that the scope, or one of its ancestors, declares inside itself. So what a name means follows from the
+    closure, and the closure from what names mean. Both are found together: edges without a parent get the type of that
+    name that the innermost scope offers, itself first, then by its ancestors in depth-first order as known by then; types
+    below them are derived again, and only scopes among those are asked in the next round. A name that no scope offers
+    stays without a parent.
+    """
+    edges = stored(edges.select("child", "name", "parent", "ordinal"), "edges")
+    closed = closure(edges, broadcast_rows)
+    offering = scopes.select(F.col("scope").alias("owner"), "scope", F.expr("cast(array() as array<int>)").alias("path")).distinct()
+    offering = offering.unionByName(closed.select(F.col("child").alias("scope"), F.col("ancestor").alias("owner"), F.col("path").cast("array<int>").alias("path")))
+    while True:
+        open_ = edges.where("parent is null").select("child", "name", "ordinal").join(scopes, "child")
+        offers = open_.join(offering.join(nested, "owner"), ["scope", "name"]).where("fqn <> child")
+        found = stored(first_by(offers, ["child", "name", "ordinal"], ["level", "path", "fqn"]).select("child", "name", "ordinal", F.col("fqn").alias("found")), "found")
+        if found.isEmpty():
+            return edges, closed
+        edges = stored(edges.join(found, ["child", "name", "ordinal"], "left").select("child", "name", F.coalesce("parent", "found").alias("parent"), "ordinal"), "edges")
+        changed = found.select("child").distinct()
+        below = stored(changed.unionByName(closed.join(changed.select(F.col("child").alias("ancestor")), "ancestor", "left_semi").select("child")).distinct(), "below")
+        gained = stored(rederived(below, closed, edges, broadcast_rows), "gained")
+        closed = stored(closed.join(below, "child", "left_anti").select("child", "ancestor", "depth", "path").unionByName(gained), "closure")
+        offering = gained.select(F.col("child").alias("scope"), F.col("ancestor").alias("owner"), F.col("path").cast("array<int>").alias("path"))
+
+
 def with_self(closed: DataFrame, types: DataFrame) -> DataFrame:
     """The closure together with each type(fqn) itself at depth 0."""
     own = types.select(F.col("fqn").alias("child"), F.col("fqn").alias("ancestor"), F.lit(0).alias("depth"), F.expr("cast(array() as array<int>)").alias("path"))

@@ -49,6 +49,17 @@ def resolve_by_import(refs: DataFrame, imports: DataFrame) -> DataFrame:
     return asked.join(first, ["file_path", "name"], "left")
 
 
+def parents_in_context(supers: DataFrame, places: DataFrame, imports: DataFrame, symbols: DataFrame, external: DataFrame) -> DataFrame:
+    """supers(symbol_fqn, super_short_name, super_fqn, ...) with the parents that were left open resolved strictly in the
+    context of the file that declares the child; places(symbol_fqn, file_path, package_name) says which. A name that the
+    file does not settle stays open; of a child that several files declare, the first file that settles it counts."""
+    open_ = supers.where("super_fqn is null").select("symbol_fqn", "super_short_name").distinct().join(places, "symbol_fqn")
+    asked = open_.select("file_path", "package_name", F.col("super_short_name").alias("name"))
+    named = resolve_fqn(asked, imports, symbols, external, strict=True).select("file_path", F.col("name").alias("super_short_name"), F.col("fqn").alias("found"))
+    found = first_by(open_.join(named, ["file_path", "super_short_name"]), ["symbol_fqn", "super_short_name"], ["file_path"]).select("symbol_fqn", "super_short_name", "found")
+    return supers.join(found, ["symbol_fqn", "super_short_name"], "left").withColumn("super_fqn", F.coalesce("super_fqn", "found")).select(*supers.columns)
+
+
 def capitalised(col: Column) -> Column:
     return F.concat(F.upper(F.left(col, F.lit(1))), F.substring(col, 2, 1 << 30))
 
@@ -56,18 +67,23 @@ def capitalised(col: Column) -> Column:
 def member_candidates(asked: DataFrame, reach: DataFrame, members: DataFrame, external: DataFrame) -> DataFrame:
     """asked(receiver, method) -> receiver, method, target, depth, path, source: every place a member can come from.
 
-    source ranks what one type offers: the member itself 0, a property accessor 1 (getX) or 2 (isX); external
-    members of the receiver come last. Inherited members are only sought above project types.
+    source ranks what one type offers: the member itself 0, a property accessor 1 (getX) or 2 (isX), a library's member 9.
+    Ways of reach may lead to library types, whose members count where they stand on the way; a library's member of
+    the receiver itself comes after all. Names that nothing declares are left out before ways are looked at.
     """
     asked = asked.select("receiver", "method").distinct()
     declared = members.select("parent_name", F.col("short_name").alias("offer"), F.col("fqn").alias("target")).distinct()
     cap = capitalised(F.col("method"))
     wanted = asked.select("receiver", "method", F.posexplode(F.array(F.col("method"), F.concat(F.lit("get"), cap), F.concat(F.lit("is"), cap))).alias("source", "offer"))
-    places = wanted.join(reach.select(F.col("child").alias("receiver"), F.col("ancestor").alias("parent_name"), "depth", "path"), "receiver")
-    project = places.join(declared, ["parent_name", "offer"]).select("receiver", "method", "target", "depth", "path", "source")
-    other = asked.join(external.select(F.col("parent_name").alias("receiver"), F.col("short_name").alias("method"), F.col("fqn").alias("target"), "needs_decompilation", "jar_path"), ["receiver", "method"])
-    other = first_by(other, ["receiver", "method"], ["needs_decompilation", "jar_path", "target"]).select("receiver", "method", "target", F.lit(0).alias("depth"), F.array(F.lit(1 << 30)).alias("path"), F.lit(9).alias("source"))
-    return project.unionByName(other)
+    wanted = wanted.join(declared.select("offer").distinct(), "offer", "left_semi")
+    above = reach.select(F.col("child").alias("receiver"), F.col("ancestor").alias("parent_name"), "depth", "path")
+    project = wanted.join(above, "receiver").join(declared, ["parent_name", "offer"]).select("receiver", "method", "target", "depth", "path", "source")
+    library = external.select("parent_name", F.col("short_name").alias("method"), F.col("fqn").alias("target"), "needs_decompilation", "jar_path")
+    library = first_by(library.join(asked.select("method").distinct(), "method", "left_semi"), ["parent_name", "method"], ["needs_decompilation", "jar_path", "target"]).select("parent_name", "method", "target")
+    owners = library.select("parent_name").distinct()
+    inherited = above.where("depth > 0").join(owners, "parent_name", "left_semi").join(asked, "receiver").join(library, ["parent_name", "method"])
+    own = asked.join(library.withColumnRenamed("parent_name", "receiver"), ["receiver", "method"]).select("receiver", "method", "target", F.lit(0).alias("depth"), F.array(F.lit(1 << 30)).alias("path"), F.lit(9).alias("source"))
+    return project.unionByName(inherited.select("receiver", "method", "target", "depth", "path", F.lit(9).alias("source"))).unionByName(own)
 
 
 def resolve_members(asked: DataFrame, reach: DataFrame, members: DataFrame, external: DataFrame) -> DataFrame:

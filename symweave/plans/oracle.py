@@ -70,6 +70,53 @@ CTES: dict[str, str] = {
     "library_names": """SELECT DISTINCT l.child AS type_fqn, m.short_name AS name FROM library_reach l JOIN (SELECT parent_name, short_name FROM members UNION SELECT parent_name, short_name FROM ext_members) m ON m.parent_name = l.ancestor""",
     "flat": "SELECT DISTINCT file_path, fqn, kind, mods, coalesce(params, '-') AS params, return_type, line, package_name FROM members",
     "required": """SELECT DISTINCT m.parent_name, m.short_name, m.params, m.arity FROM members m JOIN types t ON t.fqn = m.parent_name WHERE m.kind = 'Function' AND t.kind = 'Interface' AND m.mods <> 'static'""",
+    # the edges after two batches, and their closure
+    "later_edges": """SELECT s.symbol_fqn AS child, CASE WHEN t.k % 19 = 2 THEN s.super_fqn WHEN t.k % 13 = 4 THEN a.fqn WHEN t.k % 17 = 3 THEN NULL ELSE s.super_fqn END AS parent FROM supers s JOIN types t ON t.fqn = s.symbol_fqn JOIN types a ON a.k = t.k // 5""",
+    "later_closure": """SELECT child, parent AS ancestor, 1 AS depth FROM later_edges WHERE parent IS NOT NULL
+      UNION ALL SELECT c.child, e.parent, c.depth + 1 FROM later_closure c JOIN later_edges e ON c.ancestor = e.child WHERE e.parent IS NOT NULL""",
+    # a hierarchy of project, library and inner types; parents left open are settled by the file or by inheritance
+    "inner_types": "SELECT k, fqn AS owner, 'Inner' || (k % 3) AS name, fqn || '#Inner' || (k % 3) AS fqn FROM types WHERE k % 5 = 2",
+    "settled": """SELECT symbol_fqn, name, fqn FROM (SELECT *, row_number() OVER (PARTITION BY symbol_fqn ORDER BY priority, ordinal, fqn) AS n FROM (
+      SELECT s.symbol_fqn, s.super_short_name AS name, i.import_text AS fqn, 2 AS priority, i.ordinal FROM supers s JOIN types t ON t.fqn = s.symbol_fqn JOIN imports i ON i.file_path = t.file_path AND NOT i.is_wildcard AND split_part(i.import_text, '.', -1) = s.super_short_name WHERE s.super_fqn IS NULL
+      UNION ALL SELECT s.symbol_fqn, s.super_short_name, replace(i.import_text, '*', s.super_short_name), 3, i.ordinal FROM supers s JOIN types t ON t.fqn = s.symbol_fqn JOIN imports i ON i.file_path = t.file_path AND i.is_wildcard WHERE s.super_fqn IS NULL AND replace(i.import_text, '*', s.super_short_name) IN (SELECT fqn FROM indexed)
+      UNION ALL SELECT s.symbol_fqn, s.super_short_name, t.package_name || '.' || s.super_short_name, 4, 0 FROM supers s JOIN types t ON t.fqn = s.symbol_fqn WHERE s.super_fqn IS NULL AND t.package_name || '.' || s.super_short_name IN (SELECT fqn FROM types))) WHERE n = 1""",
+    "edges0": """SELECT s.symbol_fqn AS child, s.super_short_name AS name, coalesce(s.super_fqn, x.fqn) AS parent, 0 AS ordinal FROM supers s LEFT JOIN settled x ON x.symbol_fqn = s.symbol_fqn
+      UNION ALL SELECT t.fqn, e.short_name, e.fqn, 1 FROM types t JOIN libs e ON e.s = t.k // 7 WHERE t.k % 7 = 3
+      UNION ALL SELECT t.fqn, i.name, i.fqn, 2 FROM types t JOIN inner_types i ON i.k = t.k // 10 * 5 + 2 WHERE t.k % 4 = 1 AND t.k > 4
+      UNION ALL SELECT i.fqn, t.short_name, t.fqn, 0 FROM inner_types i JOIN types t ON t.k = i.k // 4
+      UNION ALL SELECT fqn, 'Inner' || ((k + 1) % 3), NULL, 1 FROM inner_types""",
+    # each round: all ways, then open names that the type around the child, or the first ancestor on its ways, offers; this many rounds settle all (one more changes nothing)
+    "ways0": """SELECT child, parent AS ancestor, [ordinal] AS path FROM edges0 WHERE parent IS NOT NULL
+      UNION ALL SELECT w.child, e.parent, list_append(w.path, e.ordinal) FROM ways0 w JOIN edges0 e ON e.child = w.ancestor WHERE e.parent IS NOT NULL""",
+    "edges1": """SELECT e.child, e.name, coalesce(e.parent, o.fqn) AS parent, e.ordinal FROM edges0 e LEFT JOIN (
+      SELECT child, name, fqn FROM (SELECT x.child, x.name, n.fqn, row_number() OVER (PARTITION BY x.child, x.name ORDER BY w.path, n.fqn) AS r FROM edges0 x JOIN inner_types i ON i.fqn = x.child JOIN (SELECT child, ancestor, path FROM ways0 UNION ALL SELECT fqn, fqn, [] FROM types) w ON w.child = i.owner JOIN inner_types n ON n.owner = w.ancestor AND n.name = x.name AND n.fqn <> x.child WHERE x.parent IS NULL) WHERE r = 1) o
+      ON o.child = e.child AND o.name = e.name AND e.parent IS NULL""",
+    "ways1": """SELECT child, parent AS ancestor, [ordinal] AS path FROM edges1 WHERE parent IS NOT NULL
+      UNION ALL SELECT w.child, e.parent, list_append(w.path, e.ordinal) FROM ways1 w JOIN edges1 e ON e.child = w.ancestor WHERE e.parent IS NOT NULL""",
+    "edges2": """SELECT e.child, e.name, coalesce(e.parent, o.fqn) AS parent, e.ordinal FROM edges1 e LEFT JOIN (
+      SELECT child, name, fqn FROM (SELECT x.child, x.name, n.fqn, row_number() OVER (PARTITION BY x.child, x.name ORDER BY w.path, n.fqn) AS r FROM edges1 x JOIN inner_types i ON i.fqn = x.child JOIN (SELECT child, ancestor, path FROM ways1 UNION ALL SELECT fqn, fqn, [] FROM types) w ON w.child = i.owner JOIN inner_types n ON n.owner = w.ancestor AND n.name = x.name AND n.fqn <> x.child WHERE x.parent IS NULL) WHERE r = 1) o
+      ON o.child = e.child AND o.name = e.name AND e.parent IS NULL""",
+    "ways2": """SELECT child, parent AS ancestor, [ordinal] AS path FROM edges2 WHERE parent IS NOT NULL
+      UNION ALL SELECT w.child, e.parent, list_append(w.path, e.ordinal) FROM ways2 w JOIN edges2 e ON e.child = w.ancestor WHERE e.parent IS NOT NULL""",
+    "edges3": """SELECT e.child, e.name, coalesce(e.parent, o.fqn) AS parent, e.ordinal FROM edges2 e LEFT JOIN (
+      SELECT child, name, fqn FROM (SELECT x.child, x.name, n.fqn, row_number() OVER (PARTITION BY x.child, x.name ORDER BY w.path, n.fqn) AS r FROM edges2 x JOIN inner_types i ON i.fqn = x.child JOIN (SELECT child, ancestor, path FROM ways2 UNION ALL SELECT fqn, fqn, [] FROM types) w ON w.child = i.owner JOIN inner_types n ON n.owner = w.ancestor AND n.name = x.name AND n.fqn <> x.child WHERE x.parent IS NULL) WHERE r = 1) o
+      ON o.child = e.child AND o.name = e.name AND e.parent IS NULL""",
+    "ways3": """SELECT child, parent AS ancestor, [ordinal] AS path FROM edges3 WHERE parent IS NOT NULL
+      UNION ALL SELECT w.child, e.parent, list_append(w.path, e.ordinal) FROM ways3 w JOIN edges3 e ON e.child = w.ancestor WHERE e.parent IS NOT NULL""",
+    "edges4": """SELECT e.child, e.name, coalesce(e.parent, o.fqn) AS parent, e.ordinal FROM edges3 e LEFT JOIN (
+      SELECT child, name, fqn FROM (SELECT x.child, x.name, n.fqn, row_number() OVER (PARTITION BY x.child, x.name ORDER BY w.path, n.fqn) AS r FROM edges3 x JOIN inner_types i ON i.fqn = x.child JOIN (SELECT child, ancestor, path FROM ways3 UNION ALL SELECT fqn, fqn, [] FROM types) w ON w.child = i.owner JOIN inner_types n ON n.owner = w.ancestor AND n.name = x.name AND n.fqn <> x.child WHERE x.parent IS NULL) WHERE r = 1) o
+      ON o.child = e.child AND o.name = e.name AND e.parent IS NULL""",
+    "ways4": """SELECT child, parent AS ancestor, [ordinal] AS path FROM edges4 WHERE parent IS NOT NULL
+      UNION ALL SELECT w.child, e.parent, list_append(w.path, e.ordinal) FROM ways4 w JOIN edges4 e ON e.child = w.ancestor WHERE e.parent IS NOT NULL""",
+    "first_ways": "SELECT child, ancestor, min(path) AS path FROM ways4 GROUP BY ALL",
+    "mixed_calls": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, receiver, CASE l_orderkey % 3 WHEN 0 THEN method WHEN 1 THEN 'x' || (l_orderkey % 9) ELSE 'z' || (l_orderkey % 3) END AS method FROM sites""",
+    "mixed_members": """SELECT DISTINCT parent_name, short_name, fqn FROM members UNION ALL SELECT fqn, 'z' || (k % 3), fqn || '#z' || (k % 3) FROM inner_types""",
+    "mixed_found": """SELECT receiver, method, target, depth FROM (SELECT *, row_number() OVER (PARTITION BY receiver, method ORDER BY last, path, source, target) AS n FROM (
+      SELECT a.receiver, a.method, m.fqn AS target, len(r.path) AS depth, r.path, o.source, 0 AS last FROM (SELECT DISTINCT receiver, method FROM mixed_calls) a,
+        LATERAL (VALUES (0, a.method), (1, 'get' || upper(left(a.method, 1)) || substr(a.method, 2)), (2, 'is' || upper(left(a.method, 1)) || substr(a.method, 2))) o(source, offer)
+        JOIN (SELECT child, ancestor, path FROM first_ways UNION ALL SELECT fqn, fqn, [] FROM types) r ON r.child = a.receiver JOIN mixed_members m ON m.parent_name = r.ancestor AND m.short_name = o.offer
+      UNION ALL SELECT a.receiver, a.method, x.fqn, len(r.path), r.path, 9, 0 FROM (SELECT DISTINCT receiver, method FROM mixed_calls) a JOIN first_ways r ON r.child = a.receiver JOIN ext_members x ON x.parent_name = r.ancestor AND x.short_name = a.method
+      UNION ALL SELECT a.receiver, a.method, x.fqn, 0, [], 9, 1 FROM (SELECT DISTINCT receiver, method FROM mixed_calls) a JOIN ext_members x ON x.parent_name = a.receiver AND x.short_name = a.method)) WHERE n = 1""",
 }
 
 
@@ -92,6 +139,9 @@ SITE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 BODIES: dict[str, str] = {
     "definition_by_call_site": f"SELECT {SITE}, s.receiver, s.method, r.target, CAST(r.depth AS INT) AS depth FROM sites s JOIN resolved r ON r.receiver = s.receiver AND r.method = s.method",
+    "parents_by_context_and_inheritance": "SELECT child, name, parent, CAST(ordinal AS INT) AS ordinal FROM edges4",
+    "closure_of_resolved_parents": "SELECT child, ancestor, CAST(len(path) AS INT) AS depth, array_to_string(path, '.') AS way FROM first_ways",
+    "definition_below_libraries": f"SELECT {SITE}, c.receiver, c.method, f.target, CAST(f.depth AS INT) AS depth FROM mixed_calls c JOIN mixed_found f ON f.receiver = c.receiver AND f.method = c.method",
     "resolve_fqn_lenient": "SELECT file_path, name, fqn, CAST(priority AS INT) AS priority FROM lenient",
     "resolve_fqn_strict": "SELECT file_path, name, fqn, CAST(priority AS INT) AS priority FROM strictly",
     "resolve_index_time": "SELECT DISTINCT r.file_path, r.name, (SELECT arg_min(i.import_text, i.ordinal) FROM imports i WHERE i.file_path = r.file_path AND NOT i.is_wildcard AND split_part(i.import_text, '.', -1) = r.name) AS fqn FROM type_refs r",
@@ -120,6 +170,7 @@ BODIES: dict[str, str] = {
     "supertypes_of_symbol": "SELECT s.symbol_fqn, t.fqn, t.kind, t.file_path FROM supers s JOIN types t ON t.fqn = s.super_fqn",
     "distinct_source_files": "SELECT DISTINCT file_path FROM symbols ORDER BY file_path",
     "supertype_closure": "SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM closure GROUP BY child, ancestor",
+    "closure_after_edge_batches": "SELECT child, ancestor, CAST(depth AS INT) AS depth FROM later_closure",
     "reachable_member_names": "SELECT DISTINCT r.child AS type_fqn, m.short_name AS name FROM reach r JOIN members m ON m.parent_name = r.ancestor",
     "reachable_names_below_libraries": "SELECT type_fqn, name FROM library_names",
     "nearest_inherited_return": """SELECT type_fqn, name, from_fqn, return_type FROM (SELECT r.child AS type_fqn, o.short_name AS name, r.ancestor AS from_fqn, o.return_type, r.depth, row_number() OVER (PARTITION BY r.child, o.short_name ORDER BY r.depth) AS n

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import shared_path
 from ..functions import strings
 from ..operators import diagnostics as dia
 from ..operators import hierarchy, lookups, maintain, rank, requests, resolve
+from ..sources.closures import StoredClosure
 from ..universe import NUMERIC, PARAM_TYPES, Universe, pick, text
 
 SITE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -35,6 +37,28 @@ def definition_by_call_site(u: Universe) -> DataFrame:
     return resolve.resolve_call_sites(u.call_sites, u.reach, u.members, u.external_symbols).select(*SITE, "receiver", "method", "target", "depth")
 
 
+@query
+def parents_by_context_and_inheritance(u: Universe) -> DataFrame:
+    """Every edge of the mixed hierarchy with its parent: as indexed, by the child's file, or a type inside an ancestor."""
+    return u.joint[0].select("child", "name", "parent", "ordinal")
+
+
+@query
+def closure_of_resolved_parents(u: Universe) -> DataFrame:
+    """First ways through project, library and inner types, all parents resolved."""
+    return u.joint[1].select("child", "ancestor", F.col("depth").cast("int").alias("depth"), F.concat_ws(".", F.transform("path", lambda x: x.cast("string"))).alias("way"))
+
+
+@query
+def definition_below_libraries(u: Universe) -> DataFrame:
+    """Calls of members of project, library and inner types, on every type that some call names."""
+    method = F.when(F.col("l_orderkey") % 3 == 0, F.col("method")).when(F.col("l_orderkey") % 3 == 1, text("x", F.col("l_orderkey") % 9)).otherwise(text("z", F.col("l_orderkey") % 3))
+    inner = u.nested_types.select(text("z", F.col("k") % 3).alias("short_name"), F.col("fqn").alias("parent_name"))
+    members = u.members.select("short_name", "parent_name", "fqn").unionByName(inner.withColumn("fqn", text(F.col("parent_name"), "#", F.col("short_name"))))
+    reach = hierarchy.with_self(u.joint[1], u.types.select("fqn").unionByName(u.nested_types.select("fqn")))
+    return resolve.resolve_call_sites(u.call_sites.withColumn("method", method), reach, members, u.external_symbols).select(*SITE, "receiver", "method", "target", "depth")
+
+
 @query
 def resolve_fqn_lenient(u: Universe) -> DataFrame:
     return resolve.resolve_fqn(u.type_refs, u.imports, u.symbols, u.external_symbols)
@@ -163,6 +187,21 @@ def supertype_closure(u: Universe) -> DataFrame:
     return u.close().select("child", "ancestor", F.col("depth").cast("int").alias("depth"))
 
 
+@query
+def closure_after_edge_batches(u: Universe) -> DataFrame:
+    """A stored closure after two batches: some types get another parent, some lose theirs, and some get it back."""
+    edges = u.supers.select(F.col("symbol_fqn").alias("child"), F.col("super_fqn").alias("parent"), F.lit(0).alias("ordinal"))
+    kept = StoredClosure(u.spark, shared_path(u.spark, "stored-closure"), buckets=16)
+    kept.build(edges)
+    above = u.types.select(F.col("k").alias("a_k"), F.col("fqn").alias("parent"))
+    moved = u.types.where("k % 13 = 4").join(above, F.floor(F.col("k") / 5) == F.col("a_k")).select(F.col("fqn").alias("child"), "parent", F.lit(1).alias("ordinal"))
+    cut = u.types.where("k % 17 = 3 or k % 19 = 2").select(F.col("fqn").alias("child"))
+    kept.apply(moved, cut)
+    back = u.types.where("k % 19 = 2").select(F.col("fqn").alias("child"))
+    kept.apply(edges.join(back, "child", "left_semi"), back)
+    return kept.ways.read().select("child", "ancestor", "depth")
+
+
 @query
 def reachable_member_names(u: Universe) -> DataFrame:
     return hierarchy.reachable_names(u.reach, u.members)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .durable import stored
-from .operators import hierarchy
+from .operators import hierarchy, resolve
 
 # Parameter types, argument kinds, numeric types and languages that the rules choose from by remainder.
 PARAM_TYPES = ("int", "String", "List<String>", "T")
@@ -137,6 +137,44 @@ class Universe:
         over = self.reach.join(below, "ancestor").select("child", F.col("lib_fqn").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.lit(1))).alias("path"))
         return self.reach.unionByName(over)
 
+    @cached_property
+    def nested_types(self) -> DataFrame:
+        """Types inside types: every fifth type, from the second on, declares one that extends the type of a fourth of its number. Columns of types, and owner."""
+        own = self.types.where("k % 5 = 2")
+        name = text("Inner", F.col("k") % 3)
+        none = F.expr("cast(array() as array<string>)")
+        return own.select("k", "package_name", name.alias("short_name"), text(F.col("fqn"), "#", name).alias("fqn"), F.lit("Class").alias("kind"), none.alias("modifiers"), "language", "file_path", F.col("fqn").alias("owner"))
+
+    @cached_property
+    def mixed_edges(self) -> DataFrame:
+        """child, name, parent, ordinal: parents by name that a file settles or not; library parents second; third, for
+        every fourth type, from the fifth on, the type inside one of about half its number. Types inside types
+        have a named parent and one that only the types around them can settle."""
+        places = self.types.select(F.col("fqn").alias("symbol_fqn"), "file_path", "package_name")
+        first = resolve.parents_in_context(self.supers, places, self.imports, self.symbols, self.external_symbols)
+        first = first.select(F.col("symbol_fqn").alias("child"), F.col("super_short_name").alias("name"), F.col("super_fqn").alias("parent"), F.lit(0).alias("ordinal"))
+        lib = self.external_types.where("not needs_decompilation").select("s", F.col("short_name").alias("name"), F.col("fqn").alias("parent"))
+        second = self.types.where("k % 7 = 3").join(lib, F.floor(F.col("k") / 7) == F.col("s")).select(F.col("fqn").alias("child"), "name", "parent", F.lit(1).alias("ordinal"))
+        half = self.nested_types.select(F.col("k").alias("h_k"), F.col("short_name").alias("name"), F.col("fqn").alias("parent"))
+        third = self.types.where("k % 4 = 1 and k > 4").join(half, F.floor(F.col("k") / 10) * 5 + 2 == F.col("h_k")).select(F.col("fqn").alias("child"), "name", "parent", F.lit(2).alias("ordinal"))
+        above = self.types.select(F.col("k").alias("a_k"), F.col("short_name").alias("name"), F.col("fqn").alias("parent"))
+        inner = self.nested_types.join(above, F.floor(F.col("k") / 4) == F.col("a_k")).select(F.col("fqn").alias("child"), "name", "parent", F.lit(0).alias("ordinal"))
+        open_ = self.nested_types.select(F.col("fqn").alias("child"), text("Inner", (F.col("k") + 1) % 3).alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("ordinal"))
+        return first.unionByName(second).unionByName(third).unionByName(inner).unionByName(open_)
+
+    @cached_property
+    def joint(self) -> tuple[DataFrame, DataFrame]:
+        """mixed_edges with the parents that inheritance settles, and their closure."""
+        closed = self.kept("joint-closure", self._joint)
+        return self.kept("joint-edges", lambda: closed), closed
+
+    def _joint(self) -> DataFrame:
+        nested = self.nested_types.select("owner", F.col("short_name").alias("name"), "fqn")
+        scopes = self.nested_types.select(F.col("fqn").alias("child"), F.col("owner").alias("scope"), F.lit(1).alias("level"))
+        edges, closed = hierarchy.joint_closure(self.mixed_edges, nested, scopes)
+        self.kept("joint-edges", lambda: edges)
+        return closed
+
     @cached_property
     def external_types(self) -> DataFrame:
         s = F.col("s_suppkey")
