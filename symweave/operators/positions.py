@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..durable import stored
 from ..sources.workspace import facts
 from .rank import first_by, prioritised
-from .requests import in_span
 from .resolve import resolve_fqn, resolve_members
+from .spans import around
 
 
 def _names(parsed: DataFrame) -> DataFrame:
@@ -28,8 +28,12 @@ def local_declarations(hits: DataFrame, parsed: DataFrame) -> DataFrame:
     scopes = facts(parsed, "scope_decls").select(
         F.col("path").alias("s_path"), F.col("name").alias("s_name"), "type_name", F.col("line").alias("d_line"), F.col("col").alias("d_col"), "scope_line_start", "scope_char_start", "scope_line_end", "scope_char_end"
     )
-    held = in_span(F.col("n_line"), F.col("n_col"), F.col("scope_line_start"), F.col("scope_char_start"), F.col("scope_line_end"), F.col("scope_char_end")) | ((F.col("n_line") == F.col("d_line")) & (F.col("n_col") == F.col("d_col")))
-    both = hits.join(scopes, (F.col("file_path") == F.col("s_path")) & (F.col("name") == F.col("s_name")) & held & ~F.col("is_qualified"))
+    hits = hits.where("not is_qualified").select(*hits.columns, F.col("file_path").alias("s_path"), F.col("name").alias("s_name"))
+    keys = ["s_path", "s_name"]
+    within = around(hits, scopes, keys, ("n_line", "n_col"), ("scope_line_start", "scope_char_start", "scope_line_end", "scope_char_end"))
+    # a name's own declaration may stand outside of the scope that it opens
+    itself = hits.join(scopes.withColumns({"n_line": F.col("d_line"), "n_col": F.col("d_col")}), [*keys, "n_line", "n_col"])
+    both = within.unionByName(itself)
     return first_by(both, ["file_path", "n_line", "n_col"], [F.col("scope_line_start").desc(), F.col("scope_char_start").desc(), F.col("d_line").desc(), F.col("d_col").desc()]).drop("s_path", "s_name")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .lookups import prefix_search_many
 from .rank import completion_rank, first_by
+from .spans import outside
 
 
 def implementations_of_types(types: DataFrame, supers: DataFrame) -> DataFrame:
@@ -43,12 +44,6 @@ def complete_prefixes(prefixes: DataFrame, symbols: DataFrame, external: DataFra
     return first_by(ranked, ["prefix", "fqn"], ["rank"]).select("prefix", "fqn", "origin", "rank")
 
 
-def in_span(line: Column, col: Column, s_line: Column, s_col: Column, e_line: Column, e_col: Column) -> Column:
-    """Position within a span, both ends included."""
-    at = F.struct(line.alias("l"), col.alias("c"))
-    return (at >= F.struct(s_line.alias("l"), s_col.alias("c"))) & (at <= F.struct(e_line.alias("l"), e_col.alias("c")))
-
-
 def declarations_at(cursors: DataFrame, declared: DataFrame) -> DataFrame:
     """cursors(file_path, line, col, ...) inside identifiers of declared(file_path, fqn, ident_line, ident_start, ident_end).
 
@@ -59,8 +54,7 @@ def declarations_at(cursors: DataFrame, declared: DataFrame) -> DataFrame:
 
 def outside_spans(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """hits(file_path, line, col) not inside spans(file_path, s_line, s_col, e_line, e_col), such as comments and strings."""
-    inside = in_span(hits["line"], hits["col"], spans["s_line"], spans["s_col"], spans["e_line"], spans["e_col"])
-    return hits.join(spans, (hits["file_path"] == spans["file_path"]) & inside, "left_anti")
+    return outside(hits, spans)
 
 
 def edits(*parts: DataFrame) -> DataFrame:

@@ -325,6 +325,8 @@ ORACLES |= {
         "parse_documented_symbols": """SELECT '/ws/small/' || short_name || '.java' AS file_path, fqn || v.tail AS fqn, CASE v.doc WHEN 'type' THEN 'About ' || short_name || '.' ELSE v.doc END AS doc, v.annotations, v.line AS ident_line_start, v.col AS ident_char_start,
             CAST(v.col + CASE v.tail WHEN '' THEN length(short_name) ELSE length(v.tail) - 1 END AS INT) AS ident_char_end
           FROM types, (VALUES ('', 'type', 'Deprecated', 4, 6), ('#size', 'Counts.', 'Override', 7, 15), ('#size', NULL, '', 8, 8), ('#run', NULL, '', 9, 8)) v(tail, doc, annotations, line, col)""",
+        "references_by_index": """SELECT v.name, '/ws/refs/' || t.short_name || '.java' AS file_path, CAST(v.line AS INT) AS line, CAST(v.col AS INT) AS col, v.kind FROM types t JOIN types o ON o.k = t.k // 2,
+          LATERAL (VALUES (t.short_name, 2, 6, 'code'), (o.short_name, 2, 15 + length(t.short_name), 'code'), (o.short_name, 3, 16, 'string'), (o.short_name, 4, 6 + length(o.short_name), 'code')) v(name, line, col, kind)""",
         "symbol_at_position": """SELECT p AS file_path, v.line, v.col, CASE v.name WHEN '' THEN short_name ELSE v.name END AS name, v.origin, CASE v.origin WHEN 'local' THEN p || v.tail ELSE fqn || v.tail END AS target
           FROM (SELECT *, '/ws/small/' || short_name || '.java' AS p FROM types), LATERAL (VALUES
             (12, 15, 'other', 'local', ':9:8'), (12, 21, 'size', 'project', '#size'), (12, 26, 'n', 'local', ':10:12'), (11, 8, '', 'project', '')) v(line, col, name, origin, tail)""",

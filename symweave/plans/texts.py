@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durable import shared_path
 from ..engine import Engine
 from ..functions import strings
 from ..operators import maintain, requests
 from ..sources import archive, dependencies, revisions, workspace
+from ..sources.postings import PostingIndex
 from ..universe import EXTENSION, Universe, pick, text
 from .queries import joined, query
 
@@ -249,3 +251,25 @@ def symbol_at_position(u: Universe) -> DataFrame:
     places = F.array(*(F.struct(F.lit(x).alias("line"), F.lit(y).alias("col")) for x, y in ((12, 15), (12, 21), (12, 26), (11, 8))))
     cursors = u.types.select(text("/ws/small/", F.col("short_name"), ".java").alias("file_path"), F.explode(places).alias("p")).select("file_path", "p.line", "p.col")
     return _small_engine(u).definition(cursors).select("file_path", "line", "col", "name", "origin", "target")
+
+
+@query
+def references_by_index(u: Universe) -> DataFrame:
+    """Whole-word references to every type outside comments, read from stored postings; a third of the files had other
+    contents when the index was built."""
+    half = u.types.select(F.col("k").alias("h_k"), F.col("short_name").alias("other"))
+    rows = u.types.join(half, F.floor(F.col("k") / 2) == F.col("h_k"))
+    short, other = F.col("short_name"), F.col("other")
+    content = text("package ", F.col("package_name"), ";\n// ", short, " and ", other, "\nclass ", short, " extends ", other, " {\n    String s = \"", other, "\"; /* ", short, "\n  ", other, " */ ", other, " f;\n}\n")
+    path = text("/ws/refs/", short, ".java")
+    now = rows.select(path.alias("path"), F.lit("java").alias("language"), content.alias("text"), "k")
+    before = now.withColumn("text", F.when(F.col("k") % 3 == 0, F.lit("class Old { Old old; }\n")).otherwise(F.col("text"))).unionByName(now.where("k % 5 = 0").withColumn("path", F.concat("path", F.lit("-gone"))))
+
+    def held(files: DataFrame) -> DataFrame:
+        return workspace.facts(workspace.parse(files.drop("k")), "spans").select(F.col("path").alias("file_path"), F.col("line_start").alias("s_line"), F.col("char_start").alias("s_col"), F.col("line_end").alias("e_line"), F.col("char_end").alias("e_col"), "kind")
+
+    index = PostingIndex(u.spark, shared_path(u.spark, "postings"), buckets=16)
+    index.build(before, held(before))
+    changed = now.where("k % 3 = 0")
+    index.replace(changed, held(changed), before.where("path like '%-gone'").select(F.col("path").alias("file_path")))
+    return index.references(u.types.select(F.col("short_name").alias("name")))
