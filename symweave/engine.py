@@ -236,6 +236,8 @@ class Engine:
             col = F.col("col") if "col" in df.columns else F.lit(0)
             return df.select("file_path", line.cast("int").alias("line"), col.cast("int").alias("col"), F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.col(subject) if isinstance(subject, str) else subject).alias("subject"))
 
+        library = self.external.where(~F.col("kind").isin("Function", "Field")).select("fqn", "kind")
+        parents = self.types.select("fqn", "kind").unionByName(library.join(self.types.select("fqn"), "fqn", "left_anti")).distinct()
         declared = workspace.facts(self.parsed, "declared_types").select(F.col("path").alias("file_path"), "name").distinct()
         own = workspace.facts(self.parsed, "diagnostics").select(F.col("path").alias("file_path"), F.col("line_start").alias("line"), F.col("char_start").alias("col"), "code", "severity", F.col("message").alias("subject"))
         keys = ["file_path", "line", "col"]
@@ -243,7 +245,7 @@ class Engine:
             own,
             row(dia.unresolved_symbol(refs, self.imports, self.symbols, self.external, declared), "unresolved_symbol", "fqn"),
             row(dia.final_class_extended(self.types, self.edges).join(place.drop("file_path"), "symbol_fqn"), "final_class_extended", "super_fqn"),
-            row(dia.unimplemented_methods(self.types, self.edges, self.members).join(place, "symbol_fqn"), "unimplemented_abstract_methods", F.concat("method", F.lit("("), F.array_join("needed", ", "), F.lit(")"))),
+            row(dia.unimplemented_methods(self.types, self.edges, self.all_members, parents).join(place, "symbol_fqn"), "unimplemented_abstract_methods", F.concat("method", F.lit("("), F.array_join("needed", ", "), F.lit(")"))),
             row(dia.abstract_instantiated(made, self.types), "abstract_class_instantiated", "type_fqn"),
             row(dia.method_not_found(sites, self.reach, self.all_members, self.types), "method_not_found", "method"),
             row(dia.inaccessible_member(sites, self.all_members), "inaccessible_member", "method"),

@@ -55,10 +55,11 @@ def implements(child: Column, parent: Column) -> Column:
     return (F.size(child) == F.size(parent)) & F.forall(F.zip_with(child, parent, lambda c, p: (c == p) | p.rlike("^[A-Z][0-9]*$")), lambda ok: ok)
 
 
-def unimplemented_methods(types: DataFrame, supers: DataFrame, members: DataFrame) -> DataFrame:
-    """Required signatures of a direct parent that a concrete class does not declare itself."""
+def unimplemented_methods(types: DataFrame, supers: DataFrame, members: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Required signatures of a direct parent that a concrete class does not declare itself. parents(fqn, kind) are the
+    types that can be parents, those of the project unless told; with library types among them, members has theirs too."""
     concrete = types.where((F.col("kind") == "Class") & ~F.array_contains("modifiers", "abstract")).select(F.col("fqn").alias("symbol_fqn"))
-    needed = required_methods(types, members).select(F.col("parent_name").alias("super_fqn"), F.col("short_name").alias("method"), F.col("param_types").alias("needed")).distinct()
+    needed = required_methods(types if parents is None else parents, members).select(F.col("parent_name").alias("super_fqn"), F.col("short_name").alias("method"), F.col("param_types").alias("needed")).distinct()
     asked = supers.join(concrete, "symbol_fqn").join(needed, "super_fqn")
     own = members.where("kind = 'Function'").select(F.col("parent_name").alias("o_fqn"), F.col("short_name").alias("o_name"), F.col("param_types").alias("o_params")).distinct()
     return asked.join(own, (F.col("symbol_fqn") == F.col("o_fqn")) & (F.col("method") == F.col("o_name")) & implements(F.col("o_params"), F.col("needed")), "left_anti").select("symbol_fqn", "super_fqn", "method", "needed")

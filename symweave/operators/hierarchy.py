@@ -180,6 +180,54 @@ def required_methods(types: DataFrame, members: DataFrame) -> DataFrame:
     return members.where("kind = 'Function'").join(owner, "parent_name").where(has("abstract") | ((F.col("owner_kind") == "Interface") & ~has("default") & ~has("static")))
 
 
+def without_private(symbols: DataFrame) -> DataFrame:
+    """External symbols without private ones: what stands in a private type belongs to the nearest type around it that is
+    not private, else to the package, and is named after it. symbols(jar_path, fqn, short_name, parent_name, kind, modifiers,
+    ...), where a # parts what stands in a type and a dot a type from its package.
+
+    Pointers to the type around double their reach each round, so types nested n deep take about log2 n rounds.
+    """
+    private = F.array_contains(F.coalesce("modifiers", F.expr("cast(array() as array<string>)")), "private")
+    own = F.when(private, F.expr("cast(array() as array<string>)")).otherwise(F.array("short_name"))
+    types = symbols.where(~F.col("kind").isin("Function", "Field"))
+    # of several rows of a type in one jar, one that is not private counts
+    up = first_by(types.select("jar_path", "fqn", F.col("parent_name").alias("up"), own.alias("tail")), ["jar_path", "fqn"], [F.size("tail").desc(), "up"])
+    up = stored(up, "up")
+    while True:
+        over = up.select("jar_path", F.col("fqn").alias("up"), F.col("up").alias("next"), F.col("tail").alias("head"))
+        joined = up.join(over, ["jar_path", "up"], "left")
+        new = stored(joined.select("jar_path", "fqn", F.coalesce("next", "up").alias("up"), F.concat(F.coalesce("head", F.expr("cast(array() as array<string>)")), "tail").alias("tail"), F.col("next").isNotNull().alias("moved")), "up")
+        discard(up)
+        up = new
+        if up.where("moved").isEmpty():
+            break
+        up = up.drop("moved")
+        up.stored_at = new.stored_at
+    # where each type's members belong: its package and the kept names down to it
+    place = up.select("jar_path", F.col("fqn").alias("parent_name"), F.col("up").alias("package"), F.col("tail").alias("around"))
+    kept = symbols.where(~private).join(place, ["jar_path", "parent_name"], "left")
+    names = F.coalesce("around", F.expr("cast(array() as array<string>)"))
+    package = F.coalesce("package", "parent_name")
+    parent = F.when(F.size(names) > 0, F.concat_ws(".", package, F.array_join(names, "#"))).otherwise(package)
+    fqn = F.when(F.col("package").isNull(), F.col("fqn")).otherwise(F.concat(parent, F.when(F.size(names) > 0, "#").otherwise("."), "short_name"))
+    return kept.withColumns({"fqn": fqn, "parent_name": parent}).select(*symbols.columns)
+
+
+def loose_edges(edges: DataFrame, types: DataFrame, packages: DataFrame) -> DataFrame:
+    """edges(child, name, parent) with parents, and, where one is missing, the type of that short name if exactly one type
+    in sight has it: in the packages(child, package) that the child's file sees, or in one of its ancestors' packages.
+    types(fqn, short_name, package_name); a name that several of those packages have gives no edge."""
+    known = edges.where("parent is not null").select("child", "parent")
+    open_ = edges.where("parent is null").select("child", "name").distinct()
+    of = types.select(F.col("fqn").alias("ancestor"), F.col("package_name").alias("package")).distinct()
+    closed = closure(known.withColumn("ordinal", F.lit(0)))
+    sight = packages.select("child", "package").join(open_, "child", "left_semi")
+    sight = sight.unionByName(closed.join(open_.select("child").distinct(), "child", "left_semi").join(of, "ancestor").select("child", "package")).distinct()
+    named = types.select(F.col("short_name").alias("name"), F.col("package_name").alias("package"), "fqn").distinct()
+    found = open_.join(named, "name").join(sight, ["child", "package"]).groupBy("child", "name").agg(F.count(F.lit(1)).alias("n"), F.min("fqn").alias("parent")).where("n = 1")
+    return known.unionByName(found.select("child", "parent"))
+
+
 def component(edges: DataFrame) -> DataFrame:
     """edges(child, parent) -> fqn, component: types linked upwards or downwards, named by the least of them."""
     pairs = edges.where("parent is not null").select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b")).where("a <> b").distinct()

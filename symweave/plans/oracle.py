@@ -70,6 +70,13 @@ CTES: dict[str, str] = {
     "library_names": """SELECT DISTINCT l.child AS type_fqn, m.short_name AS name FROM library_reach l JOIN (SELECT parent_name, short_name FROM members UNION SELECT parent_name, short_name FROM ext_members) m ON m.parent_name = l.ancestor""",
     "flat": "SELECT DISTINCT file_path, fqn, kind, mods, coalesce(params, '-') AS params, return_type, line, package_name FROM members",
     "required": """SELECT DISTINCT m.parent_name, m.short_name, m.params, m.arity FROM members m JOIN types t ON t.fqn = m.parent_name WHERE m.kind = 'Function' AND t.kind = 'Interface' AND m.mods <> 'static'""",
+    # parents by the one type of a short name in the own package, in that of a wildcard import, or in one of an ancestor (a type without a parent has none)
+    "loose": """SELECT s.symbol_fqn AS child, coalesce(s.super_fqn, g.fqn) AS parent FROM supers s LEFT JOIN (
+      SELECT x.symbol_fqn, min(p.fqn) AS fqn FROM supers x JOIN types t ON t.fqn = x.symbol_fqn JOIN types w ON w.k = t.k // 2 JOIN types p ON p.short_name = x.super_short_name AND p.package_name IN (t.package_name, w.package_name)
+      WHERE x.super_fqn IS NULL GROUP BY x.symbol_fqn HAVING count(*) = 1) g ON g.symbol_fqn = s.symbol_fqn""",
+    "loose_closure": """SELECT child, parent AS ancestor, 1 AS depth FROM loose WHERE parent IS NOT NULL
+      UNION ALL SELECT c.child, e.parent, c.depth + 1 FROM loose_closure c JOIN loose e ON c.ancestor = e.child WHERE e.parent IS NOT NULL""",
+    "loose_tops": "SELECT t.fqn, coalesce((SELECT max_by(ancestor, depth) FROM loose_closure c WHERE c.child = t.fqn), t.fqn) AS top FROM types t",
     # the edges after two batches, and their closure
     "later_edges": """SELECT s.symbol_fqn AS child, CASE WHEN t.k % 19 = 2 THEN s.super_fqn WHEN t.k % 13 = 4 THEN a.fqn WHEN t.k % 17 = 3 THEN NULL ELSE s.super_fqn END AS parent FROM supers s JOIN types t ON t.fqn = s.symbol_fqn JOIN types a ON a.k = t.k // 5""",
     "later_closure": """SELECT child, parent AS ancestor, 1 AS depth FROM later_edges WHERE parent IS NOT NULL
@@ -171,6 +178,13 @@ BODIES: dict[str, str] = {
     "distinct_source_files": "SELECT DISTINCT file_path FROM symbols ORDER BY file_path",
     "supertype_closure": "SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM closure GROUP BY child, ancestor",
     "closure_after_edge_batches": "SELECT child, ancestor, CAST(depth AS INT) AS depth FROM later_closure",
+    "external_children_of_private_types": """SELECT jar_path, CASE WHEN p = lib THEN lib ELSE p END || '#' || tail AS fqn, p AS parent_name, kind FROM (
+        SELECT e.jar_path, e.fqn AS lib, array_to_string(list_concat([e.fqn], list_transform(list_filter(range(1, v.upto + 1), lambda i: (e.s + i) % 3 <> 0), lambda i: 'N' || i)), '#') AS p, v.tail, v.kind
+        FROM libs e, LATERAL (SELECT d - 1 AS upto, 'N' || d AS tail, 'Class' AS kind FROM range(1, 6) r(d) WHERE (e.s + d) % 3 <> 0 UNION ALL SELECT d, 'run' || d, 'Function' FROM range(1, 6) r(d)) v)
+      UNION ALL SELECT jar_path, fqn, package_name, 'Class' FROM libs""",
+    "hierarchy_component_by_short_names": "SELECT fqn, component FROM (SELECT fqn, min(fqn) OVER (PARTITION BY top) AS component, count(*) OVER (PARTITION BY top) AS n FROM loose_tops) WHERE n > 1",
+    "unimplemented_below_libraries": """SELECT t.fqn AS symbol_fqn, e.fqn AS super_fqn, q.method, q.params FROM types t JOIN libs e ON e.s = t.k // 7, LATERAL (SELECT 'm' || ((e.s + i) % 20) AS method, CASE WHEN i % 2 = 0 THEN '' ELSE 'int' END AS params FROM range(0, 5) r(i)) q
+      WHERE t.k % 7 = 3 AND t.kind = 'Class' AND t.mods <> 'abstract' AND NOT EXISTS (SELECT 1 FROM members m WHERE m.parent_name = t.fqn AND m.kind = 'Function' AND m.short_name = q.method AND m.params = q.params)""",
     "reachable_member_names": "SELECT DISTINCT r.child AS type_fqn, m.short_name AS name FROM reach r JOIN members m ON m.parent_name = r.ancestor",
     "reachable_names_below_libraries": "SELECT type_fqn, name FROM library_names",
     "nearest_inherited_return": """SELECT type_fqn, name, from_fqn, return_type FROM (SELECT r.child AS type_fqn, o.short_name AS name, r.ancestor AS from_fqn, o.return_type, r.depth, row_number() OVER (PARTITION BY r.child, o.short_name ORDER BY r.depth) AS n

@@ -202,6 +202,32 @@ def closure_after_edge_batches(u: Universe) -> DataFrame:
     return kept.ways.read().select("child", "ancestor", "depth")
 
 
+@query
+def external_children_of_private_types(u: Universe) -> DataFrame:
+    """Five types inside each other in every library class, every third private, each with a method: private ones go, and
+    what stands in them belongs to the next one around."""
+    lib = u.external_types.where("not needs_decompilation").select("s", "fqn", "short_name", "package_name", "jar_path")
+    none = F.expr("cast(array() as array<string>)")
+    depth = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("d")
+    chain = lambda d: F.concat_ws("#", "fqn", F.transform(F.when(d > 0, F.sequence(F.lit(1), d)).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.concat(F.lit("N"), i.cast("string"))))
+    inner = lib.select("*", depth)
+    outer = lib.select("jar_path", "fqn", "short_name", F.col("package_name").alias("parent_name"), F.lit("Class").alias("kind"), none.alias("modifiers"))
+    types = inner.select("jar_path", chain(F.col("d")).alias("fqn"), text("N", F.col("d")).alias("short_name"), chain(F.col("d") - 1).alias("parent_name"), F.lit("Class").alias("kind"), F.when((F.col("s") + F.col("d")) % 3 == 0, F.array(F.lit("private"))).otherwise(none).alias("modifiers"))
+    runs = inner.select("jar_path", text(chain(F.col("d")), "#run", F.col("d")).alias("fqn"), text("run", F.col("d")).alias("short_name"), chain(F.col("d")).alias("parent_name"), F.lit("Function").alias("kind"), none.alias("modifiers"))
+    return hierarchy.without_private(outer.unionByName(types).unionByName(runs)).select("jar_path", "fqn", "parent_name", "kind")
+
+
+@query
+def hierarchy_component_by_short_names(u: Universe) -> DataFrame:
+    """Components where a parent without a name in full is the one type of its short name in sight."""
+    edges = u.supers.select(F.col("symbol_fqn").alias("child"), F.col("super_short_name").alias("name"), F.col("super_fqn").alias("parent"))
+    own = u.types.select("file_path", F.col("fqn").alias("child"), F.col("package_name").alias("package"))
+    seen = u.imports.where("is_wildcard").select("file_path", F.expr("left(import_text, length(import_text) - 2)").alias("package")).distinct()
+    packages = own.select("child", "package").unionByName(own.drop("package").join(seen, "file_path").select("child", "package"))
+    found = hierarchy.loose_edges(edges, u.types, packages)
+    return hierarchy.component(found)
+
+
 @query
 def reachable_member_names(u: Universe) -> DataFrame:
     return hierarchy.reachable_names(u.reach, u.members)
@@ -347,6 +373,21 @@ def unimplemented_abstract_methods(u: Universe) -> DataFrame:
     return dia.unimplemented_methods(u.types, u.supers, u.members).select("symbol_fqn", "super_fqn", "method", joined("needed").alias("params"))
 
 
+@query
+def unimplemented_below_libraries(u: Universe) -> DataFrame:
+    """Types of a number that leaves three by seven implement a library interface, whose methods are named like some of theirs."""
+    lib = u.external_types.where("not needs_decompilation").select("s", "fqn")
+    none = F.expr("cast(array() as array<string>)")
+    needed = lib.select(F.col("fqn").alias("parent_name"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"), "s").select(
+        "parent_name", text("m", (F.col("s") + F.col("i")) % 20).alias("short_name"), F.lit("Function").alias("kind"),
+        F.when(F.col("i") == 5, F.array(F.lit("default"))).otherwise(none).alias("modifiers"), F.when(F.col("i") % 2 == 0, none).otherwise(F.array(F.lit("int"))).alias("param_types"),
+    )
+    supers = u.types.where("k % 7 = 3").join(lib, F.floor(F.col("k") / 7) == F.col("s")).select(u.types["fqn"].alias("symbol_fqn"), lib["fqn"].alias("super_fqn"))
+    members = u.members.select("parent_name", "short_name", "kind", "modifiers", "param_types").unionByName(needed)
+    parents = u.types.select("fqn", "kind").unionByName(lib.select("fqn", F.lit("Interface").alias("kind")))
+    return dia.unimplemented_methods(u.types, supers, members, parents).select("symbol_fqn", "super_fqn", "method", joined("needed").alias("params"))
+
+
 @query
 def abstract_class_instantiated(u: Universe) -> DataFrame:
     return dia.abstract_instantiated(u.call_sites.select(*SITE, "file_path", "language", F.col("receiver").alias("type_fqn")), u.types).select(*SITE, "file_path", "type_fqn")

@@ -53,15 +53,15 @@ def _from_class(jar: str, entry: str, alt: str | None, data: bytes) -> tuple[lis
     return rows, [{"symbol_fqn": c["name"], "super_short_name": re.split(r"[.$]", p)[-1], "super_fqn": p} for p in c["parents"]]
 
 
-def _from_source(jar: str, entry: str, data: bytes) -> tuple[list[dict], list[dict]]:
+def _from_source(jar: str, entry: str, data: bytes, private_types: bool) -> tuple[list[dict], list[dict]]:
     got = facts_of(entry, data.decode("utf-8", "replace"), LANGUAGES[entry.rpartition(".")[2]])
     if got["error"]:
         raise ValueError(got["error"])
-    rows = [{k: v for k, v in s.items() if k != "file_path"} | {"jar_path": jar, "source_file_path": entry, "alt_jar_path": None, "needs_decompilation": False} for s in got["symbols"] if "private" not in s["modifiers"]]
+    rows = [{k: v for k, v in s.items() if k != "file_path"} | {"jar_path": jar, "source_file_path": entry, "alt_jar_path": None, "needs_decompilation": False} for s in got["symbols"] if "private" not in s["modifiers"] or private_types and s["symbol_type"] not in ("Function", "Field")]
     return rows, got["supers"]
 
 
-def read_entries(jar: str, alt: str | None, content: bytes) -> Iterator[dict[str, Any]]:
+def read_entries(jar: str, alt: str | None, content: bytes, private_types: bool = False) -> Iterator[dict[str, Any]]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         for name in z.namelist():
             if not wanted(jar, name):
@@ -70,15 +70,16 @@ def read_entries(jar: str, alt: str | None, content: bytes) -> Iterator[dict[str
                 data = z.read(name)
                 if data.count(b"\n") > MAX_LINES:
                     continue
-                rows, edges = _from_class(jar, name, alt, data) if name.endswith(".class") else _from_source(jar, name, data)
+                rows, edges = _from_class(jar, name, alt, data) if name.endswith(".class") else _from_source(jar, name, data, private_types)
                 if rows:
                     yield {"jar_path": jar, "entry": name, "symbols": rows, "supers": edges, "error": None}
             except Exception as e:  # one entry must not stop the others
                 yield {"jar_path": jar, "entry": name, "symbols": [], "supers": [], "error": f"{type(e).__name__}: {e}"}
 
 
-def scan_jars(jars: DataFrame) -> DataFrame:
-    """jars(jar_path, alt_jar_path, content binary) -> one row per entry read."""
+def scan_jars(jars: DataFrame, private_types: bool = False) -> DataFrame:
+    """jars(jar_path, alt_jar_path, content binary) -> one row per entry read. Private symbols are left out; private types of
+    source entries can stay for hierarchy.without_private, which gives what stands in them to the types around."""
     arrow = to_arrow_schema(ENTRIES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def scan_jars(jars: DataFrame) -> DataFrame:
             for jar, alt, content in zip(*batch.columns):
                 rows = []
                 try:
-                    for row in read_entries(jar.as_py(), alt.as_py(), content.as_py()):
+                    for row in read_entries(jar.as_py(), alt.as_py(), content.as_py(), private_types):
                         rows.append(row)
                         if len(rows) == 64:
                             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
