@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..durable import shared_path, stored
 from ..functions import types as typefn
 from ..sources import dependencies, workspace
 from ..sources.store import BucketedTable
+from ..streaming import ttl
+from ..streaming.diagnostics import DiagnosticsFeed, accumulated
 from ..universe import Universe, pick, text
 from .queries import joined, query
 
@@ -170,3 +175,40 @@ def stream_debounce_upsert(u: Universe) -> DataFrame:
     return table.read()
 
 
+def _in_quarters(u: Universe, base: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The event table as a feed in four parts by time. The stream runs until it has read what there is, and starts again
+    from its checkpoint for each part."""
+    table = u.spark.read.parquet(f"{u.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = table.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.least(F.floor((F.unix_micros("ts") - lo) * 4 / (hi - lo + 1)), F.lit(3))
+    for i in range(4):
+        table.where(part == i).write.mode("append").parquet(f"{base}/events")
+        start(u.spark.readStream.schema(table.schema).parquet(f"{base}/events")).awaitTermination()
+
+
+@query
+def stream_ttl_eviction(u: Universe) -> DataFrame:
+    """Buffers that the stream has evicted by the end of the feed: thirty minutes after their last read."""
+    base = shared_path(u.spark, "ttl")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        changes = ttl.with_ttl(stream.select(F.col("user_id").alias("uri"), "ts"), 30 * 60 * 1000)
+        return changes.writeStream.format("parquet").option("path", f"{base}/changes").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    _in_quarters(u, base, start)
+    return ttl.evicted(u.spark.read.schema("uri long, micros long, evicted boolean").parquet(f"{base}/changes"))
+
+
+@query
+def stream_diagnostics(u: Universe) -> DataFrame:
+    """The accumulated changelog of diagnostics over a feed that opens, changes and closes buffers."""
+    base = shared_path(u.spark, "diagnostics")
+    faults = F.array(*(F.lit(x) for x in (
+        "import a.B;\nimport a.B;\nclass X { B b; }", "import a.Unused;\nclass X { }", "class X { int f() { g(); } }", 'class X { int n = "text"; }', "class X { }",
+    )))
+    kind = F.when(F.col("event_type") == "view", "open").when(F.col("event_type") == "error", "close").otherwise("change")
+    content = F.concat(F.lit("package p.q;\n"), F.element_at(faults, (F.col("event_id") % 5 + 1).cast("int")))
+    place = text("/ws/open/U", F.col("user_id"), ".java").alias("path")
+    feed = DiagnosticsFeed(u.spark, f"{base}/feed", buckets=8)
+    _in_quarters(u, base, lambda stream: feed.follow(stream.select(place, kind.alias("kind"), F.col("event_id").alias("version"), content.alias("text")), f"{base}/checkpoint"))
+    return accumulated(feed.changelog()).select("path", "code", "severity")

@@ -300,6 +300,9 @@ ORACLES |= {
         "param_type_normalise": "SELECT fqn, CASE k % 5 WHEN 0 THEN 'List' WHEN 1 THEN short_name || '[]' WHEN 3 THEN short_name || '[][]' ELSE 'int' END AS name FROM types",
         "descriptor_parse": "SELECT fqn, ['', 'int', 'byte[],int,int', 'java.lang.String,long[][]'][CAST(k % 4 + 1 AS INT)] AS params, ['void', 'boolean', 'java.util.List[]'][CAST(k % 3 + 1 AS INT)] AS result FROM types",
         "signature_parse": "SELECT fqn, ['', 'T', 'K,V'][CAST(k % 3 + 1 AS INT)] AS formals, ['T', 'Map<K, List<?>>'][CAST(k % 2 + 1 AS INT)] AS params, 'Entry<K, V>' AS result FROM types",
+        "stream_ttl_eviction": "SELECT user_id AS uri, max(ts) AS last FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE",
+        "stream_diagnostics": """SELECT '/ws/open/U' || user_id || '.java' AS path, ['duplicate_import', 'unused_import', 'missing_return_statement', 'type_mismatch_assignment'][CAST(v % 5 + 1 AS INT)] AS code,
+            CASE WHEN v % 5 < 2 THEN 'warning' ELSE 'error' END AS severity FROM (SELECT user_id, max(event_id) AS v, arg_max(event_type, event_id) AS kind FROM events GROUP BY user_id) WHERE kind <> 'error' AND v % 5 < 4""",
         "stream_debounce_upsert": "SELECT uri, max(version) AS version, arg_max(kind, version) AS kind FROM changes WHERE kind IN ('open', 'change') GROUP BY uri",
     }.items()
 }
