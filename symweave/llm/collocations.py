@@ -4,8 +4,9 @@ Every frequent phrase of k words has a number. A text is once turned into blocks
 neighbouring numbers of phrases of k - 1 words, one word apart, name a phrase of k words: pairs are counted over all
 blocks, frequent ones get numbers in one table, and that table is joined back to the blocks, whose numbers it replaces. A
 block brings only its distinct pairs to the count and the join, and takes back a dictionary of its own frequent ones, so
-what is shuffled grows with the distinct pairs of some megabytes of text and not with its words, and no task ever holds
-the table of all phrases.
+what is counted grows with the distinct pairs of a piece of text and not with its words, and no task has to hold
+the table of all phrases. Where a table of pairs is small (its rows are counted), tasks get it whole, and blocks
+stay where they are; results are the same.
 
 The two halves of a phrase's pair are its parents: its first k - 1 words and its last k - 1. Counts of the parts of each
 cut are handed down from parent to child, and a phrase is subsumed if one of its children is as frequent.
@@ -27,12 +28,14 @@ from pyspark.sql.window import Window
 from .common import discard, guarded, sliced, stored
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
+#: Frequent pairs up to which each task gets the whole table of them (12 bytes each) in place of its blocks' parts of it.
+TABLE_ROWS = 1 << 20
 
 #: A-Z in lower case; the bytes that part pieces become one that no UTF-8 text has, a tab and a space part words.
 _BREAK = b"\xff"
 _PLAIN = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BLOCK = "block long, ctx int, codes binary, keys array<struct<{}, n: long>>"
+_BLOCK = "block long, ctx int, numbers binary, code int, n long, "
 
 
 def tokens_of(text: bytes, step: int) -> Iterator[list[bytes]]:
@@ -46,10 +49,14 @@ def tokens_of(text: bytes, step: int) -> Iterator[list[bytes]]:
         start = end
 
 
-def _structs(fields: dict[str, pa.Array]) -> pa.Array:
-    """One list that holds the rows of equally long columns."""
-    rows = pa.StructArray.from_arrays(list(fields.values()), list(fields))
-    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+def _rows(block: int, ctx: int, numbers: np.ndarray, n: np.ndarray, keys: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """A block as rows: one with its numbers, then one for each distinct key, with how often it counts."""
+    size = len(n)
+    fixed = {"block": pa.int64(), "ctx": pa.int32(), "numbers": pa.binary(), "code": pa.int32(), "n": pa.int64()}
+    whole = [pa.array([block], pa.int64()), pa.array([ctx], pa.int32()), pa.array([numbers.astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())]
+    yield pa.RecordBatch.from_arrays([*whole, *(pa.nulls(1, k.type) for k in keys.values())], [*fixed, *keys])
+    each = [pa.array(np.full(size, block), pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.array(np.arange(1, size + 1), pa.int32()), pa.array(n, pa.int64())]
+    yield pa.RecordBatch.from_arrays([*each, *keys.values()], [*fixed, *keys])
 
 
 class _Coder:
@@ -64,25 +71,22 @@ class _Coder:
             self.langs[lang] = defaultdict(self.fresh, {_BREAK: 0})
         return np.fromiter(map(self.langs[lang].__getitem__, tokens), np.uint32, len(tokens))
 
-    def keys(self, codes: np.ndarray) -> pa.Array:
-        """(lang, word, n) of each number, n the times that it stands in codes."""
+    def rows(self, block: int, ctx: int, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The block of these codes; the first ctx of them do not count."""
         size = sum(len(words) - 1 for words in self.langs.values())
         langs, words = [""] * size, [b""] * size
         for lang, known in self.langs.items():
             for word, code in known.items():
                 if code:
                     langs[code - 1], words[code - 1] = lang, word
-        n = np.bincount(codes, minlength=size + 1)[1:]
-        return _structs({"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary()), "n": pa.array(n, pa.int64())})
-
-
-def _batch(block: int, ctx: int, codes: np.ndarray, keys: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ctx], pa.int32()), pa.array([codes.astype("<u4").tobytes()], pa.binary()), keys], ["block", "ctx", "codes", "keys"])
+        n = np.bincount(codes[ctx:], minlength=size + 1)[1:]
+        yield from _rows(block, ctx, codes, n, {"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.binary())})
 
 
 def word_blocks(docs: DataFrame, longest: int, text_col: str, lang_col: str, block_bytes: int) -> DataFrame:
-    """block, ctx, codes, keys: texts as numbers of words, each text ended by a break. A text longer than a block is dealt
-    over several, which begin with the longest - 1 tokens before them (ctx of them are there for phrases alone)."""
+    """block, ctx, numbers, code, n, lang, word: texts as numbers of words, each text ended by a break. A block has one row with
+    its numbers and one for each distinct one. A text longer than a block is dealt over several, which begin with the longest - 1
+    tokens before them (ctx of them are there for phrases alone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -93,8 +97,7 @@ def word_blocks(docs: DataFrame, longest: int, text_col: str, lang_col: str, blo
                 before: list[bytes] = []
                 for part in tokens_of(texts[0].as_py(), block_bytes):
                     coder = _Coder()
-                    codes = coder.encode(langs[0].as_py(), before + part)
-                    yield _batch(block(), len(before), codes, coder.keys(codes[len(before) :]))
+                    yield from coder.rows(block(), len(before), coder.encode(langs[0].as_py(), before + part))
                     before = (before + part)[-(longest - 1) :] if longest > 1 else []
                 continue
             coder, parts = _Coder(), []
@@ -102,39 +105,88 @@ def word_blocks(docs: DataFrame, longest: int, text_col: str, lang_col: str, blo
                 for tokens in tokens_of(text or b"", block_bytes):
                     parts.append(coder.encode(lang, tokens))
                 parts.append(np.zeros(1, np.uint32))
-            codes = np.concatenate(parts)
-            yield _batch(block(), 0, codes, coder.keys(codes))
+            yield from coder.rows(block(), 0, np.concatenate(parts))
 
     read = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return read.mapInArrow(run, _BLOCK.format("lang: string, word: binary"))
+    return read.mapInArrow(run, _BLOCK + "lang string, word binary")
+
+
+def packed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
 
 
-def pair_blocks(named: DataFrame, words: int) -> DataFrame:
-    """named(block, ctx, codes, dictionary of (code, id)) -> the same blocks as numbers of pairs of neighbouring phrases:
-    block, ctx, codes, keys of (left, right, n). words is how many words a pair has."""
+def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, pairs): where a frequent phrase and the one a word later both stand, and the pair of their numbers."""
+    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    return at, packed(ids[at], ids[at + 1])
+
+
+def renamed(ids: np.ndarray, pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The numbers of phrases of one word more: names of the (sorted) pairs that stand in ids, 0 where none does."""
+    out = np.zeros(len(ids), np.uint32)
+    at, own = neighbours(ids)
+    if len(pairs) and len(at):
+        place = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+        hit = pairs[place] == own
+        out[at[hit]] = names[place[hit]]
+    return out
+
+
+def paired(block: int, ctx: int, ids: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
+    """The block with these numbers of phrases and the pairs that stand in it, phrases of words words."""
+    at, own = neighbours(ids)
+    if len(at):
+        pairs, which = np.unique(own, return_inverse=True)
+        # a phrase counts in the block that holds its end
+        n = np.bincount(which[at >= ctx - (words - 1)], minlength=len(pairs))
+        left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        yield from _rows(block, ctx, ids, n, {"left": pa.array(left), "right": pa.array(right)})
+
+
+def with_dictionary(named: DataFrame, words: int) -> DataFrame:
+    """named(block, ctx, numbers, code, id), or with left and right for code: each block's dictionary, followed by the row
+    that has its numbers -> block, ctx, numbers, code, n, left, right of the next level; numbers are those of the phrases
+    that the dictionary names."""
+
+    def ids_of(numbers: np.ndarray, known: list[list[np.ndarray]]) -> np.ndarray:
+        *keys, ids = (np.concatenate(x) for x in zip(*known, strict=True))
+        if len(keys) == 1:
+            to = np.zeros(int(numbers.max(initial=0)) + 1, np.uint32)
+            to[keys[0]] = ids
+            return to[numbers]
+        pairs = packed(*keys)
+        order = np.argsort(pairs)
+        return renamed(numbers, pairs[order], ids[order].astype(np.uint32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[list[np.ndarray]] = []
+        for batch in batches:
+            block, ctx, numbers, *entries = batch.columns
+            start = 0
+            for end in [*np.flatnonzero(numbers.is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
+                if end > start:
+                    known.append([c.slice(start, end - start).to_numpy() for c in entries])
+                if end < batch.num_rows:
+                    if known:
+                        yield from paired(block[end].as_py(), ctx[end].as_py(), ids_of(np.frombuffer(numbers[end].as_buffer(), "<u4"), known), words)
+                    known, start = [], end + 1
+
+    return named.repartition("block").sortWithinPartitions("block", F.col("numbers").isNotNull()).mapInArrow(run, _BLOCK + "left long, right long")
+
+
+def with_table(whole: DataFrame, table: DataFrame, words: int) -> DataFrame:
+    """The same where all pairs of the level before, table(left, right, id), are few enough for every task to hold."""
+    got = table.select("left", "right", "id").toPandas()
+    pairs = packed(got["left"].to_numpy(), got["right"].to_numpy())
+    order = np.argsort(pairs)
+    pairs, names = pairs[order], got["id"].to_numpy()[order].astype(np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                block, ctx, codes, entries = (batch.column(c)[i] for c in range(4))
-                code = np.frombuffer(codes.as_py(), "<u4")
-                own = entries.values
-                to = np.zeros(int(code.max(initial=0)) + 1, np.int64)
-                to[own.field("code").to_numpy(zero_copy_only=False)] = own.field("id").to_numpy(zero_copy_only=False)
-                ids = to[code]
-                at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                if not len(at):
-                    continue
-                pairs, which = np.unique((ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1].astype(np.uint64), return_inverse=True)
-                out = np.zeros(len(ids), np.uint32)
-                out[at] = which + 1
-                # a phrase counts in the block that holds its end
-                counted = which[at >= ctx.as_py() - (words - 1)]
-                n = np.bincount(counted, minlength=len(pairs))
-                left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                yield _batch(block.as_py(), ctx.as_py(), out, _structs({"left": pa.array(left), "right": pa.array(right), "n": pa.array(n, pa.int64())}))
-
-    return named.mapInArrow(run, _BLOCK.format("left: long, right: long"))
+            for block, ctx, numbers in zip(*batch.columns, strict=True):
+                yield from paired(block.as_py(), ctx.as_py(), renamed(np.frombuffer(numbers.as_buffer(), "<u4"), pairs, names), words)
+
+    return whole.mapInArrow(run, _BLOCK + "left long, right long")
 
 
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -160,11 +212,11 @@ def _exact(*factors: Column | int) -> Column:
     return out
 
 
-def phrases(docs: DataFrame, longest: int, min_count: int, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
+def phrases(docs: DataFrame, longest: int, min_count: int, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES, table_rows: int = TABLE_ROWS) -> tuple[list[DataFrame], DataFrame]:
     """([level of words, of pairs, ...], totals): each level has id, f, lang, phrase, last, firsts, rests and, beyond words,
     left and right. firsts has the counts of the first 1, 2, ... words, rests of the last 1, 2, ..., both without the whole."""
     blocks = stored(word_blocks(docs, longest, text_col, lang_col, block_bytes), "words")
-    each = blocks.select(F.explode("keys").alias("k")).select("k.lang", "k.word", "k.n")
+    each = blocks.where("code is not null")
     counted = stored(each.groupBy("lang", "word").agg(F.sum("n").alias("f")), "vocabulary")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words, size = numbered(counted.where(F.col("f") >= min_count), "level1")
@@ -175,12 +227,17 @@ def phrases(docs: DataFrame, longest: int, min_count: int, text_col: str = "text
     for k in range(2, longest + 1):
         if not size:
             break
-        coded = blocks.select("block", F.posexplode("keys").alias("at", "k")).select("block", (F.col("at") + 1).alias("code"), *[F.col("k")[c].alias(c) for c in keys])
-        known = coded.join(guarded(table.select(*keys, "id"), size), keys).groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("names"))
-        before, blocks = blocks, stored(pair_blocks(blocks.select("block", "ctx", "codes").join(known, "block"), k), f"pairs{k}")
+        whole = blocks.where("code is null").select("block", "ctx", "numbers")
+        if k > 2 and size <= table_rows:
+            longer = with_table(whole, table, k)
+        else:
+            own = keys if k > 2 else ["code"]
+            names = each.join(guarded(table.select(*keys, "id"), size), keys).select("block", F.lit(None).cast("int").alias("ctx"), F.lit(None).cast("binary").alias("numbers"), *own, "id")
+            longer = with_dictionary(names.unionByName(whole, allowMissingColumns=True), k)
+        before, blocks = blocks, stored(longer, f"pairs{k}")
         discard(before)
-        keys = ["left", "right"]
-        found = blocks.select(F.explode("keys").alias("p")).groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("p.n").alias("f"))
+        keys, each = ["left", "right"], blocks.where("code is not null")
+        found = each.groupBy("left", "right").agg(F.sum("n").alias("f"))
         table, size = numbered(found.where(F.col("f") >= min_count), f"level{k}")
         shorter = levels[-1]
         left = shorter.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.array_append("firsts", F.col("f")).alias("firsts"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import stored
 from .rank import first_by, prioritised
 
 
@@ -126,7 +127,8 @@ def walk_chain(start: DataFrame, steps: list[str], reach: DataFrame, members: Da
     """start(site, receiver and one column of method names per step): fold a chain a.b().c() one join per step.
 
     After each step the member's return type, looked up among the project types by short name, is the next
-    receiver; a member that is missing or returns no project type gives java.lang.Object.
+    receiver; a member that is missing or returns no project type gives java.lang.Object. Each step but the last is stored,
+    so no step plans or does the work of those before it again.
     """
     named = first_by(types.select(F.col("short_name").alias("return_type"), F.col("fqn").alias("returned")), ["return_type"], ["returned"])
     gives = first_by(members.where("return_type is not null").select(F.col("fqn").alias("target"), "return_type").distinct().join(named, "return_type"), ["target"], ["returned"]).select("target", "returned")
@@ -134,6 +136,7 @@ def walk_chain(start: DataFrame, steps: list[str], reach: DataFrame, members: Da
     def step(now: DataFrame, name: str) -> DataFrame:
         got = resolve_members(now.select("receiver", F.col(name).alias("method")), reach, members, external).select("receiver", F.col("method").alias(name), F.col("target").alias(f"{name}_target"))
         on = now.join(got, ["receiver", name], "left").join(gives, F.col(f"{name}_target") == gives["target"], "left").drop("target")
-        return on.withColumn("receiver", F.coalesce("returned", F.lit("java.lang.Object"))).drop("returned")
+        out = on.withColumn("receiver", F.coalesce("returned", F.lit("java.lang.Object"))).drop("returned")
+        return out if name == steps[-1] else stored(out, "step")
 
     return reduce(step, steps, start)

@@ -23,7 +23,7 @@ LANGUAGE = ("java", "groovy", "kotlin")
 EXTENSION = ("java", "groovy", "kt")
 
 #: Relations that several queries read, by session, folder, state of the folder's tables, and name.
-_kept: dict[tuple[str, str, tuple[int, ...], str], DataFrame] = {}
+_kept: dict[tuple[str, str, tuple, str], DataFrame] = {}
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
@@ -42,11 +42,12 @@ class Universe:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def _state(self) -> tuple[int, ...]:
-        """When the tables that the index is projected from were last written."""
+    def _state(self) -> tuple[tuple[str, int, int], ...]:
+        """Name, size and time of each file of the tables that the index is projected from."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         paths = [jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{t}.parquet") for t in ("part", "supplier", "lineitem")]
-        return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+        found = (f for p in paths for f in p.getFileSystem(conf).listStatus(p))
+        return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """What make() gives (a stored table), made once a session and state of the tables."""
