@@ -12,6 +12,7 @@ from .functions import strings
 from .operators import diagnostics as dia
 from .operators import hierarchy, lookups, positions, requests, resolve
 from .operators.rank import first_by, union_all
+from .progress import Progress
 from .sources import workspace
 
 #: Names up to which a counted list of them is broadcast.
@@ -26,8 +27,9 @@ class Engine:
     external_view), none if left out. Parsed facts are stored once; everything else is a query over them.
     """
 
-    def __init__(self, spark: SparkSession, files: DataFrame, external: DataFrame | None = None) -> None:
+    def __init__(self, spark: SparkSession, files: DataFrame, external: DataFrame | None = None, progress: Progress | None = None) -> None:
         self.spark, self.files = spark, files
+        self.progress = progress or Progress(lambda row: None)
         self.external = external if external is not None else spark.createDataFrame([], EXTERNAL)
 
     @classmethod
@@ -48,7 +50,8 @@ class Engine:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return stored(workspace.parse(self.files), "parsed")
+        with self.progress.step("parse") as step:
+            return stored(step.counted(workspace.parse(self.files), "files", errors=F.count("error")), "parsed")
 
     @cached_property
     def symbols(self) -> DataFrame:

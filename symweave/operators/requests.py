@@ -67,8 +67,9 @@ def edits(*parts: DataFrame) -> DataFrame:
 
 
 def hierarchy_functions(seeds: DataFrame, components: DataFrame, members: DataFrame) -> DataFrame:
-    """seeds(parent_name, short_name, param_types) -> all functions of that name and signature in the seeds' components."""
-    sig = F.array_join("param_types", ",")
+    """seeds(parent_name, short_name, param_types) -> all functions of that name and signature in the seeds' components.
+    Trailing dots of a variable number of arguments are an array; functions without known parameters are alike."""
+    sig = F.coalesce(F.array_join(F.transform("param_types", lambda p: F.regexp_replace(p, r"\s*\.\.\.$", "[]")), ",", "?"), F.lit("-"))
     of = components.select(F.col("fqn").alias("parent_name"), "component")
     own = members.where("kind = 'Function'").withColumn("signature", sig).join(of, "parent_name", "left").withColumn("component", F.coalesce("component", "parent_name"))
     asked = seeds.withColumn("signature", sig).join(of, "parent_name", "left").select(F.coalesce("component", "parent_name").alias("component"), "short_name", "signature").distinct()

@@ -58,6 +58,10 @@ class VersionedTable:
         rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
         return self._point({"version": version, "stamps": stamps})
 
+    def truncate(self, **stamps: str) -> int:
+        """Publish a version without rows; earlier ones stay until they are vacuumed."""
+        return self.publish(self.spark.createDataFrame([], self.schema), **stamps)
+
     def _names(self, folder: str) -> list[str]:
         return [x.getPath().getName() for x in self._fs().listStatus(self._at(folder))]
 
