@@ -11,7 +11,7 @@ from .durable import stored
 from .functions import strings
 from .operators import diagnostics as dia
 from .operators import hierarchy, lookups, positions, requests, resolve
-from .operators.rank import first_by, union_all
+from .operators.rank import completion_rank, first_by, union_all
 from .progress import Progress
 from .sources import workspace
 
@@ -199,6 +199,31 @@ class Engine:
         """receivers(receiver, jars) -> members to offer."""
         return requests.complete_members(receivers, self.members, self.external)
 
+    def complete_at(self, cursors: DataFrame) -> DataFrame:
+        """file_path, line, col, mode, name, fqn, origin, rank: after a dot the members of what stands before it, that of a
+        local variable's type or of a type, whose names begin as written; elsewhere types by prefix. Members rank alike."""
+        at = ["file_path", "line", "col"]
+        text = self.files.select(F.col("path").alias("file_path"), "text").join(self.parsed.select(F.col("path").alias("file_path"), F.col("package").alias("package_name")), "file_path")
+        line = F.coalesce(F.get(F.split("text", "\n"), F.col("line")), F.lit(""))
+        here = cursors.select(*at).distinct().join(text, "file_path").withColumn("here", line)
+        here = here.select(*at, "package_name", strings.after_dot(F.col("here"), F.col("col")).alias("dotted"), strings.receiver_at(F.col("here"), F.col("col")).alias("receiver"), strings.prefix_at(F.col("here"), F.col("col")).alias("prefix"))
+        here = stored(here, "cursors")
+        # members: the receiver is a variable in sight, else a type
+        asked = here.where("dotted and receiver <> ''").select("file_path", "package_name", F.col("receiver").alias("name"), F.lit(False).alias("is_qualified"), F.col("line").alias("n_line"), F.col("col").alias("n_col"), "prefix")
+        typed = positions.local_declarations(asked, self.parsed).select("file_path", "n_line", "n_col", F.regexp_replace("type_name", r"<.*|\?$", "").alias("type_name"))
+        owned = asked.join(typed, ["file_path", "n_line", "n_col"], "left").withColumn("name", F.coalesce("type_name", "name"))
+        fqns = resolve.resolve_fqn(owned.select("file_path", "package_name", "name"), self.imports, self.symbols, self.external).select("file_path", "name", F.col("fqn").alias("receiver"))
+        owned = stored(owned.join(fqns, ["file_path", "name"]).select("file_path", F.col("n_line").alias("line"), F.col("n_col").alias("col"), "prefix", "receiver"), "receivers")
+        offered = self.complete_members(owned.select("receiver", F.expr("cast(array() as array<string>)").alias("jars")).distinct())
+        members = owned.join(offered, "receiver").where(F.col("short_name").startswith(F.col("prefix"))).select(*at, F.lit("member").alias("mode"), F.col("short_name").alias("name"), "fqn", "origin", F.lit(0).alias("rank"))
+        plain = here.where("not dotted and prefix <> ''").select(*at, "prefix", "package_name")
+        # a prefix is asked for once in each package that asks for it
+        keyed = plain.withColumn("own_package", F.coalesce("package_name", F.lit("")))
+        found = self.complete(keyed.select("prefix", F.lit(None).cast("string").alias("package_name")).distinct()).select("prefix", "fqn", "origin")
+        place = self.types.select("fqn", "package_name").unionByName(self.external.select("fqn", "package_name")).groupBy("fqn").agg(F.min("package_name").alias("of"))
+        types = keyed.join(found, "prefix").join(place, "fqn").withColumn("rank", completion_rank(F.col("origin"), F.col("of"), F.col("own_package")))
+        return members.unionByName(types.select(*at, F.lit("prefix").alias("mode"), F.regexp_extract("fqn", r"[^.#]*$", 0).alias("name"), "fqn", "origin", "rank"))
+
     # -- diagnostics --
 
     def _typed_sites(self) -> DataFrame:

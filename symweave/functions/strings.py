@@ -21,6 +21,11 @@ def prefix_at(line: Column, col: Column) -> Column:
     return F.regexp_extract(F.left(line, col), r"(\w*)$", 1)
 
 
+def after_dot(line: Column, col: Column) -> Column:
+    """Whether what stands before the cursor asks for a member: a dot and no more than the beginning of its name."""
+    return F.left(line, col).rlike(r"\.\s*\w*$")
+
+
 def quoted(needle: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in needle)
 
