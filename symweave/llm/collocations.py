@@ -5,8 +5,8 @@ neighbouring numbers of phrases of k - 1 words, one word apart, name a phrase of
 blocks, frequent ones get numbers in one table, and that table is joined back to the blocks, whose numbers it replaces. A
 block brings only its distinct pairs to the count and the join, and takes back a dictionary of its own frequent ones, so
 what is counted grows with the distinct pairs of a piece of text and not with its words, and no task has to hold
-the table of all phrases. Where a table of pairs is small (its rows are counted), tasks get it whole, and blocks
-stay where they are; results are the same.
+the table of all phrases. As long as the tables are small (their rows are counted), tasks get them whole, and blocks
+stay where they are and keep no pairs; results are the same.
 
 The two halves of a phrase's pair are its parents: its first k - 1 words and its last k - 1. Counts of the parts of each
 cut are handed down from parent to child, and a phrase is subsumed if one of its children is as frequent.
@@ -14,9 +14,9 @@ cut are handed down from parent to child, and a phrase is subsumed if one of its
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, guarded, sliced, stored
+from .common import BROADCAST_ROWS, discard, guarded, sliced, stored
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 1 << 19
-#: Frequent pairs up to which each task gets the whole table of them (12 bytes each) in place of its blocks' parts of it.
+#: Frequent pairs of a level up to which each task gets the whole table of them (12 bytes each) in place of its blocks'
+#: parts of it; for words the bound is BROADCAST_ROWS.
 TABLE_ROWS = 1 << 20
+#: Different words that a task counts before it hands them on.
+WORDS_HELD = 200_000
 
 #: A-Z in lower case; the bytes that part pieces become one that no UTF-8 text has, a tab and a space part words.
 _BREAK = b"\xff"
@@ -107,8 +110,68 @@ def word_blocks(docs: DataFrame, longest: int, text_col: str, lang_col: str, blo
                 parts.append(np.zeros(1, np.uint32))
             yield from coder.rows(block(), 0, np.concatenate(parts))
 
-    read = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return read.mapInArrow(run, _BLOCK + "lang string, word binary")
+    return _read(docs, text_col, lang_col).mapInArrow(run, _BLOCK + "lang string, word binary")
+
+
+def _read(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
+
+
+def word_counts(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> DataFrame:
+    """lang, word, f of every word: tasks count, and hand on what they have whenever it is WORDS_HELD words."""
+
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            own.pop(_BREAK, None)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                own = counts.setdefault(lang.as_py(), Counter())
+                for tokens in tokens_of(text.as_py() or b"", block_bytes):
+                    own.update(tokens)
+                    if sum(map(len, counts.values())) > WORDS_HELD:
+                        yield from rows(counts)
+                        own.clear()
+                        counts = {lang.as_py(): own}
+        yield from rows(counts)
+
+    return _read(docs, text_col, lang_col).mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+
+
+def known_words(docs: DataFrame, words: DataFrame, longest: int, text_col: str, lang_col: str, block_bytes: int) -> DataFrame:
+    """block, ctx, numbers as word_blocks has them, where all of words(lang, word, id) are few enough for every task to hold:
+    numbers are those of the frequent words, 0 for others."""
+    ids: dict[str, dict[bytes, int]] = {}
+    for lang, word, i in words.select("lang", "word", "id").toLocalIterator():
+        ids.setdefault(lang, {})[bytes(word)] = i
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def encoded(lang: str, tokens: list[bytes]) -> np.ndarray:
+            return np.fromiter(map(ids.get(lang, {}).get, tokens, repeat(0)), np.uint32, len(tokens))
+
+        def row(ctx: int, numbers: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block()], pa.int64()), pa.array([ctx], pa.int32()), pa.array([numbers.astype("<u4").tobytes()], pa.binary())], ["block", "ctx", "numbers"])
+
+        task = TaskContext.get()
+        block = count((task.partitionId() if task else 0) << 32).__next__
+        for batch in sliced(batches, "text", block_bytes):
+            parts = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                before = np.zeros(0, np.uint32)
+                for tokens in tokens_of(text or b"", block_bytes):
+                    own = np.concatenate([before, encoded(lang, tokens)])
+                    if len(text) > block_bytes:
+                        yield row(len(before), own)
+                        before = own[-(longest - 1) :] if longest > 1 else before
+                    else:
+                        parts.append(own)
+                parts.append(np.zeros(1, np.uint32))
+            yield row(0, np.concatenate(parts))
+
+    return _read(docs, text_col, lang_col).mapInArrow(run, "block long, ctx int, numbers binary")
 
 
 def packed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -174,17 +237,25 @@ def with_dictionary(named: DataFrame, words: int) -> DataFrame:
     return named.repartition("block").sortWithinPartitions("block", F.col("numbers").isNotNull()).mapInArrow(run, _BLOCK + "left long, right long")
 
 
-def with_table(whole: DataFrame, table: DataFrame, words: int) -> DataFrame:
-    """The same where all pairs of the level before, table(left, right, id), are few enough for every task to hold."""
+def held(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """table(left, right, id) as sorted pairs and their names."""
     got = table.select("left", "right", "id").toPandas()
     pairs = packed(got["left"].to_numpy(), got["right"].to_numpy())
     order = np.argsort(pairs)
-    pairs, names = pairs[order], got["id"].to_numpy()[order].astype(np.uint32)
+    return pairs[order], got["id"].to_numpy()[order].astype(np.uint32)
+
+
+def with_tables(whole: DataFrame, tables: list[tuple[np.ndarray, np.ndarray]], words: int, keys_only: bool) -> DataFrame:
+    """whole(block, ctx, numbers) of words -> what with_dictionary gives for phrases of words words, where the pairs of
+    all levels before are few enough for every task to hold; keys_only: without the rows that have the numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ctx, numbers in zip(*batch.columns, strict=True):
-                yield from paired(block.as_py(), ctx.as_py(), renamed(np.frombuffer(numbers.as_buffer(), "<u4"), pairs, names), words)
+                ids = np.frombuffer(numbers.as_buffer(), "<u4")
+                for pairs, names in tables:
+                    ids = renamed(ids, pairs, names)
+                yield from islice(paired(block.as_py(), ctx.as_py(), ids, words), int(keys_only), None)
 
     return whole.mapInArrow(run, _BLOCK + "left long, right long")
 
@@ -212,31 +283,42 @@ def _exact(*factors: Column | int) -> Column:
     return out
 
 
-def phrases(docs: DataFrame, longest: int, min_count: int, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES, table_rows: int = TABLE_ROWS) -> tuple[list[DataFrame], DataFrame]:
+def phrases(docs: DataFrame, longest: int, min_count: int, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES, word_rows: int = BROADCAST_ROWS, table_rows: int = TABLE_ROWS) -> tuple[list[DataFrame], DataFrame]:
     """([level of words, of pairs, ...], totals): each level has id, f, lang, phrase, last, firsts, rests and, beyond words,
     left and right. firsts has the counts of the first 1, 2, ... words, rests of the last 1, 2, ..., both without the whole."""
-    blocks = stored(word_blocks(docs, longest, text_col, lang_col, block_bytes), "words")
-    each = blocks.where("code is not null")
-    counted = stored(each.groupBy("lang", "word").agg(F.sum("n").alias("f")), "vocabulary")
+    counted = stored(word_counts(docs, text_col, lang_col, block_bytes), "vocabulary")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words, size = numbered(counted.where(F.col("f") >= min_count), "level1")
     none = F.expr("cast(array() as array<bigint>)")
     text = F.col("word").cast("string")
     levels = [words.select("id", "f", "lang", text.alias("phrase"), text.alias("last"), none.alias("firsts"), none.alias("rests"))]
+    if not size:
+        return levels, totals
+    whole = tables = blocks = None
+    if size <= word_rows:
+        whole, tables = stored(known_words(docs, words, longest, text_col, lang_col, block_bytes), "words"), []
+    else:
+        blocks = stored(word_blocks(docs, longest, text_col, lang_col, block_bytes), "words")
     keys, table = ["lang", "word"], words
     for k in range(2, longest + 1):
         if not size:
             break
-        whole = blocks.where("code is null").select("block", "ctx", "numbers")
-        if k > 2 and size <= table_rows:
-            longer = with_table(whole, table, k)
+        if whole is not None and k > 2 and size > table_rows:
+            # from here on blocks take dictionaries: they bring the pairs of the level before
+            before, whole, blocks = whole, None, stored(with_tables(whole, tables, k - 1, keys_only=False), f"pairs{k - 1}")
+            discard(before)
+        if whole is not None:
+            tables = tables + [held(table)] if k > 2 else tables
+            each = with_tables(whole, tables, k, keys_only=True)
         else:
             own = keys if k > 2 else ["code"]
-            names = each.join(guarded(table.select(*keys, "id"), size), keys).select("block", F.lit(None).cast("int").alias("ctx"), F.lit(None).cast("binary").alias("numbers"), *own, "id")
-            longer = with_dictionary(names.unionByName(whole, allowMissingColumns=True), k)
-        before, blocks = blocks, stored(longer, f"pairs{k}")
-        discard(before)
-        keys, each = ["left", "right"], blocks.where("code is not null")
+            names = blocks.where("code is not null").join(guarded(table.select(*keys, "id"), size), keys)
+            names = names.select("block", F.lit(None).cast("int").alias("ctx"), F.lit(None).cast("binary").alias("numbers"), *own, "id")
+            longer = with_dictionary(names.unionByName(blocks.where("code is null").select("block", "ctx", "numbers"), allowMissingColumns=True), k)
+            before, blocks = blocks, stored(longer, f"pairs{k}")
+            discard(before)
+            each = blocks.where("code is not null")
+        keys = ["left", "right"]
         found = each.groupBy("left", "right").agg(F.sum("n").alias("f"))
         table, size = numbered(found.where(F.col("f") >= min_count), f"level{k}")
         shorter = levels[-1]
@@ -244,7 +326,7 @@ def phrases(docs: DataFrame, longest: int, min_count: int, text_col: str = "text
         right = shorter.select(F.col("id").alias("right"), "last", F.array_append("rests", F.col("f")).alias("rests"))
         level = table.join(left, "left").join(right, "right").withColumn("phrase", F.concat_ws(" ", "head", "last")).drop("head")
         levels.append(stored(level, f"phrases{k}"))
-    discard(blocks)
+    discard(blocks if whole is None else whole)
     return levels, totals
 
 

@@ -55,10 +55,11 @@ def test_equals_brute_force(spark, keep, least, longest):
     assert got == brute(rows, longest, least, keep, 25) and got
 
 
-def test_texts_longer_than_a_block_and_joins_without_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("few", [(0, 0), (1000, 30), (1000, 1000)])  # words and pairs that tasks get whole: none, words alone, all
+def test_texts_longer_than_a_block_and_joins_without_broadcast(spark, monkeypatch, few):
     rows = sample(9, 60) + [(LONG[:3000] + "one. two " * 300, "en"), ("word" * 100, "en"), ("a b " * 200, None)]
     monkeypatch.setattr(collocations, "guarded", lambda df, rows: df.hint("merge"))
-    levels, totals = collocations.phrases(table(spark, rows), 5, 4, block_bytes=64)
+    levels, totals = collocations.phrases(table(spark, rows), 5, 4, block_bytes=64, word_rows=few[0], table_rows=few[1])
     want, n = {}, {}
     for row in brute(rows, 5, 4, 10**9, 10**9):
         want[row[0], row[2]] = row[3]
