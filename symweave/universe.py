@@ -22,8 +22,11 @@ NUMERIC = ("byte", "short", "int", "long", "float", "double")
 LANGUAGE = ("java", "groovy", "kotlin")
 EXTENSION = ("java", "groovy", "kt")
 
+#: Names up to which those that lines mention are broadcast (about 100 bytes each).
+BROADCAST_NAMES = 500_000
+
 #: Relations that several queries read, by session, folder, state of the folder's tables, and name.
-_kept: dict[tuple[str, str, tuple, str], DataFrame] = {}
+_kept: dict[tuple[str, str, tuple, str], object] = {}
 
 
 def pick(values: tuple[str, ...], index: Column) -> Column:
@@ -49,8 +52,8 @@ class Universe:
         found = (f for p in paths for f in p.getFileSystem(conf).listStatus(p))
         return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
 
-    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """What make() gives (a stored table), made once a session and state of the tables."""
+    def kept[T](self, name: str, make: Callable[[], T]) -> T:
+        """What make() gives (a stored table, or what was found of one), made once a session and state of the tables."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self._state, name)
         if key not in _kept:
             _kept[key] = make()
@@ -222,10 +225,42 @@ class Universe:
         wild = files.join(other, F.floor(F.col("k") / 2) == F.col("o_k")).select("file_path", F.lit(2_000_000).cast("long").alias("ordinal"), text(F.col("o_pkg"), ".*").alias("import_text"), F.lit(True).alias("is_wildcard"))
         return known.unionByName(gone).unionByName(wild)
 
+    @property
+    def numbered(self) -> bool:
+        """Whether a type's number alone says its texts, and they say the number: no name is missing or ends in a digit, no number occurs twice."""
+        return self.kept("numbered", self._numbered)
+
+    def _numbered(self) -> bool:
+        part = self.table("part")
+        odd = part.where(F.col("p_partkey").isNull() | F.col("p_size").isNull() | F.coalesce(F.trim("p_name").rlike("[0-9]$"), F.lit(True)))
+        return odd.isEmpty() and part.groupBy("p_partkey").count().where("count > 1").isEmpty()
+
+    @property
+    def mentioned(self) -> DataFrame:
+        """n_k, n_short of the types that some line's supplier key names; broadcast while they are few."""
+        return self.kept("mentioned", self._mentioned)
+
+    def _mentioned(self) -> DataFrame:
+        asked = self.lines.select(F.col("l_suppkey").alias("n_k")).distinct()
+        found = stored(self.types.select(F.col("k").alias("n_k"), F.col("short_name").alias("n_short")).join(asked, "n_k", "left_semi"), "mentioned")
+        return F.broadcast(found) if found.count() <= BROADCAST_NAMES else found
+
+    @cached_property
+    def numbered_refs(self) -> DataFrame:
+        """k, name, line, col: type_refs by the number of the file's type, dealt out by it. Rows are made distinct on the lines' small
+        integers, which say all that a mention shows, in the one shuffle that brings them to their files."""
+        n = F.col("l_linenumber")
+        own = self.lines.select(F.col("l_partkey").alias("k"), "l_suppkey", "l_linenumber", (F.col("l_orderkey") % 1000).cast("int").alias("line"))
+        rows = own.where("k is not null").repartition("k").distinct().join(self.mentioned, F.col("l_suppkey") == F.col("n_k"))
+        name = F.when(n == 7, text("Missing", F.col("l_suppkey"))).when(n == 6, text("Lib", F.col("l_suppkey"))).otherwise(F.col("n_short"))
+        return rows.select("k", name.alias("name"), "line", (n * 4).cast("int").alias("col"))
+
     @cached_property
     def type_refs(self) -> DataFrame:
         """file_path, package_name, name, line, col: a mention of a type by its short name."""
         at = self.types.select("k", "file_path", "package_name")
+        if self.numbered:
+            return self.numbered_refs.join(at, "k").select("file_path", "package_name", "name", "line", "col")
         named = self.types.select(F.col("k").alias("n_k"), F.col("short_name").alias("n_short"))
         n = F.col("l_linenumber")
         rows = self.lines.join(at, F.col("l_partkey") == F.col("k")).join(named, F.col("l_suppkey") == F.col("n_k"))

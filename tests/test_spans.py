@@ -33,6 +33,20 @@ def test_blocks_cover_a_span_once(spark):
         assert covered[0][0] == first and covered[-1][1] == last and all(x[1] + 1 == y[0] for x, y in zip(covered, covered[1:])) and len(blocks) <= 330
 
 
+def test_plans_of_spans_stay_small(spark):
+    """A query's plan holds the blocks of all sizes as one expression, and what lies outside is found by one shuffle, with spans over pages."""
+    hits = spark.createDataFrame([("a", 5, 1, 1), ("a", 1023, 9, 2), ("a", 1024, 0, 3), ("a", 5000, 3, 4), ("a", 5000, 4, 5), ("b", 5, 1, 6), (None, 5, 1, 7), ("a", None, 1, 8)], HITS)
+    held = spark.createDataFrame([("a", 1000, 0, 5000, 3, 1), ("a", 2, 0, 2, 9, 2), ("a", 9, 0, 3, 0, 3), (None, 0, 0, 9, 9, 4)], SPANS)
+    assert sorted((r.id, r.span) for r in spans.around(hits, held, ["file_path"]).collect()) == [(2, 1), (3, 1), (4, 1)]
+    pairs = spans.around(hits, held, ["file_path"], few=0)
+    assert sorted((r.id, r.span) for r in pairs.collect()) == [(2, 1), (3, 1), (4, 1)]
+    assert len(pairs._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    out = spans.outside(hits, held)
+    assert sorted(r.id for r in out.collect()) == [1, 5, 6, 7, 8]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_a_huge_file_is_no_product(spark):
     """100,000 names, and as many comments of which each holds one name, in one file, and in one line of another."""
     n = 100_000
