@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..durable import stored
 from ..sources.workspace import facts
-from .rank import first_by, prioritised
+from .rank import first_by, prioritised, union_all
 from .resolve import resolve_fqn, resolve_members
 from .spans import around
 
@@ -58,12 +58,16 @@ def symbols_at(cursors: DataFrame, parsed: DataFrame, imports: DataFrame, symbol
     asked = typed.select("file_path", "package_name", "name").unionByName(named.select("file_path", "package_name", F.col("owner").alias("name"))).unionByName(hits.where("not is_qualified").select("file_path", "package_name", "name")).distinct()
     fqns = stored(resolve_fqn(asked, imports, symbols, external).select("file_path", F.col("name").alias("f_name"), "fqn"), "named-types")
     known = symbols.select("fqn", F.lit("project").alias("origin")).unionByName(external.select("fqn", F.lit("external").alias("origin"))).groupBy("fqn").agg(F.max("origin").alias("origin"))
-    by_type = typed.join(fqns.withColumnRenamed("file_path", "f_path"), (F.col("file_path") == F.col("f_path")) & (F.col("name") == F.col("f_name"))).join(known, "fqn").select(*keys, "name", "origin", F.col("fqn").alias("target"))
-    placed = named.join(fqns.withColumnRenamed("file_path", "f_path"), (F.col("file_path") == F.col("f_path")) & (F.col("owner") == F.col("f_name"))).select(*keys, F.col("fqn").alias("receiver"), F.col("name").alias("method"))
+    of_file = fqns.withColumnRenamed("file_path", "f_path")
+    by_type = typed.join(of_file, (F.col("file_path") == F.col("f_path")) & (F.col("name") == F.col("f_name"))).select(*keys, "name", F.col("fqn").alias("target"))
+    placed = stored(named.join(of_file, (F.col("file_path") == F.col("f_path")) & (F.col("owner") == F.col("f_name"))).select(*keys, F.col("fqn").alias("receiver"), F.col("name").alias("method")), "placed")
     found = stored(resolve_members(placed, reach, members, external).select("receiver", "method", "target"), "found")
-    by_member = placed.join(found, ["receiver", "method"]).join(known, F.col("target") == known["fqn"]).select(*keys, F.col("method").alias("name"), "origin", "target")
+    by_member = placed.join(found, ["receiver", "method"]).select(*keys, F.col("method").alias("name"), "target")
+    by_name = hits.where("not is_qualified").join(of_file, (F.col("file_path") == F.col("f_path")) & (F.col("name") == F.col("f_name"))).select(*keys, "name", F.col("fqn").alias("target"))
     by_local = local_declarations(hits, parsed).select(*keys, "name", F.lit("local").alias("origin"), F.concat_ws(":", "file_path", "d_line", "d_col").alias("target"))
-    by_name = hits.where("not is_qualified").join(fqns.withColumnRenamed("file_path", "f_path"), (F.col("file_path") == F.col("f_path")) & (F.col("name") == F.col("f_name"))).join(known, "fqn").select(*keys, "name", "origin", F.col("fqn").alias("target"))
+    # whether the index knows a target is asked once for all branches
+    indexed = stored(union_all(by_type.withColumn("way", F.lit(0)), by_member.withColumn("way", F.lit(1)), by_name.withColumn("way", F.lit(2))).join(known.withColumnRenamed("fqn", "target"), "target"), "indexed")
+    by_type, by_member, by_name = (indexed.where(F.col("way") == i) for i in range(3))
     got = prioritised(keys, ["target"], *(x.select(*out) for x in (by_type, by_member, by_local, by_name)))
     return got.select("file_path", F.col("c_line").alias("line"), F.col("c_col").alias("col"), "name", "origin", "target")
 
