@@ -15,6 +15,8 @@ from .parse import facts_of
 
 #: Line feeds beyond which a source or archive entry is left out.
 MAX_LINES = 10_000
+#: Files, and characters of them, whose facts are held at once while parsing.
+PARSED_FILES, PARSED_CHARS = 64, 1 << 18
 
 
 def is_excluded(path: Column, root: str = "") -> Column:
@@ -57,17 +59,23 @@ def with_buffers(files: DataFrame, buffers: DataFrame, root: str = "") -> DataFr
     return with_language(both.select(F.coalesce("path", "b_path").alias("path"), F.coalesce("b_text", "text").alias("text")), root)
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """files(path, language, text) -> one row of facts per file; a file that cannot be read has its error instead."""
-    arrow = to_arrow_schema(FACTS)
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few files' facts at a time, however many or large the files of a batch are."""
+    schema = to_arrow_schema(FACTS)
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            rows, read = [], 0
+            while at < batch.num_rows and len(rows) < PARSED_FILES and read < PARSED_CHARS:
+                path, language, text = (c[at].as_py() for c in batch.columns)
+                rows.append(facts_of(path, text or "", language))
+                read, at = read + len(text or ""), at + 1
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [facts_of(p, t or "", g) for p, g, t in zip(*(c.to_pylist() for c in batch.columns))]
-            for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist(rows[at : at + 256], schema=arrow)
 
-    return files.select("path", "language", "text").mapInArrow(run, FACTS)
+def parse(files: DataFrame) -> DataFrame:
+    """files(path, language, text) -> one row of facts per file; a file that cannot be read has its error instead."""
+    return files.select("path", "language", "text").mapInArrow(_facts, FACTS)
 
 
 def facts(parsed: DataFrame, name: str) -> DataFrame:

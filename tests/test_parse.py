@@ -183,3 +183,20 @@ def test_workspace_scan(spark, tmp_path):
     fresh = workspace.symbols(workspace.parse(workspace.with_buffers(files, buffers)))
     names = {r.fully_qualified_name for r in fresh.collect()}
     assert {"z.y.Fresh", "n.m.N", "com.acme.Person"} <= names and "com.acme.User" not in names
+
+
+def test_facts_of_few_files_are_held_at_once(monkeypatch):
+    """A batch of many files, or of large ones, gives its first facts before the rest is parsed."""
+    import pyarrow as pa
+
+    from symweave.sources import workspace
+
+    read, whole = [], workspace.facts_of
+    monkeypatch.setattr(workspace, "facts_of", lambda path, text, language: read.append(path) or whole(path, text, language))
+    files = lambda n, text: pa.RecordBatch.from_pylist([{"path": f"/F{i}.java", "language": "java", "text": text} for i in range(n)])
+    out = workspace._facts(iter([files(300, "class A { int f; }")]))
+    assert next(out).num_rows == len(read) == workspace.PARSED_FILES
+    assert sum(b.num_rows for b in out) == len(read) - workspace.PARSED_FILES == 300 - workspace.PARSED_FILES
+    read.clear()
+    out = workspace._facts(iter([files(5, "class A { } " + " " * workspace.PARSED_CHARS), files(1, None)]))
+    assert next(out).num_rows == len(read) == 1 and sum(b.num_rows for b in out) == 5
