@@ -227,12 +227,13 @@ class Universe:
 
     @property
     def numbered(self) -> bool:
-        """Whether a type's number alone says its texts, and they say the number: no name is missing or ends in a digit, no number occurs twice."""
+        """Whether a type's number alone says its texts, and they say the number: no name is missing, ends in a digit or has a # or a dot (which only members' and qualified names
+        have besides), no number occurs twice."""
         return self.kept("numbered", self._numbered)
 
     def _numbered(self) -> bool:
         part = self.table("part")
-        odd = part.where(F.col("p_partkey").isNull() | F.col("p_size").isNull() | F.coalesce(F.trim("p_name").rlike("[0-9]$"), F.lit(True)))
+        odd = part.where(F.col("p_partkey").isNull() | F.col("p_size").isNull() | F.coalesce(F.trim("p_name").rlike("[0-9]$|[#.]"), F.lit(True)))
         return odd.isEmpty() and part.groupBy("p_partkey").count().where("count > 1").isEmpty()
 
     @property
@@ -255,6 +256,35 @@ class Universe:
         name = F.when(n == 7, text("Missing", F.col("l_suppkey"))).when(n == 6, text("Lib", F.col("l_suppkey"))).otherwise(F.col("n_short"))
         return rows.select("k", name.alias("name"), "line", (n * 4).cast("int").alias("col"))
 
+    @cached_property
+    def numbered_imports(self) -> DataFrame:
+        """imports by the number of the file's type, dealt out by it: k, ordinal, import_text, is_wildcard."""
+        lib = self.external_types.where("not needs_decompilation").select("s", F.col("fqn").alias("import_text"))
+        few = self.table("supplier").count() <= BROADCAST_NAMES
+        pairs = self.lines.select(F.col("l_partkey").alias("k"), "l_suppkey", (F.col("l_linenumber") == 7).alias("seven")).where("k is not null").repartition("k")
+        known = pairs.select("k", "l_suppkey").distinct().join(F.broadcast(lib) if few else lib, F.col("l_suppkey") == F.col("s"))
+        known = known.select("k", F.col("l_suppkey").alias("ordinal"), "import_text", F.lit(False).alias("is_wildcard"))
+        gone = pairs.where("seven and l_suppkey % 2 = 0").select("k", "l_suppkey").distinct().select("k", (F.col("l_suppkey") + 1_000_000).alias("ordinal"), text("gone.pkg.Missing", F.col("l_suppkey")).alias("import_text"), F.lit(False).alias("is_wildcard"))
+        other = self.types.select(F.col("k").alias("o_k"), F.col("package_name").alias("o_pkg"))
+        wild = self.types.select("k").join(other, F.floor(F.col("k") / 2) == F.col("o_k")).select("k", F.lit(2_000_000).cast("long").alias("ordinal"), text(F.col("o_pkg"), ".*").alias("import_text"), F.lit(True).alias("is_wildcard"))
+        return known.unionByName(gone).unionByName(wild)
+
+    @property
+    def asked_names(self) -> DataFrame:
+        """name: every name of numbered_refs, and some that a line's supplier key could have given."""
+        n_k = F.col("n_k")
+        return self.mentioned.select(F.explode(F.array("n_short", text("Lib", n_k), text("Missing", n_k))).alias("name"))
+
+    def resolved_refs(self, strict: bool = False) -> DataFrame:
+        """file_path, package_name, name, fqn, priority of type_refs' names, and k, the number of the file's type, where there is one."""
+        if not self.numbered:
+            return resolve.resolve_fqn(self.type_refs, self.imports, self.symbols, self.external_symbols, strict)
+        at = self.types.select("k", "file_path", "package_name")
+        names = self.asked_names
+        refs = self.numbered_refs.join(at.drop("file_path"), "k")
+        types = self.types.select("fqn", "kind")
+        return resolve.resolve_fqn(refs, self.numbered_imports, types, self.external_types, strict, "k", names).join(at.drop("package_name"), "k")
+
     @cached_property
     def type_refs(self) -> DataFrame:
         """file_path, package_name, name, line, col: a mention of a type by its short name."""

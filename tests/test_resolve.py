@@ -1,3 +1,5 @@
+import re
+
 from symweave.operators import diagnostics, lookups, maintain, rank, requests, resolve
 
 SYMBOLS = "fqn string, short_name string, package_name string, parent_name string, file_path string, language string, kind string, modifiers array<string>, param_types array<string>, return_type string"
@@ -108,3 +110,18 @@ def test_exploded_fields_are_not_broadcast(spark):
     got = resolve.property_accessors(asked, members)
     assert sorted((r.type_fqn, r.field, r.accessor) for r in got.collect()) == [("T0", "m", "getM"), ("T1", "", "get"), ("T1", "m", "isM"), ("T2", "isle", "isIsle")]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_are_resolved_by_file_number_without_a_shuffle_of_references(spark):
+    """Where files have numbers and the names are at hand, references and imports are shuffled to their files and no further."""
+    refs = spark.createDataFrame([(1, "p", "A"), (1, "p", "B"), (1, "p", "C"), (1, "p", "D"), (2, "q", "A"), (2, "q", "x.Y"), (2, None, "C"), (1, "p", None)], "k long, package_name string, name string").repartition("k")
+    lines = [(1, 5, "z.B", False), (1, 4, "y.B", False), (1, 9, "w.*", True), (1, 8, "v.*", True), (2, 1, "w.*", True), (2, 2, "z.D", False)]
+    imports = spark.createDataFrame(lines, "k long, ordinal long, import_text string, is_wildcard boolean").repartition("k")
+    known = symbols(spark, [("w.C", "Class", [], None, None), ("v.C", "Class", [], None, None), ("p.A", "Class", [], None, None)])
+    names = refs.select("name").where("name is not null")
+    for strict, rest in ((True, []), (False, [(1, "D", "p.D", 4), (2, "A", "q.A", 4)])):
+        got = resolve.resolve_fqn(refs, imports, known, external(spark, [("w.Z", "j", False)]), strict, "k", names)
+        want = [(1, "A", "p.A", 4), (1, "B", "y.B", 2), (1, "C", "v.C", 3), (2, "C", "w.C", 3), (2, "x.Y", "x.Y", 1), *rest]
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(k#" in plan and not re.search(r"hashpartitioning\(k#\d+L?, name#", plan)
