@@ -265,11 +265,8 @@ def references_by_index(u: Universe) -> DataFrame:
     now = rows.select(path.alias("path"), F.lit("java").alias("language"), content.alias("text"), "k")
     before = now.withColumn("text", F.when(F.col("k") % 3 == 0, F.lit("class Old { Old old; }\n")).otherwise(F.col("text"))).unionByName(now.where("k % 5 = 0").withColumn("path", F.concat("path", F.lit("-gone"))))
 
-    def held(files: DataFrame) -> DataFrame:
-        return workspace.facts(workspace.parse(files.drop("k")), "spans").select(F.col("path").alias("file_path"), F.col("line_start").alias("s_line"), F.col("char_start").alias("s_col"), F.col("line_end").alias("e_line"), F.col("char_end").alias("e_col"), "kind")
-
     index = PostingIndex(u.spark, shared_path(u.spark, "postings"), buckets=16)
-    index.build(before, held(before))
+    index.build(before)
     changed = now.where("k % 3 = 0")
-    index.replace(changed, held(changed), before.where("path like '%-gone'").select(F.col("path").alias("file_path")))
+    index.replace(changed, gone=before.where("path like '%-gone'").select(F.col("path").alias("file_path")))
     return index.references(u.types.select(F.col("short_name").alias("name")))

@@ -9,35 +9,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..durable import stored
 from ..operators import spans
+from .parse import Outline
 from .store import BucketedTable
 
 SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("kind", T.StringType())])
 NAMES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("name", T.StringType())])
 _WORD = re.compile(r"[A-Za-z0-9_]+")
+#: Words beyond which those found are handed on.
+HELD_WORDS = 1 << 16
 
 
 def words(contents: DataFrame) -> DataFrame:
-    """contents(path, text) -> name, file_path, line, col of every run of letters, digits and underscores, lines from 0."""
+    """contents(path, text, and language where there is one) -> name, file_path, line, col of every run of letters, digits and
+    underscores, lines from 0; with a language also kind: comment or string of the span that the word stands in, else code."""
+    kinds = "language" in contents.columns
+    schema = T.StructType([f for f in SCHEMA.fields if kinds or f.name != "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                found = [(m[0], n, m.start()) for n, line in enumerate(lines) for m in _WORD.finditer(line)]
-                if found:
-                    name, line, col = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array([path] * len(name), pa.string()), pa.array(line, pa.int32()), pa.array(col, pa.int32())], ["name", "file_path", "line", "col"])
-
-    return contents.select("path", "text").mapInArrow(run, "name string, file_path string, line int, col int")
-
-
-def postings(contents: DataFrame, held: DataFrame) -> DataFrame:
+            found: list[list] = [[] for _ in schema.fields]
+            for path, text, *language in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _words_of(path, text or "", language, found)
+                if len(found[0]) >= HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, arrow, strict=True)], schema=arrow)
+                    found = [[] for _ in schema.fields]
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, arrow, strict=True)], schema=arrow)
+
+    return contents.select("path", "text", *["language"] * kinds).mapInArrow(run, schema)
+
+
+def _words_of(path: str, text: str, language: list[str], found: list[list]) -> None:
+    """Adds the words of a text to the columns found; kinds where language has an element."""
+    spans = Outline(text, language[0]).spans() if language else []
+    name, file_path, line, col, *kind = found
+    n, start, at = 0, 0, 0  # of the line, its first offset, and of the spans not yet passed
+    for m in _WORD.finditer(text):
+        begin = m.start()
+        while 0 <= (end := text.find("\n", start, begin)):
+            n, start = n + 1, end + 1
+        name.append(m[0])
+        file_path.append(path)
+        line.append(n)
+        col.append(begin - start)
+        if kind:
+            while at < len(spans) and spans[at][1] <= begin:
+                at += 1
+            kind[0].append(spans[at][2] if at < len(spans) and spans[at][0] <= begin else "code")
+
+
+def postings(contents: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """The words of contents(path, text) with kind: of the span of held(file_path, s_line, s_col, e_line, e_col, kind) that
-    they stand in, such as comment or string, else code. Spans end before their last position, as parsers give them."""
-    every = words(contents)
+    they stand in, such as comment or string, else code. Spans end before their last position, as parsers give them. Without held,
+    the comments and strings of contents(path, text, language) are found as its words are, in the same pass."""
+    if held is None:
+        return words(contents.select("path", "text", "language"))
+    every = words(contents.select("path", "text"))
     within = spans.around(every, held.withColumn("e_col", F.col("e_col") - 1), ["file_path"]).groupBy("file_path", "line", "col").agg(F.min("kind").alias("kind"))
     return every.join(within, ["file_path", "line", "col"], "left").select("name", "file_path", "line", "col", F.coalesce("kind", F.lit("code")).alias("kind"))
 
@@ -56,13 +88,13 @@ class PostingIndex:
     def version(self) -> int:
         return self.names.version
 
-    def build(self, contents: DataFrame, held: DataFrame, version: int = 0) -> None:
+    def build(self, contents: DataFrame, held: DataFrame | None = None, version: int = 0) -> None:
         if self.table.version < version:
             self.table.publish(postings(contents, held), version)
         if self.names.version < version:
             self.names.publish(self.table.read().select("file_path", "name").distinct(), version)
 
-    def replace(self, contents: DataFrame, held: DataFrame, gone: DataFrame | None = None, version: int | None = None) -> None:
+    def replace(self, contents: DataFrame, held: DataFrame | None = None, gone: DataFrame | None = None, version: int | None = None) -> None:
         """Postings of these files in place of the old ones; those of gone(file_path) are dropped."""
         version = self.version + 1 if version is None else version
         if version <= self.version:

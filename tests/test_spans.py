@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from symweave.operators import spans
-from symweave.sources.postings import PostingIndex
+from symweave.sources import workspace
+from symweave.sources.postings import PostingIndex, postings
 
 HITS, SPANS = "file_path string, line int, col int, id int", "file_path string, s_line int, s_col int, e_line int, e_col int, span int"
 
@@ -83,3 +84,22 @@ def test_postings_follow_their_files_and_requests_read_few_buckets(spark, tmp_pa
     assert ask("one", "two", "three", "four") == [("four", "/D", 0, 4), ("one", "/A", 0, 0), ("one", "/A", 1, 10), ("one", "/D", 0, 0), ("two", "/A", 0, 4)]
     parts = index.table._pointer()["parts"]
     assert parts[str(one)] == 1 and set(parts.values()) <= {0, 1} and index.version == 1
+
+
+def test_words_and_their_kinds_are_found_in_one_pass(spark, tmp_path):
+    """As by the parser's spans, joined to the words; and no shuffle, parse or stored table is needed for it."""
+    draw = random.Random(3)
+    parts = ["a1", " ", "\n", '"', "'", '"""', "//", "/*", "*/", "`", "\\", "${", "}", "/=", "1.5e3", "x$y", "#!", "=", "\n  b"]
+    texts = [(f"/{language}{i}", language, "".join(draw.choice(parts) for _ in range(draw.randint(0, 40)))) for language in ("java", "groovy", "kotlin") for i in range(300)]
+    texts += [("/none", "java", None), ("/first", "groovy", "#! one\ntwo"), ("/named", "kotlin", 'fun `it\'s "so"` one'), ("/open", "java", "/* one\n\n two")]
+    files = spark.createDataFrame(texts, "path string, language string, text string")
+    fields = [F.col("path").alias("file_path"), F.col("line_start").alias("s_line"), F.col("char_start").alias("s_col"), F.col("line_end").alias("e_line"), F.col("char_end").alias("e_col"), "kind"]
+    held = workspace.facts(workspace.parse(files), "spans").select(*fields)
+    found = postings(files)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, postings(files.drop("language"), held).collect()))
+    assert {r[0] for r in found.select("kind").distinct().collect()} == {"code", "string", "comment"}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    index = PostingIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.build(files.where("path = '/open'"))
+    index.replace(files.where("path = '/named'"))
+    assert [r.file_path for r in index.references(spark.createDataFrame([("one",)], "name string")).collect()] == ["/named"]
